@@ -4,24 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from millrace.llm import oracle
+from millrace.llm.chat_format import conversation_digest, format_conversations
 from millrace.llm.common import table
 from millrace.llm.exact_dedup import exact_groups
+from millrace.llm.mixing import mix_counts
+from millrace.llm.secrets import find_secrets, span_digest
+
+
+def tokenizer_file() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = F.lit("</s>[INST] ok [/INST]")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-1).cast("long"), F.col("id"), role, text)
+    return conversation_digest(format_conversations(turns.union(extra), tokenizer_file()))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
-OP5_SQL = """
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
-"""
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_counts(table(spark, sf_dir, "documents"), [F.col("doc_id")])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup}
-SQL = {"op5_exact_dedup": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op3_chat_format, op5_exact_dedup, op7_secret_scan, op9_mixing)}
+SQL = {"op3_chat_format": oracle.OP3, "op5_exact_dedup": oracle.OP5, "op9_mixing": oracle.OP9}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
