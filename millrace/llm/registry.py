@@ -14,6 +14,7 @@ from millrace.llm.common import table
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.mixing import mix_counts
 from millrace.llm.secrets import find_secrets, span_digest
+from millrace.llm.simhash import near_groups
 
 
 def tokenizer_file() -> str:
@@ -28,6 +29,11 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_digest(format_conversations(turns.union(extra), tokenizer_file()))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -41,7 +47,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_format, op5_exact_dedup, op7_secret_scan, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op3_chat_format, op4_simhash, op5_exact_dedup, op7_secret_scan, op9_mixing)}
 SQL = {"op3_chat_format": oracle.OP3, "op5_exact_dedup": oracle.OP5, "op9_mixing": oracle.OP9}
 
 
