@@ -61,3 +61,27 @@ OP9 = f"""
 WITH docs AS (SELECT doc_id AS id, source, text, doc_id::VARCHAR AS key FROM documents), {MIX}
 SELECT id AS doc_id, size, source_size, target, size * repeats AS taken FROM mixed
 """
+
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS phrase
+  FROM i, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(s) WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM windows),
+grams AS (
+  SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS phrase
+  FROM d, lengths, unnest(range(1, len(w) - n + 2)) AS t(p)),
+found AS (SELECT doc_id, p, g.n, item_id FROM grams g JOIN windows USING (n, phrase)),
+hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM found, unnest(range(p, p + n)) AS t(at) GROUP BY doc_id),
+ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS item_ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(item_ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""

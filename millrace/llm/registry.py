@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.llm import oracle
 from millrace.llm.chat_format import conversation_digest, format_conversations
 from millrace.llm.common import table
+from millrace.llm.decontaminate import contamination
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.mixing import mix_counts
 from millrace.llm.secrets import find_secrets, span_digest
@@ -47,8 +48,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_format, op4_simhash, op5_exact_dedup, op7_secret_scan, op9_mixing)}
-SQL = {"op3_chat_format": oracle.OP3, "op5_exact_dedup": oracle.OP5, "op9_mixing": oracle.OP9}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
+
+
+QUERIES = {f.__name__: f for f in (op3_chat_format, op4_simhash, op5_exact_dedup, op7_secret_scan, op9_mixing, op10_decontaminate)}
+SQL = {"op3_chat_format": oracle.OP3, "op5_exact_dedup": oracle.OP5, "op9_mixing": oracle.OP9, "op10_decontaminate": oracle.OP10}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
