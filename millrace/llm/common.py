@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Used only where the session names no ``spark.checkpoint.dir``, as in tests.
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 #: Rows up to which a table of short keys is broadcast; beyond it Spark shuffles both sides.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 #: ASCII white space, as the word splitter of the contracts sees it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -48,3 +48,11 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

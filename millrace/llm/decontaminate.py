@@ -170,7 +170,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **o
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents in which no item occurs, with all their columns."""
     found = find_phrases(docs, items, id_col, text_col, **options)["exact"]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    bad = small(cut(found.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash")).distinct(), "bad"))
-    return docs.join(bad, (key == F.col("_key")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    text = F.coalesce(docs[text_col], F.lit(""))
+    key = F.coalesce(docs[id_col].cast("string"), F.lit(""))
+    bad = small(cut(found.select("key", "text_hash").distinct(), "bad"))
+    return docs.join(bad, (key == bad["key"]) & (F.xxhash64(text) == bad["text_hash"]), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, small
+from millrace.llm.common import cut, fresh, small
 
 
 def exact_groups(
@@ -64,8 +64,8 @@ def exact_groups(
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The documents that stay, with all their columns; of rows that repeat id and text one stays."""
-    kept = exact_groups(docs, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias("_keep"), "text_sha256")
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    marked = docs.withColumn("_sha", sha).dropDuplicates([id_col, "_sha"])
-    on = F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("text_sha256"))
-    return marked.join(kept, on, "left_semi").drop("_sha")
+    kept = cut(exact_groups(docs, id_col, text_col, keep).filter("kept").select(F.col(id_col).alias("keep"), "text_sha256"), "kept")
+    sha = fresh(docs, "sha")
+    marked = docs.withColumn(sha, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)).dropDuplicates([id_col, sha])
+    on = marked[id_col].eqNullSafe(kept["keep"]) & (marked[sha] == kept["text_sha256"])
+    return marked.join(kept, on, "left_semi").drop(sha)

@@ -77,7 +77,7 @@ grams AS (
   SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS phrase
   FROM d, lengths, unnest(range(1, len(w) - n + 2)) AS t(p)),
 found AS (SELECT doc_id, p, g.n, item_id FROM grams g JOIN windows USING (n, phrase)),
-hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM found, unnest(range(p, p + n)) AS t(at) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM found, unnest(range(p, p + n)) AS t(q) GROUP BY doc_id),
 ids AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS item_ids
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
@@ -85,3 +85,16 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(item_ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
+
+OP2 = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce('=' || source, '') AS site, i, line, trim(line, ' ' || chr(9) || chr(13)) AS bare
+  FROM (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+boilerplate AS (
+  SELECT bare FROM lines WHERE bare <> '' GROUP BY bare HAVING count(DISTINCT site) >= 8)
+SELECT doc_id, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (bare <> '' AND b) AS n_removed,
+       length(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (bare = '' OR NOT b), '')) AS kept_chars,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (bare = '' OR NOT b), '')) AS kept_sha256
+FROM (SELECT l.*, p.bare IS NOT NULL AS b FROM lines l LEFT JOIN boilerplate p USING (bare)) GROUP BY doc_id
+"""

@@ -13,6 +13,7 @@ from millrace.llm.chat_format import conversation_digest, format_conversations
 from millrace.llm.common import table
 from millrace.llm.decontaminate import contamination
 from millrace.llm.exact_dedup import exact_groups
+from millrace.llm.line_dedup import remove_boilerplate
 from millrace.llm.mixing import mix_counts
 from millrace.llm.secrets import find_secrets, span_digest
 from millrace.llm.simhash import near_groups
@@ -22,6 +23,18 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    text = F.coalesce("text", F.lit(""))
+    return cleaned.select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        F.char_length(text).cast("long").alias("kept_chars"),
+        F.sha2(text.cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = F.lit("</s>[INST] ok [/INST]")
@@ -52,8 +65,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_format, op4_simhash, op5_exact_dedup, op7_secret_scan, op9_mixing, op10_decontaminate)}
-SQL = {"op3_chat_format": oracle.OP3, "op5_exact_dedup": oracle.OP5, "op9_mixing": oracle.OP9, "op10_decontaminate": oracle.OP10}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_chat_format, op4_simhash, op5_exact_dedup, op7_secret_scan, op9_mixing, op10_decontaminate)}
+SQL = {"op2_line_dedup": oracle.OP2, "op3_chat_format": oracle.OP3, "op5_exact_dedup": oracle.OP5, "op9_mixing": oracle.OP9, "op10_decontaminate": oracle.OP10}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -182,5 +182,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows with a null id stay.
     """
     groups = near_groups(docs, id_col, text_col, **options)
-    dropped = cut(groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")), "dropped")
-    return docs.join(small(dropped), F.col(id_col) == F.col("_drop"), "left_anti")
+    dropped = small(cut(groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("drop")), "dropped"))
+    return docs.join(dropped, docs[id_col] == dropped["drop"], "left_anti")
