@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import oracle
+from millrace.llm import oracle, quality
 from millrace.llm.chat_format import conversation_digest, format_conversations
-from millrace.llm.common import table
+from millrace.llm.common import fold, table
 from millrace.llm.decontaminate import contamination
 from millrace.llm.exact_dedup import exact_groups
+from millrace.llm.language_id import identify, train
 from millrace.llm.line_dedup import remove_boilerplate
 from millrace.llm.mixing import mix_counts
 from millrace.llm.secrets import find_secrets, span_digest
@@ -23,6 +24,13 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.filter(fold("doc_id", 5) != 0), "text", "lang", sample_per_language=2000)
+    found = identify(docs, model)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     text = F.coalesce("text", F.lit(""))
@@ -56,6 +64,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(fold("doc_id", 3) != 1))
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_counts(table(spark, sf_dir, "documents"), [F.col("doc_id")])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -65,7 +82,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_chat_format, op4_simhash, op5_exact_dedup, op7_secret_scan, op9_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_chat_format, op4_simhash, op5_exact_dedup, op7_secret_scan, op8_quality, op9_mixing, op10_decontaminate)}
 SQL = {"op2_line_dedup": oracle.OP2, "op3_chat_format": oracle.OP3, "op5_exact_dedup": oracle.OP5, "op9_mixing": oracle.OP9, "op10_decontaminate": oracle.OP10}
 
 

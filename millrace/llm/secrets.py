@@ -106,16 +106,13 @@ def find_secrets(
     """
     allowed = "|".join(f"(?:{p})" for p in allow) or r"(?!)"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<kind:string,start:bigint,end:bigint>>")
+    def secret_spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         pattern = re.compile(allowed)
         for batch in batches:
-            spans = [[{"kind": k, "start": a, "end": b} for a, b, k in scan(t or "", pattern)] for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "spans": spans})
+            yield pd.Series([[{"kind": k, "start": a, "end": b} for a, b, k in scan(t or "", pattern)] for t in batch], dtype=object)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = source.mapInPandas(run, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint>>")
-    return found.withColumnRenamed("id", id_col)
+    return docs.select(id_col, secret_spans(F.col(text_col)).alias("spans"))
 
 
 def span_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

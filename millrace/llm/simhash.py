@@ -63,15 +63,12 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, words: int = 1) -> DataFrame:
     """``id, fp`` for every row: the fingerprint of 64 * ``words`` bits as binary."""
-    kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = [fingerprint(shingle_hashes(t, shingle), words) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "fp": fps})
+    @F.pandas_udf("binary")
+    def simhash(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(shingle_hashes(t, shingle), words) for t in texts], dtype=object)
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, f"id {kind}, fp binary")
+    return docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp"))
 
 
 def exact_keys(radius: int, spare: int = 2) -> Column:
