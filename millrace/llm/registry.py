@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import oracle, quality
 from millrace.llm.chat_format import conversation_digest, format_conversations
-from millrace.llm.common import fold, table
+from millrace.llm.common import fold, scratch, table
 from millrace.llm.decontaminate import contamination
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.language_id import identify, train
@@ -18,6 +18,7 @@ from millrace.llm.line_dedup import remove_boilerplate
 from millrace.llm.mixing import mix_counts
 from millrace.llm.secrets import find_secrets, span_digest
 from millrace.llm.simhash import near_groups
+from millrace.llm.token_output import read_tokens, write_tokens
 
 
 def tokenizer_file() -> str:
@@ -60,6 +61,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), path)
+    return read_tokens(spark, path).drop("tokens")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(find_secrets(table(spark, sf_dir, "documents")))
 
@@ -82,7 +89,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_chat_format, op4_simhash, op5_exact_dedup, op7_secret_scan, op8_quality, op9_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_chat_format, op4_simhash, op5_exact_dedup, op6_token_output, op7_secret_scan, op8_quality, op9_mixing, op10_decontaminate)}
 SQL = {"op2_line_dedup": oracle.OP2, "op3_chat_format": oracle.OP3, "op5_exact_dedup": oracle.OP5, "op9_mixing": oracle.OP9, "op10_decontaminate": oracle.OP10}
 
 
