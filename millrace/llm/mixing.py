@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, cut
+from millrace.llm.common import WORD, cut, fresh, small
 
 #: Hash buckets per source; only the bucket in which a source's sample ends is ordered row by row.
 BUCKETS = 4096
@@ -40,70 +40,111 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, max_epoc
     return leveled.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def marked(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> dict[str, Column]:
+    """What decides a document's turn in its source: a seeded hash of its id, that hash's bucket, and its text's hash."""
+    text = F.coalesce(docs[text_col], F.lit(""))
+    turn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))).cast("binary"))
+    return {
+        "source": docs[source_col],
+        "size": F.regexp_count(text, F.lit(WORD)).cast("long"),
+        "turn": turn,
+        "bucket": F.conv(F.substring(turn, 1, 3), 16, 10).cast("int"),
+        "text_hash": F.xxhash64(text),
+    }
+
+
+def mix_plan(sized: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float) -> tuple[DataFrame, DataFrame]:
+    """From ``source, size, turn, bucket, text_hash`` per document: the plan per source, and the documents of the
+    bucket in which a source's sample ends that belong to it (``edge_turn, edge_hash, edge_source``)."""
+    per_bucket = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
+    filled = targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    filled = cut(filled.withColumn("whole", whole).withColumn("rest", F.col("target") - whole * F.col("source_size")), "filled")
+    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_bucket.withColumn("before", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))
+    edges = (
+        starts.join(filled, starts["source"].eqNullSafe(filled["source"]))
+        .filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("bucket_size") > F.col("rest")))
+        .select(starts["source"].alias("edge_source"), F.col("bucket").alias("edge_bucket"), "before")
+    )
+    plan = cut(filled.join(edges, filled["source"].eqNullSafe(edges["edge_source"]), "left").drop("edge_source"), "plan")
+    mine = small(plan.withColumnRenamed("source", "plan_source"))
+    on_edge = sized.join(mine, sized["source"].eqNullSafe(mine["plan_source"]) & (F.col("bucket") == F.col("edge_bucket")))
+    order = Window.partitionBy("source", "bucket").orderBy("turn", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
+    taken = on_edge.withColumn("taken", ahead + F.col("size") / 2 <= F.col("rest")).filter("taken")
+    chosen = taken.select(F.col("turn").alias("edge_turn"), F.col("text_hash").alias("edge_hash"), F.col("source").alias("edge_source"))
+    return plan, cut(chosen.distinct(), "edge")
+
+
+def repeats_of(rows: DataFrame, names: dict[str, str], plan: DataFrame, edge: DataFrame, max_epochs: float) -> DataFrame:
+    """``rows`` with ``source_size``, ``target`` and ``repeats`` from the plan, under the names given."""
+    plan = small(plan.select(*[F.col(c).alias(names[c]) for c in ("source_size", "target")], F.col("source").alias("_plan_source"),
+                             F.col("whole").alias("_whole"), F.col("edge_bucket").alias("_edge_bucket")))
+    edge = small(edge)
+    source, bucket = rows[names["source"]], rows[names["bucket"]]
+    joined = rows.join(plan, source.eqNullSafe(plan["_plan_source"])).join(
+        edge,
+        (rows[names["turn"]] == edge["edge_turn"]) & (rows[names["text_hash"]] == edge["edge_hash"]) & source.eqNullSafe(edge["edge_source"]),
+        "left",
+    )
+    extra = (bucket < F.coalesce(plan["_edge_bucket"], F.lit(0))) | edge["edge_turn"].isNotNull()
+    most = F.lit(math.ceil(max_epochs)).cast("long")
+    repeats = F.when(plan[names["source_size"]] > 0, F.least(plan["_whole"] + extra.cast("long"), most)).otherwise(F.lit(0).cast("long"))
+    return joined.withColumn(names["repeats"], repeats).drop(
+        plan["_plan_source"], plan["_whole"], plan["_edge_bucket"], edge["edge_turn"], edge["edge_hash"], edge["edge_source"]
+    )
+
+
 def mix_counts(
     docs: DataFrame,
-    keys: list[Column],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
     weights: tuple[int, ...] = (5, 2, 1),
     share: float = 1.5,
     max_epochs: float = 2.0,
     seed: int = 17,
-    source_col: str = "source",
-    text_col: str = "text",
-    out: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """How often each document is repeated in the mix: ``out, source, size, source_size, target, repeats, taken``.
+    """How often each document is repeated in the mix: ``id_col, source, size, source_size, target, repeats, taken``.
 
     Size is the number of words. Each source repeats all its documents floor(target / source_size) times; for the rest
-    documents are taken in the order of md5(seed, keys) while at least half of the next one fits, so a source misses its
-    target by less than its largest document. No document is taken more than ``max_epochs`` (whole) times its size.
+    documents are taken in the order of a seeded hash of their id while at least half of the next one fits, so a source
+    misses its target by at most half of one document. No document is taken more than ``max_epochs`` (whole) times.
 
     The order is found without sorting a source: sizes are summed per hash bucket, the bucket in which the target
-    falls is found from the sums, and only its rows are ordered. ``keys`` name a document (aliased as ``out``); they
-    and the text's hash decide the order, so reruns agree. Null text has size 0 and is repeated like its source;
-    a null source is a source; rows that repeat everything are taken one by one; empty tables give none.
+    falls is found from the sums, and only its rows are ordered. Reruns agree.
+
+    Null text has size 0 and is repeated like its source; a null source is a source; null ids share one turn, by their
+    text's hash; rows that repeat id, source and text are taken alike; sources without words are not taken; an
+    empty table gives none.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    named = [c.cast("string") for c in keys]
-    md5 = F.md5(F.concat_ws(":", F.lit(str(seed)), *named).cast("binary"))
-    sized = cut(
-        docs.select(
-            *[c.alias(o) for c, o in zip(keys, out, strict=True)],
-            F.col(source_col).alias("source"),
-            F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            md5.alias("md5"),
-            F.conv(F.substring(md5, 1, 3), 16, 10).cast("int").alias("bucket"),
-        ),
-        "sized",
-    )
-    per_bucket = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
-    per_source = targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = cut(per_source.withColumn("whole", whole).withColumn("rest", F.col("target") - whole * F.col("source_size")), "plan")
-    same = lambda left, right: left["source"].eqNullSafe(right["source"])
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_bucket.withColumn("before", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))
-    edges = cut(
-        starts.join(plan, same(starts, plan))
-        .filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("bucket_size") > F.col("rest")))
-        .select(per_bucket["source"], "bucket", "before", "rest"),
-        "edges",
-    )
-    edge = edges.withColumnRenamed("source", "edge_source").withColumnRenamed("bucket", "edge_bucket")
-    held = sized.join(F.broadcast(edge) if plan.count() < 100_000 else edge, F.col("source").eqNullSafe(F.col("edge_source")), "left")
-    inside = F.col("edge_bucket").isNotNull() & (F.col("bucket") == F.col("edge_bucket"))
-    row_order = Window.partitionBy("source", "bucket").orderBy("md5", *out).rowsBetween(Window.unboundedPreceding, -1)
-    on_edge = (
-        held.filter(inside)
-        .withColumn("at", F.col("before") + F.coalesce(F.sum("size").over(row_order), F.lit(0)))
-        .withColumn("extra", (F.col("at") + F.col("size") / 2 <= F.col("rest")).cast("long"))
-    )
-    off_edge = held.filter(~inside).withColumn("extra", (F.col("bucket") < F.coalesce("edge_bucket", F.lit(0))).cast("long"))
-    cols = [*out, "source", "size", "extra"]
-    chosen = on_edge.select(*cols).unionByName(off_edge.select(*cols))
-    by = plan.select(F.col("source").alias("plan_source"), "source_size", "target", "whole")
-    joined = chosen.join(F.broadcast(by) if plan.count() < 100_000 else by, F.col("source").eqNullSafe(F.col("plan_source")))
-    most = F.lit(math.ceil(max_epochs)).cast("long")
-    repeats = F.when(F.col("source_size") > 0, F.least(F.col("whole") + F.col("extra"), most)).otherwise(F.lit(0).cast("long"))
-    return joined.select(
-        *out, "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken")
+    columns = marked(docs, id_col, text_col, source_col, seed)
+    sized = cut(docs.select(docs[id_col].alias("id"), *[c.alias(name) for name, c in columns.items()]), "sized")
+    plan, edge = mix_plan(sized, weights, share, max_epochs)
+    names = {c: c for c in ("source", "bucket", "turn", "text_hash", "source_size", "target", "repeats")}
+    return repeats_of(sized, names, plan, edge, max_epochs).select(
+        F.col("id").alias(id_col), "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken")
     )
+
+
+def mix_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1),
+    share: float = 1.5,
+    max_epochs: float = 2.0,
+    seed: int = 17,
+) -> DataFrame:
+    """The mix itself: each document as often as ``mix_counts`` says, with all its columns. Texts are not shuffled."""
+    columns = marked(docs, id_col, text_col, source_col, seed)
+    sized = cut(docs.select(*[c.alias(name) for name, c in columns.items()]), "sized")
+    plan, edge = mix_plan(sized, weights, share, max_epochs)
+    names = {c: fresh(docs, f"mix_{c}") for c in ("source", "bucket", "turn", "text_hash", "source_size", "target", "repeats")}
+    rows = docs.withColumns({names[c]: columns[c] for c in ("source", "bucket", "turn", "text_hash")})
+    counted = repeats_of(rows, names, plan, edge, max_epochs).filter(F.col(names["repeats"]) > 0)
+    once = fresh(docs, "mix_once")
+    spread = counted.withColumn(once, F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["repeats"]))))
+    return spread.select(*[spread[c] for c in docs.columns])

@@ -49,7 +49,7 @@ targets AS (
 ordered AS (
   SELECT s.*, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS whole,
-    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY h, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 mixed AS (
   SELECT *, CASE WHEN source_size > 0 THEN

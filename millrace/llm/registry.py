@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from millrace.llm import oracle, quality
 from millrace.llm.chat_format import conversation_digest, format_conversations
 from millrace.llm.common import fold, scratch, table
@@ -81,7 +82,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_counts(table(spark, sf_dir, "documents"), [F.col("doc_id")])
+    mixed = mix_counts(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -89,7 +90,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_chat_format, op4_simhash, op5_exact_dedup, op6_token_output, op7_secret_scan, op8_quality, op9_mixing, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_chat_format, op4_simhash, op5_exact_dedup, op6_token_output, op7_secret_scan, op8_quality, op9_mixing, op10_decontaminate)} | {"pipeline": corpus_pipeline.run}
 SQL = {"op2_line_dedup": oracle.OP2, "op3_chat_format": oracle.OP3, "op5_exact_dedup": oracle.OP5, "op9_mixing": oracle.OP9, "op10_decontaminate": oracle.OP10}
 
 
