@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Error codes with HTTP status and message.
 CODES = (
-    ("APP_ERROR", None, "An error occurred"),
+    ("APP_ERROR", 500, "An error occurred"),
     ("NOT_FOUND", 404, "Resource not found"),
     ("ALREADY_EXISTS", 409, "Resource already exists"),
     ("VALIDATION_ERROR", 422, "Validation error"),
@@ -36,9 +36,9 @@ STATUS_TEXTS = {
 
 
 def error_dimension(spark: SparkSession, texts: dict[int, str] | None = None) -> DataFrame:
-    """``status, code, message, status_text`` for each code with a status of its own; ``texts`` overrides status texts."""
+    """``status, code, message, status_text`` for each code; ``texts`` overrides status texts."""
     named = STATUS_TEXTS | (texts or {})
-    rows = [(status, code, message, named[status]) for code, status, message in CODES if status]
+    rows = [(status, code, message, named[status]) for code, status, message in CODES]
     return spark.createDataFrame(rows, "status int, code string, message string, status_text string")
 
 

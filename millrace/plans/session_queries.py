@@ -95,7 +95,7 @@ _CODES = """
 @query(_CODES + "SELECT id, r.status, code, message, status_text FROM requests r JOIN codes c USING (status) WHERE status >= 400")
 def error_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = V.requests(spark, sf_dir).filter("status >= 400")
-    named = dimension(spark, {429: "Slow down"}).filter(F.col("code") != "DATABASE_ERROR")
+    named = dimension(spark, {429: "Slow down"}).filter(~F.col("code").isin("APP_ERROR", "DATABASE_ERROR"))
     return failed.join(F.broadcast(named), "status").select("id", "status", "code", "message", "status_text")
 
 
@@ -105,7 +105,7 @@ SELECT code, CASE WHEN status >= 500 THEN 'error' ELSE 'warning' END AS severity
 """)
 def failure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = V.requests(spark, sf_dir).filter("status >= 400").withColumn("details", F.col("path"))
-    named = dimension(spark).filter(F.col("code") != "DATABASE_ERROR")
+    named = dimension(spark).filter(~F.col("code").isin("APP_ERROR", "DATABASE_ERROR"))
     return failure_counts(failed.join(F.broadcast(named), "status"))
 
 
