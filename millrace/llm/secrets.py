@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -17,7 +16,6 @@ ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
@@ -46,8 +44,7 @@ def peak_entropy(text: str, window: int) -> float:
         return 0.0
     part = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
     counts: dict[str, int] = {}
-    total = best = 0.0
-    best = math.inf
+    total, best = 0.0, math.inf
     for i, char in enumerate(text):
         c = counts.get(char, 0)
         total += part[c + 1] - part[c]
@@ -133,8 +130,3 @@ def span_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.sha2(text(base).cast("binary"), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
     )
-
-
-def digest_of(spans: list[tuple[int, int, str]]) -> str:
-    """The digest of ``span_digest`` for one text, for checks."""
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in spans).encode()).hexdigest()
