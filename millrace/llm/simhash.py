@@ -176,8 +176,17 @@ def near_groups(
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stay, with all their columns: of each component the one with the smallest id.
 
-    Rows with a null id stay.
+    Rows with a null id stay. Of rows that repeat both id and text one stays; rows that share the id that stays but not the
+    text all stay.
     """
     groups = near_groups(docs, id_col, text_col, **options)
     dropped = small(cut(groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("drop")), "dropped"))
-    return docs.join(dropped, docs[id_col] == dropped["drop"], "left_anti")
+    kept = docs.join(dropped, docs[id_col] == dropped["drop"], "left_anti")
+    ids = docs.select(docs[id_col].alias("again")).filter("again IS NOT NULL")
+    repeated = cut(ids.groupBy("again").agg(F.count("*").alias("n")).filter("n > 1").select("again"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    again = small(repeated)
+    once = kept.join(again, kept[id_col] == again["again"], "left_anti")
+    more = kept.join(again, kept[id_col] == again["again"], "left_semi")
+    return once.unionByName(more.dropDuplicates([id_col, text_col]))

@@ -119,6 +119,12 @@ def test_near_groups_equal_brute_force(spark):
     assert got == want and len(set(want.values())) < len(rows)
 
 
+def test_repeated_rows_leave_one(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "en", "s", 0), (1, text, "en", "s", 0), (2, text, "fr", "t", 0), (3, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    assert sorted(r.doc_id for r in simhash.near_dedup(documents(spark, rows)).collect()) == [1, 3]
+
+
 def prints_near(centre, n, seed, most):
     rng = random.Random(seed)
     out = set()
