@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import normalize_email, or_default, search_pattern
+from millrace.sources.tables import shared_path
 
 PUBLIC = [
     "id", "email", "full_name", "is_active", "role", "is_app_admin", "avatar_url", "onboarding_completed_at",
@@ -49,15 +50,19 @@ def page_with_total(accounts: DataFrame, text: str | None, skip: int = 0, limit:
     """One page, each row with the number of all matches; an empty page is one row of nulls with the total."""
     total = search(accounts, text).agg(F.count("*").alias("total"))
     rows = page(accounts, text, skip, limit)
-    return total.join(F.broadcast(rows), F.lit(True), "left") if limit <= MOST_PER_PAGE else total
+    return total.join(F.broadcast(rows), F.lit(True), "left")  # at most MOST_PER_PAGE rows
 
 
 def number_pages(df: DataFrame, order: list[Column], size: int, name: str = "page") -> DataFrame:
     """Every row's ``position`` (from 0) in the whole order and its page (from 1), without a global window.
 
-    Rows are dealt out by ranges of the order; counts per range give each range's first position.
+    Rows are dealt out by ranges of the order and written with the number of their range, so that a lost executor cannot
+    deal them anew; counts per range give each range's first position.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).persist()
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "ranges")
+    dealt = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt.write.parquet(path)
+    ranged = spark.read.schema(dealt.schema).parquet(path)
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     first = counts.select(
         "_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.text import or_default
+from millrace.functions.text import normalize_email, or_default
 from millrace.operators import accounts as A
+from millrace.operators.changes import insert_if_absent
 from millrace.plans import views as V
 from millrace.plans.base import query
 
@@ -101,8 +102,6 @@ SELECT id, lower(regexp_replace(email, '^\s+|\s+$', '', 'g')) AS email FROM raw_
 WHERE EXISTS (SELECT 1 FROM accounts a WHERE a.is_active AND a.email = lower(regexp_replace(r.email, '^\s+|\s+$', '', 'g')))
 """)
 def recoverable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.functions.text import normalize_email
-
     asked = V.raw_accounts(spark, sf_dir).select("id", normalize_email(F.col("email")).alias("email"))
     return asked.join(V.accounts(spark, sf_dir).filter("is_active"), "email", "left_semi").select("id", "email")
 
@@ -156,8 +155,6 @@ def first_account(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT lower(regexp_replace(email, '^\s+|\s+$', '', 'g')) AS email, count(*) AS n FROM raw_accounts GROUP BY 1 HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.functions.text import normalize_email
-
     return A.duplicates(V.raw_accounts(spark, sf_dir).select(normalize_email(F.col("email")).alias("email")), "email")
 
 
@@ -203,9 +200,6 @@ firsts AS (SELECT min(id) AS id, email FROM new GROUP BY email)
 SELECT id, email FROM accounts UNION ALL SELECT id, email FROM firsts WHERE email NOT IN (SELECT email FROM accounts)
 """)
 def seed_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.functions.text import normalize_email
-    from millrace.operators.changes import insert_if_absent
-
     new = V.raw_accounts(spark, sf_dir).filter("id % 11 = 0 OR id % 10 = 3")
     new = new.select((F.col("id") + 1000000).alias("id"), normalize_email(F.col("email")).alias("email"))
     return insert_if_absent(V.accounts(spark, sf_dir).select("id", "email"), new.groupBy("email").agg(F.min("id").alias("id")), "email")
