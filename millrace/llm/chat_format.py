@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,9 @@ ROLE, END_ROLE, END_TURN = "[ROLE]", "[/ROLE]", "[/TURN]"
 END_OF_TEXT = "<|endoftext|>"
 CONTROL = ("<<SYS>>", "<</SYS>>", "<s>", "</s>", "[INST]", "[/INST]", ROLE, END_ROLE, END_TURN, END_OF_TEXT)
 
+#: Conversations that are encoded together.
+CHUNK = 64
+
 _REST = r"(s>|/s>|<SYS>>|</SYS>>|\|endoftext\|>|INST\]|/INST\]|ROLE\]|/ROLE\]|/TURN\])"
 #: A control string, or one that already has backslashes after its first character.
 ESCAPE = r"([<\[])(\\*)" + _REST
@@ -107,27 +110,29 @@ def format_conversations(turns: DataFrame, tokenizer_file: str, loss_roles: tupl
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
     whole = whole.select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.text").alias("texts"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(tokenizer_file)
         for batch in batches:
-            for first in range(0, len(batch), 256):
-                yield encode(tokenizer, batch.iloc[first : first + 256])
-
-    def encode(tokenizer, batch: pd.DataFrame) -> pd.DataFrame:
-        rendered = [render(list(zip(r, t, strict=True))) for r, t in zip(batch["roles"], batch["texts"], strict=True)]
-        rows = []
-        for encoding, roles, (text, spans) in zip(
-            tokenizer.encode_batch([t for t, _ in rendered], add_special_tokens=False), batch["roles"], rendered, strict=True
-        ):
-            offsets = np.array(encoding.offsets, dtype=np.int64).reshape(-1, 2)
-            wanted = [span for role, span in zip(roles, spans, strict=True) if role in loss_roles]
-            mask = mask_tokens(offsets[:, 0], offsets[:, 1], wanted)
-            rows.append((text, encoding.ids, mask.tolist(), offsets[:, 0].tolist(), offsets[:, 1].tolist()))
-        out = pd.DataFrame(rows, columns=["formatted", "input_ids", "loss_mask", "token_start", "token_end"])
-        out.insert(0, "conv_id", batch["conv_id"].to_numpy())
-        return out
-
-    return whole.mapInPandas(
+            for first in range(0, batch.num_rows, CHUNK):
+                yield encode(tokenizer, batch.slice(first, CHUNK))
+
+    def encode(tokenizer, batch: pa.RecordBatch) -> pa.RecordBatch:
+        roles, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        rendered = [render(list(zip(r, t, strict=True))) for r, t in zip(roles, texts, strict=True)]
+        ids, masks, starts, ends = [], [], [], []
+        encoded = tokenizer.encode_batch([t for t, _ in rendered], add_special_tokens=False)
+        for encoding, said, (_, spans) in zip(encoded, roles, rendered, strict=True):
+            offsets = np.array(encoding.offsets, dtype=np.int32).reshape(-1, 2)
+            wanted = [span for role, span in zip(said, spans, strict=True) if role in loss_roles]
+            ids.append(np.array(encoding.ids, dtype=np.int32))
+            masks.append(mask_tokens(offsets[:, 0], offsets[:, 1], wanted))
+            starts.append(offsets[:, 0].copy())
+            ends.append(offsets[:, 1].copy())
+        lists = [pa.array(x, pa.list_(kind)) for x, kind in ((ids, pa.int32()), (masks, pa.bool_()), (starts, pa.int32()), (ends, pa.int32()))]
+        names = ["conv_id", "formatted", "input_ids", "loss_mask", "token_start", "token_end"]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in rendered], pa.string()), *lists], names=names)
+
+    return whole.mapInArrow(
         run,
         f"conv_id {kind}, formatted string, input_ids array<int>, loss_mask array<boolean>, "
         "token_start array<int>, token_end array<int>",
@@ -138,21 +143,23 @@ def conversation_digest(formatted: DataFrame) -> DataFrame:
     """Digests read back from formatted conversations: turns from the template, loss text from the token mask."""
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row in batch.itertuples(index=False):
-                turns = parse(row.formatted)
-                said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                offsets = list(zip(row.token_start, row.token_end, strict=True))
-                loss = unescape_runs(row.formatted, offsets, row.loss_mask)
-                rows.append(
-                    (row.conv_id, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss),
-                     hashlib.sha256(loss.encode()).hexdigest(), len(row.formatted))
-                )
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return formatted.mapInPandas(
+            for at in range(batch.num_rows):
+                text, mask, starts, ends = (batch.column(k)[at].as_py() for k in range(1, 5))
+                turns = parse(text)
+                said = "".join(f"{role}\n{words}\n" for role, words in turns)
+                loss = unescape_runs(text, list(zip(starts, ends, strict=True)), mask)
+                digest = (hashlib.sha256(x.encode()).hexdigest() for x in (said, loss))
+                rows.append((len(turns), next(digest), len(loss), next(digest), len(text)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
+
+    return formatted.select("conv_id", "formatted", "loss_mask", "token_start", "token_end").mapInArrow(
         run,
         f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     )
