@@ -42,7 +42,7 @@ def peak_entropy(text: str, window: int) -> float:
     """
     if len(text) < window:
         return 0.0
-    part = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    part = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]  # a character comes in before one goes out
     counts: dict[str, int] = {}
     total, best = 0.0, math.inf
     for i, char in enumerate(text):

@@ -330,6 +330,10 @@ def test_entropy_and_allow_list(spark):
     assert allowed.spans == []
 
 
+def test_entropy_of_one_repeated_character():
+    assert abs(secrets.peak_entropy("a" * 30 + "1", 20) - secrets.peak_entropy("a" * 19 + "1", 20)) < 1e-9
+
+
 @given(st.text(alphabet="abcdef01", min_size=1, max_size=40), st.integers(2, 12))
 @settings(deadline=None)
 def test_sliding_entropy_equals_entropy_of_every_window(text, window):
