@@ -15,9 +15,9 @@ from millrace.llm.mixing import mix_documents
 from millrace.llm.simhash import band_keys, near_dedup
 from millrace.llm.token_output import read_tokens, write_tokens
 
-#: Near-duplicates: five-word shingles, fingerprints of 256 bits. Texts with Jaccard similarity 0.8 differ in about 39 bits
+#: Near-duplicates: Jaccard similarity 0.8 of five-word shingle sets, candidates by fingerprints of 256 bits. Texts with Jaccard similarity 0.8 differ in about 39 bits
 #: (standard deviation 6), with 0.7 in about 49.
-NEAR = {"shingle": 5, "words": 4, "radius": 46}
+NEAR = {"shingle": 5, "words": 4, "radius": 46, "least": 0.8}
 BANDS = 64
 
 

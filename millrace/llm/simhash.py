@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bitslice import link_runs
+from millrace.llm.bitslice import Labels, link_runs
 from millrace.llm.common import cut, small
 from millrace.llm.components import components
 
@@ -21,6 +21,10 @@ SEED = 42
 BLOCK = 2048
 #: Rows that a task compares at a time (whole runs of a key, so one run may exceed it).
 BATCH_ROWS = 1 << 16
+#: As ``BLOCK``, where shingle sets travel with the rows.
+SET_BLOCK = 1024
+#: Pairs whose shingle sets are compared before classes are looked at again.
+STEP = 512
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -98,6 +102,20 @@ def band_keys(words: int, bands: int, band_bits: int = 16) -> Column:
     return F.array(*keys)
 
 
+def dealt_out(keyed: DataFrame, row: str, block: int) -> DataFrame:
+    """``key, row`` with every key of over ``block`` rows replaced by one key for each pair of its blocks."""
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    hot = small(cut(counts.select("key", F.ceil(F.col("n") / block).alias("blocks")), "hot"))
+    dealt = keyed.join(hot, "key", "left").select(row, "key", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit("block"), row), "blocks")
+    each = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    spread = dealt.select(row, "key", "blocks", own.alias("own"), F.explode(each).alias("other"))
+    pair = F.when(F.col("blocks") == 1, F.col("key")).otherwise(
+        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    )
+    return spread.select(pair.alias("key"), row)
+
+
 def fingerprint_links(distinct: DataFrame, keys: Column, radius: int, words: int = 1, block: int = BLOCK) -> DataFrame:
     """``a, b``: for each key, fingerprints in one class of it and the first of that class.
 
@@ -105,16 +123,7 @@ def fingerprint_links(distinct: DataFrame, keys: Column, radius: int, words: int
     dealt out: its rows fall into blocks by hash, and each pair of blocks is a key of its own.
     """
     keyed = distinct.select("fp", F.explode(keys).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
-    hot = small(cut(counts.select("key", F.ceil(F.col("n") / block).alias("blocks")), "hot"))
-    dealt = keyed.join(hot, "key", "left").select("fp", "key", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    own = F.pmod(F.xxhash64(F.lit("block"), "fp"), "blocks")
-    each = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    spread = dealt.select("fp", "key", "blocks", own.alias("own"), F.explode(each).alias("other"))
-    pair = F.when(F.col("blocks") == 1, F.col("key")).otherwise(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    )
-    rows = spread.select(pair.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    rows = dealt_out(keyed, "fp", block).repartition("key").sortWithinPartitions("key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys, held = np.empty(0, dtype=np.int64), np.empty((0, words), dtype=np.uint64)
@@ -141,6 +150,130 @@ def fingerprint_links(distinct: DataFrame, keys: Column, radius: int, words: int
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def set_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
+    """``id, text_hash, fp, sk`` for every row: the fingerprint of the distinct shingles and a 128-bit name of their set."""
+
+    @F.pandas_udf("fp binary, sk binary")
+    def prints(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+        return pd.DataFrame({"fp": [fingerprint(x, words) for x in sets], "sk": [set_name(x) for x in sets]}, dtype=object)
+
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("text_hash"), prints(F.col(text_col)).alias("p"))
+    return rows.select("id", "text_hash", "p.fp", "p.sk")
+
+
+def text_hash(text: str | Column) -> Column:
+    return F.xxhash64(F.lit("text"), text)
+
+
+def set_name(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def similar_links(fps: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first row of its class), for rows not first: classes of rows linked by sets with Jaccard similarity ``least``.
+
+    Every pair within ``radius`` bits is either compared by its sets or already in one class; the nearest come first.
+    """
+    n = len(sets)
+    labels, sizes = Labels(n), np.array([len(x) for x in sets])
+    found = []
+    for first in range(0, n, 256):
+        far = np.bitwise_count(fps[first : first + 256, None, :] ^ fps[None, first:, :]).sum(axis=2, dtype=np.uint16)
+        near = far <= radius
+        near &= np.minimum(sizes[first : first + 256, None], sizes[None, first:]) >= least * np.maximum(sizes[first : first + 256, None], sizes[None, first:]) - 1e-9
+        i, j = np.nonzero(near)
+        ahead = j > i
+        found.append((i[ahead] + first, j[ahead] + first, far[i[ahead], j[ahead]]))
+    i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(far, kind="stable")
+    i, j = i[order], j[order]
+    at = 0
+    while at < len(i):
+        apart = labels.of[i[at:]] != labels.of[j[at:]]
+        i, j, at = i[at:][apart], j[at:][apart], 0
+        same = [jaccard(sets[a], sets[b]) >= least - 1e-9 for a, b in zip(i[:STEP].tolist(), j[:STEP].tolist(), strict=True)]
+        labels.join(i[:STEP][same], j[:STEP][same])
+        at = STEP
+    row = np.flatnonzero(labels.of != np.arange(n))
+    return row, labels.of[row]
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets, each sorted and without repeats."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def verified_links(member: DataFrame, sets: DataFrame, radius: int, least: float, words: int, block: int = SET_BLOCK) -> DataFrame:
+    """``a, b``: names of sets in one class of similarity ``least``, among those of one candidate group.
+
+    ``member`` has ``key`` (the group), ``sk`` and ``fp``, ``sets`` the shingle hashes of each ``sk``. A group of over
+    ``block`` sets is dealt out as pairs of blocks, so all its pairs meet.
+    """
+    dealt = dealt_out(member.select("key", "sk"), "sk", block)
+    held = member.select("sk", "fp").join(sets, "sk")
+    rows = dealt.join(held, "sk").select("key", "sk", "fp", "hashes").repartition("key").sortWithinPartitions("key", "sk")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def linked():
+            fps = np.frombuffer(b"".join(r[1] for r in held), dtype=np.uint64).reshape(-1, words)
+            row, first = similar_links(fps, [np.frombuffer(r[2], dtype=np.uint64) for r in held], radius, least)
+            return pa.RecordBatch.from_arrays([pa.array([held[k][0] for k in at], pa.binary()) for at in (row, first)], names=["a", "b"])
+
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key and len(held) > 1:
+                    yield linked()
+                if k != key:
+                    key, held = k, []
+                held.append(row)
+        if len(held) > 1:
+            yield linked()
+
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, words: int, keys: Column, least: float
+) -> DataFrame:
+    """``id, text_hash, component_id`` for every row, as ``near_groups``, but links are pairs of distinct shingle sets with
+    Jaccard similarity ``least`` or more.
+
+    Fingerprints (of distinct shingles) only find the groups whose sets are compared: pairs within ``radius`` bits that
+    are linked by ``keys``, at any remove. Texts without words are alike.
+    """
+    prints = cut(set_prints(docs, id_col, text_col, shingle, words), "fingerprints")
+    distinct = cut(prints.groupBy("sk", "fp").agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash")), "distinct")
+    roots = components(fingerprint_links(distinct.select("fp").distinct(), keys, radius, words))
+    group = F.xxhash64(F.coalesce("root", "fp"))
+    grouped = cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("sk", "fp", "text_hash", group.alias("key")), "grouped")
+    several = small(cut(grouped.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "several"))
+    member = cut(grouped.join(several, "key", "left_semi"), "member")
+    wanted = small(cut(member.select(F.col("text_hash").alias("wanted")).distinct(), "wanted"))
+    texts = docs.join(wanted, text_hash(docs[text_col]) == wanted["wanted"], "left_semi").select(docs[text_col].alias("text"))
+
+    @F.pandas_udf("sk binary, hashes binary")
+    def hashed(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+        return pd.DataFrame({"sk": [set_name(x) for x in sets], "hashes": [x.tobytes() for x in sets]}, dtype=object)
+
+    sets = texts.select(hashed(F.col("text")).alias("s")).select("s.sk", "s.hashes")
+    sets = cut(sets.groupBy("sk").agg(F.first("hashes").alias("hashes")), "sets")
+    roots = components(verified_links(member, sets, radius, least, words))
+    rooted = cut(
+        distinct.join(roots, F.col("sk") == F.col("node"), "left").select("sk", "first", F.coalesce("root", "sk").alias("root")),
+        "rooted",
+    )
+    smallest = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    named = cut(rooted.join(smallest, "root").select("sk", "component_id"), "member")
+    return prints.join(named, "sk").select("id", "text_hash", "component_id")
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -173,14 +306,20 @@ def near_groups(
     return prints.join(member, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | None = None, **options) -> DataFrame:
     """The documents that stay, with all their columns: of each component the one with the smallest id.
 
+    With ``least`` documents are linked by the Jaccard similarity of their shingle sets (``similar_groups``), else by
+    fingerprints alone (``near_groups``).
+
     Rows with a null id stay. Of rows that repeat both id and text one stays; rows that share the id that stays but not the
     text all stay.
     """
-    groups = near_groups(docs, id_col, text_col, **options)
-    dropped = small(cut(groups.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("drop")), "dropped"))
+    if least is None:
+        groups = near_groups(docs, id_col, text_col, **options).select(F.col(id_col).alias("id"), "component_id")
+    else:
+        groups = similar_groups(docs, id_col, text_col, least=least, **options)
+    dropped = small(cut(groups.filter("id <> component_id").select(F.col("id").alias("drop")), "dropped"))
     kept = docs.join(dropped, docs[id_col] == dropped["drop"], "left_anti")
     ids = docs.select(docs[id_col].alias("again")).filter("again IS NOT NULL")
     repeated = cut(ids.groupBy("again").agg(F.count("*").alias("n")).filter("n > 1").select("again"), "repeated")

@@ -16,6 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from support import SF, from_spark, from_sql
 
+import corpus_pipeline
 from millrace.llm import bitslice, chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, range_coder, registry, secrets, simhash, token_output
 from millrace.llm.common import scratch
 from millrace.llm.components import components
@@ -125,6 +126,46 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(documents(spark, rows)).collect()) == [1, 3]
 
 
+def jaccard_rows(seed):
+    """Texts of one family with similarities on both sides of 0.8, some with a line that is repeated."""
+    rng = random.Random(seed)
+    rows, line = [], "one line that is said again "
+    for family in range(40):
+        size = rng.choice([10, 40, 120, 300])
+        text = [f"f{family}w{k}" for k in range(size)]
+        rows.append(" ".join(text))
+        for part in (0.02, 0.08, 0.12, 0.2, 0.3):
+            cut_at = max(1, round(size * part))
+            rows.append(" ".join(text[:-cut_at] + [f"n{rng.random()}" for _ in range(cut_at)]))
+    rows += [line * 20 + " ".join(f"r{k}w{n}" for n in range(200)) for k in range(12)]
+    return [(i, t, "en", "s", 0) for i, t in enumerate(rows)]
+
+
+def similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def brute_survivors(rows, least):
+    root = {r[0]: r[0] for r in rows}
+    for x, (i, s, *_) in enumerate(rows):
+        for j, t, *_ in rows[x + 1 :]:
+            if similarity(s, t) >= least and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+@pytest.mark.parametrize("block", [simhash.SET_BLOCK, 3])
+def test_pipeline_drops_documents_at_jaccard_and_no_others(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash.verified_links, "__defaults__", (block,))
+    rows = jaccard_rows(1)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, documents(spark, rows), SF).collect()}
+    want = brute_survivors(rows, 0.8)
+    assert want <= got  # nothing is dropped without a partner at 0.8
+    assert len(got - want) <= 1
+
+
 def prints_near(centre, n, seed, most):
     rng = random.Random(seed)
     out = set()
