@@ -66,13 +66,13 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, words: int = 1) -> DataFrame:
-    """``id, fp`` for every row: the fingerprint of 64 * ``words`` bits as binary."""
+    """``id, text_hash, fp`` for every row: the fingerprint of 64 * ``words`` bits as binary."""
 
     @F.pandas_udf("binary")
     def simhash(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(shingle_hashes(t, shingle), words) for t in texts], dtype=object)
 
-    return docs.select(F.col(id_col).alias("id"), simhash(F.col(text_col)).alias("fp"))
+    return docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("text_hash"), simhash(F.col(text_col)).alias("fp"))
 
 
 def exact_keys(radius: int, spare: int = 2) -> Column:
@@ -293,6 +293,14 @@ def near_groups(
     no id: a component of null ids only has a null id. Rows that repeat an id are all returned. Other columns are
     ignored; an empty table gives none. Copies are merged by fingerprint before anything is compared.
     """
+    groups = print_groups(docs, id_col, text_col, shingle, radius, words, keys)
+    return groups.select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+def print_groups(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, radius: int = 4, words: int = 1, keys: Column | None = None
+) -> DataFrame:
+    """``id, text_hash, fp, component_id`` for every row: what ``near_groups`` returns, with the row's text hash."""
     prints = cut(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     links = fingerprint_links(distinct.select("fp"), exact_keys(radius) if keys is None else keys, radius, words)
@@ -303,7 +311,7 @@ def near_groups(
     )
     least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     member = cut(rooted.join(least, "root").select("fp", "component_id"), "member")
-    return prints.join(member, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    return prints.join(member, "fp").select("id", "text_hash", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float | None = None, **options) -> DataFrame:
@@ -312,15 +320,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     With ``least`` documents are linked by the Jaccard similarity of their shingle sets (``similar_groups``), else by
     fingerprints alone (``near_groups``).
 
-    Rows with a null id stay. Of rows that repeat both id and text one stays; rows that share the id that stays but not the
-    text all stay.
+    Rows are told apart by id and text hash, so a row that repeats the id of a dropped one stays unless its own text is
+    dropped. Rows with a null id stay. Of rows that repeat both id and text one stays; rows that share the id that stays
+    but not the text all stay.
     """
     if least is None:
-        groups = near_groups(docs, id_col, text_col, **options).select(F.col(id_col).alias("id"), "component_id")
+        groups = print_groups(docs, id_col, text_col, **options)
     else:
         groups = similar_groups(docs, id_col, text_col, least=least, **options)
-    dropped = small(cut(groups.filter("id <> component_id").select(F.col("id").alias("drop")), "dropped"))
-    kept = docs.join(dropped, docs[id_col] == dropped["drop"], "left_anti")
+    dropped = small(cut(groups.filter("id <> component_id").select(F.col("id").alias("drop"), F.col("text_hash").alias("drop_hash")), "dropped"))
+    same = (docs[id_col] == dropped["drop"]) & (text_hash(docs[text_col]) == dropped["drop_hash"])
+    kept = docs.join(dropped, same, "left_anti")
     ids = docs.select(docs[id_col].alias("again")).filter("again IS NOT NULL")
     repeated = cut(ids.groupBy("again").agg(F.count("*").alias("n")).filter("n > 1").select("again"), "repeated")
     if repeated.isEmpty():

@@ -126,6 +126,15 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(documents(spark, rows)).collect()) == [1, 3]
 
 
+@pytest.mark.parametrize("verified", [False, True])
+def test_text_of_its_own_stays_though_its_id_is_dropped(spark, verified):
+    x, y = " ".join(f"x{i}" for i in range(50)), " ".join(f"y{i}" for i in range(50))
+    rows = [(2, x, "en", "s", 0), (5, x, "en", "s", 0), (5, y, "en", "s", 0)]
+    options = {**corpus_pipeline.NEAR, "keys": simhash.band_keys(4, 64)} if verified else {}
+    got = simhash.near_dedup(documents(spark, rows), **options).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(2, x), (5, y)]
+
+
 def jaccard_rows(seed):
     """Texts of one family with similarities on both sides of 0.8, some with a line that is repeated."""
     rng = random.Random(seed)
