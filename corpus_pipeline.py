@@ -12,13 +12,14 @@ from millrace.llm import quality
 from millrace.llm.common import cut, scratch, table
 from millrace.llm.decontaminate import remove_contaminated
 from millrace.llm.mixing import mix_documents
-from millrace.llm.simhash import band_keys, near_dedup
+from millrace.llm.simhash import near_dedup, sampled_keys
 from millrace.llm.token_output import read_tokens, write_tokens
 
-#: Near-duplicates: Jaccard similarity 0.8 of five-word shingle sets, candidates by fingerprints of 256 bits. Texts with Jaccard similarity 0.8 differ in about 39 bits
-#: (standard deviation 6), with 0.7 in about 49.
-NEAR = {"shingle": 5, "words": 4, "radius": 46, "least": 0.8}
-BANDS = 64
+#: Near-duplicates: Jaccard similarity 0.8 of five-word shingle sets, candidates by fingerprints of 256 bits. Texts with
+#: similarity 0.8 differ in about 39 bits (standard deviation 6), small sets in up to 48.
+NEAR = {"shingle": 5, "words": 4, "radius": 64, "least": 0.8}
+#: Number of keys and bits of each through which candidates are found.
+KEYS = (96, 13)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
-    return near_dedup(docs, keys=band_keys(NEAR["words"], BANDS), **NEAR)
+    return near_dedup(docs, keys=sampled_keys(NEAR["words"], *KEYS), **NEAR)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

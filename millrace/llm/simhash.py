@@ -89,17 +89,27 @@ def exact_keys(radius: int, spare: int = 2) -> Column:
     return F.array(*keys)
 
 
-def band_keys(words: int, bands: int, band_bits: int = 16) -> Column:
-    """Keys from ``bands`` runs of 16 bits, spread over the fingerprint; two that share no run are not compared."""
-    total = 64 * words // band_bits
-    size = band_bits // 8
-    place = [F.substring("fp", 1 + size * (n % total), size) for n in range(min(bands, total))]
-    keys = [F.xxhash64(F.lit(n), p) for n, p in enumerate(place)]
-    # Further bands join the high byte of one run with the low byte of another.
-    for n in range(max(0, bands - total)):
-        i, j = n % total, (n + 1 + n // total * 3) % total
-        keys.append(F.xxhash64(F.lit(total + n), F.substring("fp", 1 + size * i, 1), F.substring("fp", size * (j + 1), 1)))
-    return F.array(*keys)
+def sampled_keys(words: int, count: int, bits: int) -> Column:
+    """``count`` keys, each of ``bits`` places of the fingerprint drawn at random (the same for all rows and runs).
+
+    Two fingerprints that differ in d of 256 bits share one key with probability about (1 - d/256)^bits, and the keys are
+    close to independent, so the share of pairs without a common key falls with ``count`` like a power.
+    """
+    rng = np.random.default_rng(SEED)
+    places = np.concatenate([np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(count)])
+    weights = np.left_shift(1, np.arange(bits, dtype=np.int64))
+    number = np.arange(count, dtype=np.int64) << bits
+
+    @F.pandas_udf("array<bigint>")
+    def keys(fps: pd.Series) -> pd.Series:
+        out = []
+        for first in range(0, len(fps), 1024):
+            part = b"".join(fps.iloc[first : first + 1024])
+            flags = np.unpackbits(np.frombuffer(part, dtype=np.uint8).reshape(-1, 8 * words), axis=1)
+            out += list((flags[:, places].reshape(-1, count, bits) @ weights) + number)
+        return pd.Series(out, dtype=object)
+
+    return keys("fp")
 
 
 def dealt_out(keyed: DataFrame, row: str, block: int) -> DataFrame:
@@ -287,7 +297,7 @@ def near_groups(
 
     Texts are lower-cased (A-Z only) and split at ASCII white space; shingles of ``shingle`` words, repeats included, are
     hashed by XXH64. Fingerprints are linked if they differ in at most ``radius`` bits. With one word of 64 bits the
-    search is exact (``exact_keys``); wider fingerprints take ``keys`` such as ``band_keys``.
+    search is exact (``exact_keys``); wider fingerprints take ``keys`` such as ``sampled_keys``.
 
     Null and empty texts have no words: their fingerprint is zero, and they are linked like any other. Null ids count as
     no id: a component of null ids only has a null id. Rows that repeat an id are all returned. Other columns are
