@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Kinds in the order in which spans with one start are listed.
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_base32", "entropy_base62")
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE
 )
@@ -19,10 +19,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
-#: Character class, its alphabet, window length and the entropy in bits that some window must reach.
+#: Character class, its alphabet, window length and the entropy in bits that some window must reach. Each class scans what
+#: those before it have left of a run; limits of the smaller alphabets lie at about the lowest 1 % of their random windows.
 CLASSES = (
     ("entropy_hex", re.compile(r"[0-9A-Fa-f]+"), 20, 3.0),
     ("entropy_base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.9),
+    ("entropy_lower", re.compile(r"[a-z0-9]+"), 20, 3.4),
+    ("entropy_base32", re.compile(r"[A-Z2-7]+"), 20, 3.34),
+    ("entropy_base62", re.compile(r"[A-Za-z0-9]+"), 20, 3.64),
 )
 #: Candidates that match one of these whole are not secrets: words with dashes or underscores, plain numbers,
 #: paths of words, UUIDs, ISO dates and times.
@@ -71,17 +75,20 @@ def entropy_spans(text: str, allow: re.Pattern, covered: list[tuple[int, int, st
     for run in CANDIDATE.finditer(text):
         if allow.fullmatch(run[0]):
             continue
+        left = [run.span()]
         for kind, alphabet, window, least in CLASSES:
-            hits = []
-            for m in alphabet.finditer(text, run.start(), run.end()):
-                a, b, string = m.start(), m.end(), m[0]
-                if b - a < window or allow.fullmatch(string) or any(s <= a and b <= e for s, e, _ in covered):
-                    continue
-                if peak_entropy(string, window) >= least:
-                    hits.append((a, b, kind))
-            if hits:
-                spans += hits
-                break
+            rest = []
+            for start, end in left:
+                for m in alphabet.finditer(text, start, end):
+                    a, b, string = m.start(), m.end(), m[0]
+                    if b - a < window or allow.fullmatch(string) or any(s <= a and b <= e for s, e, _ in covered):
+                        continue
+                    if peak_entropy(string, window) >= least:
+                        spans.append((a, b, kind))
+                        rest.append((start, a))
+                        start = b
+                rest.append((start, end))
+            left = rest
     return spans
 
 
@@ -97,7 +104,7 @@ def find_secrets(
     """One row per document: ``id_col`` and ``spans``, an array of (kind, start, end) in code points, end exclusive.
 
     Fixed formats are ``assign``, ``access`` and ``hex``. The entropy method adds runs of 20 or more characters of one
-    class (``entropy_hex``, ``entropy_base64``) that have a window of high entropy and are neither inside a fixed
+    class (``entropy_hex``, ``entropy_base64``, and smaller alphabets) that have a window of high entropy and are neither inside a fixed
     span nor matched whole by an ``allow`` pattern. Null and empty texts have no spans; null ids and repeated
     rows are scanned like any other; other columns are ignored. Rows are independent, nothing is shuffled.
     """

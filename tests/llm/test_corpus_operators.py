@@ -393,6 +393,34 @@ def test_entropy_and_allow_list(spark):
     assert allowed.spans == []
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))])
+@pytest.mark.parametrize("length", [20, 24, 32])
+def test_recall_of_random_tokens(letters, length):
+    import re
+
+    rng, allow = random.Random(9), re.compile("|".join(f"(?:{p})" for p in secrets.ALLOW))
+    tokens = ["".join(rng.choices(letters, k=length)) for _ in range(400)]
+    tokens = [t for t in tokens if not allow.fullmatch(t)]  # letters only, say
+    found = [any(a <= 2 and b >= 2 + length for a, b, _ in secrets.scan(f"a {t} b", allow)) for t in tokens]
+    assert np.mean(found) >= 0.95
+
+
+def test_rest_of_a_run_is_scanned_after_a_hex_hit():
+    import re
+
+    token = "Zq8Lw3RtYx7KpMv2HsNj5GdUc9"
+    text = f"0123456789abcdef0123_{token}"
+    assert (21 - 1, len(text), "entropy_base64") in secrets.scan(text, re.compile(r"(?!)"))
+
+
+def test_words_with_numbers_are_no_secrets():
+    import re
+
+    allow = re.compile("|".join(f"(?:{p})" for p in secrets.ALLOW))
+    text = "chapter-12-of-the-long-story the_value_of_2024_report averyveryverylongordinarywordofletters 2024-01-01T00:00:00 THE-WHOLE-TITLE-IN-CAPITALS"
+    assert secrets.scan(text, allow) == []
+
+
 def test_entropy_of_one_repeated_character():
     assert abs(secrets.peak_entropy("a" * 30 + "1", 20) - secrets.peak_entropy("a" * 19 + "1", 20)) < 1e-9
 
