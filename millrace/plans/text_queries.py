@@ -145,7 +145,8 @@ def query_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tag": (F.array("title", "description"), "array"),
         "by": (F.create_map(F.lit("owner"), F.col("owner_id").cast("string"), F.lit("gone"), F.lit(None).cast("string")), "map"),
     }
-    return V.items(spark, sf_dir).select("id", F.substring(X.query_string(parameters), 2, 10000).alias("query"))
+    query_string = X.query_string(parameters)
+    return V.items(spark, sf_dir).select("id", F.substring(query_string, 2, F.length(query_string)).alias("query"))
 
 
 @query("SELECT id, '/api/v1/items/' || id || '/owners/' || owner_id || '/{version}' AS path FROM items")
@@ -217,7 +218,7 @@ def parse_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("x"), "props")).otherwise(F.col("props"))
     rows = V.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), broken.alias("body"))
     parsed = tables.parse_payload(rows, "body", T.StructType([T.StructField("k", T.LongType())]))
-    corrupt = F.when(F.col("_corrupt").isNotNull(), F.concat(F.substring("_corrupt", 2, 10000), F.lit("}x")))
+    corrupt = F.when(F.col("_corrupt").isNotNull(), F.concat(F.substring("_corrupt", 2, F.length("_corrupt")), F.lit("}x")))
     return parsed.select("id", "k", corrupt.alias("corrupt"))
 
 

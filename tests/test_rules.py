@@ -17,6 +17,7 @@ from millrace.operators import accounts as A
 from millrace.operators import changes as M
 from millrace.operators import claims
 from millrace.operators import sessions as S
+from millrace.plans import text_queries
 from millrace.plans import views as V
 from millrace.sources import tables
 from millrace.streaming import streams
@@ -204,6 +205,15 @@ def test_stream_equals_batch_in_any_order_within_the_delay(spark, tmp_path, kind
     assert sorted(map(tuple, found)) == sorted(tuple(r) for r in want.collect() if r.id in passed)
 
 
+def test_long_titles_and_payloads_are_not_cut(spark, tmp_path):
+    long = "a" * 12_000
+    spark.read.parquet(f"{SF}/orders.parquet").limit(1).withColumn("o_orderpriority", F.lit(long)).write.parquet(str(tmp_path / "orders.parquet"))
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(1).withColumns({"event_id": F.lit(10).cast("long"), "props": F.lit(long)})
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    assert f"&tag={long}" in text_queries.query_strings(spark, str(tmp_path)).first().query
+    assert text_queries.parse_payload(spark, str(tmp_path)).first().corrupt == long + "}x"
+
+
 def test_batches_replace_their_replays(spark, tmp_path):
     df = spark.range(5)
     tables.write_batch(df.filter("id < 3"), str(tmp_path), "7")
