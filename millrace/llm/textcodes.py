@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import regex
@@ -29,7 +28,6 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-@cache
 def every_character() -> str:
     """All characters but the surrogates, in order."""
     codes = np.r_[0:0xD800, 0xE000:TABLE_SIZE].astype("<u4")
