@@ -1,130 +1,207 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
 All blocks of a segment are coded side by side: step t codes token t of every block with arrays over the blocks. Blocks
-share no state, so each can be decoded by itself.
+share no state that changes, so each can be decoded by itself, given the segment's head.
 
-The model of a block predicts an id from the last two ids (order 2) and from the last one (order 1); each prediction
-has a confidence. Three outcomes are coded first: the order-2 prediction holds, the order-1 prediction holds, neither. Their
-probabilities adapt in a context made of both confidences and of whether the predictions agree. After
-"neither" the id follows as two bytes under adaptive order-0 frequencies.
+* Order 0: how often each id occurs in the segment. The head holds these frequencies; they are every block's first state.
+* Order 1: after each id an id that is expected, and how sure that is. It starts from the head, too, and adapts.
+* Order 2: the same after each pair of ids; it starts empty.
+
+A token is coded as one of three outcomes, "what order 2 expects", "what order 1 expects", or neither, and then, if neither, by
+order 0. The probability of the first two is mixed from what all three orders say: each has an adaptive probability in its
+own context (how sure the prediction is, or how frequent the expected id is at all), these are added up as log-odds
+under weights that a block learns as it goes on, and the sum is turned back into a probability. All of it is integer arithmetic,
+so any two machines agree.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from decimal import Decimal
 
 import numpy as np
 
-MAGIC = b"MRC1"
+MAGIC = b"MRC2"
 #: Tokens in a block, which is coded with a fresh model.
-BLOCK_TOKENS = 2048
-HEADER = "<4sIII"  # magic, block length, blocks, tokens
+BLOCK_TOKENS = 4096
+HEADER = "<4sIIIII"  # magic, block length, blocks, tokens, bytes of the head, checksum of the head
 
-SLOTS = 1 << 10  # predictions kept per order and block
+FIRST_SLOTS, SECOND_SLOTS = 1 << 12, 1 << 12  # predictions kept per block
+SURE = 8  # levels of confidence
 STATE = 62  # bits of the coder's interval
 WORD = 16
 TOP = 1 << (STATE - WORD)
 LEAST = 1 << 40  # the interval is kept at least this long
-FLAG_BITS, BYTE_BITS = 10, 11
-REFRESH = 128  # steps between two updates of the byte frequencies
+FLAG_BITS, ID_BITS = 15, 18
+PAIRS = 1 << 18  # pairs from which the head's expected successors are taken
 U = np.uint64
+FLAG_SHIFT, ID_SHIFT, WORD_SHIFT = U(FLAG_BITS), U(ID_BITS), U(WORD)
+_TOP, _LEAST, _MASK = U(TOP), U(LEAST), U((1 << STATE) - 1)
+
+#: Log-odds (256 to the unit, from -2047 to 2047) to a probability of 4096, and back.
+SQUASH = np.array([min(4095, max(1, int(4096 / (1 + (Decimal(-z) / 256).exp())))) for z in range(-2047, 2048)], dtype=np.int64)
+STRETCH = (np.searchsorted(SQUASH, np.arange(4096), side="right") - 2048).clip(-2047, 2047).astype(np.int64)
+
+
+class Prior:
+    """What the head of a segment says: frequencies of ids (of 1 << ID_BITS) and an expected successor of each."""
+
+    def __init__(self, ids: np.ndarray, frequency: np.ndarray, successor: np.ndarray) -> None:
+        self.ids, self.successor = ids.astype(np.int64), successor.astype(np.int64)
+        self.frequency = np.zeros(1 << 16, dtype=np.int64)
+        self.frequency[self.ids] = frequency
+        self.start = (np.cumsum(self.frequency) - self.frequency).astype(np.uint64)
+        self.inverse = np.repeat(np.arange(1 << 16, dtype=np.uint16), self.frequency)
+        rank = np.frexp(np.maximum(self.frequency, 1).astype(float))[1] - 1  # exact: the position of the highest bit
+        self.rank = np.minimum(rank, 15).astype(np.int64)
+        self.frequency = self.frequency.astype(np.uint64)
+
+    @classmethod
+    def of(cls, tokens: np.ndarray) -> Prior:
+        counts = np.bincount(tokens, minlength=1 << 16)
+        ids = np.flatnonzero(counts)
+        total, many = 1 << ID_BITS, counts[ids]
+        frequency = 1 + many * (total - len(ids)) // max(1, many.sum())
+        if len(ids):
+            frequency[many.argmax()] += total - frequency.sum()
+        at = np.arange(0, len(tokens) - 1, max(1, len(tokens) // PAIRS))
+        pairs, seen = np.unique(tokens[at].astype(np.int64) << 16 | tokens[at + 1], return_counts=True)
+        pairs = pairs[np.argsort(seen, kind="stable")]
+        successor = np.zeros(1 << 16, dtype=np.int64)
+        successor[pairs >> 16] = pairs & 0xFFFF  # of several the most frequent is set last
+        return cls(ids, frequency, successor[ids])
+
+    def pack(self) -> bytes:
+        parts = (self.ids.astype("<u2"), self.frequency[self.ids].astype("<u4"), self.successor.astype("<u2"))
+        return zlib.compress(b"".join(p.tobytes() for p in parts))
+
+    @classmethod
+    def unpack(cls, head: bytes) -> Prior:
+        raw = zlib.decompress(head)
+        n = len(raw) // 8
+        return cls(np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<u4", n, 2 * n), np.frombuffer(raw, "<u2", n, 6 * n))
 
 
 class Model:
     """State of all blocks' models, advanced by one token at a time."""
 
-    def __init__(self, blocks: int) -> None:
-        self.n = blocks
-        rows = np.arange(blocks, dtype=np.int64)
-        self.slots, self.contexts, self.bytes = rows * SLOTS, rows * 32, rows * 256
-        self.first = np.zeros(blocks * SLOTS, dtype=np.uint32)  # order 1: id << 2 | confidence
-        self.second = np.zeros(blocks * SLOTS, dtype=np.uint32)
-        self.p_second = np.full(blocks * 32, 1 << 11, dtype=np.int32)  # of 1 << 12
-        self.p_first = np.full(blocks * 32, 1 << 11, dtype=np.int32)
-        self.counts = [np.zeros(blocks * 256, dtype=np.int32) for _ in range(2)]
-        self.last = np.zeros(blocks, dtype=np.int64)
-        self.before = np.zeros(blocks, dtype=np.int64)
-        self.step = 0
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Frequencies of both bytes from their counts: every byte has at least 1 of 1 << BYTE_BITS."""
-        total = 1 << BYTE_BITS
-        self.start, self.frequency = [], []
-        for counts in self.counts:
-            table = counts.reshape(self.n, 256)
-            frequency = 1 + table * (total - 256) // np.maximum(table.sum(axis=1, keepdims=True), 1)
-            frequency[:, 0] += total - frequency.sum(axis=1)
-            start = np.cumsum(frequency, axis=1) - frequency
-            self.frequency.append(frequency.astype(np.int32).ravel())
-            self.start.append(start.astype(np.int32).ravel())
-
-    def inverse(self, which: int) -> np.ndarray:
-        """For every block and value below 1 << BYTE_BITS its byte."""
-        return np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), self.frequency[which])
+    def __init__(self, blocks: int, prior: Prior) -> None:
+        self.n, self.prior = blocks, prior
+        self.rows = rows = np.arange(blocks, dtype=np.int64)
+        every = np.arange(1 << 16, dtype=np.int64)
+        self.slot, self.slot_before = (every * 40503 >> 4) & (FIRST_SLOTS - 1), every * 27767 >> 3
+        row = np.zeros(FIRST_SLOTS, dtype=np.uint32)  # id << 3 | confidence
+        order = np.argsort(prior.frequency[prior.ids], kind="stable")  # of ids in one slot the most frequent is set last
+        row[self.slot[prior.ids[order]]] = prior.successor[order] << 3 | 1
+        self.first = np.tile(row, blocks)
+        self.second = np.zeros(blocks * SECOND_SLOTS, dtype=np.uint32)
+        self.first_row, self.second_row = rows * FIRST_SLOTS, rows * SECOND_SLOTS
+        sure = np.arange(SURE)
+        start = np.repeat((65536 * (sure + 0.5) / (sure + 1.5)).astype(np.int64), 2)
+        # Probabilities (of 65536): a row per context, a column per block.
+        tables = [start, start, np.full(32, 20_000), np.full(64, 20_000)]
+        self.p = [np.repeat(t.astype(np.int64), blocks) for t in tables]
+        self.weights = [np.full(blocks * SURE, 26_000, dtype=np.int64) for _ in range(3)]
+        self.last, self.before = np.zeros(blocks, dtype=np.int64), np.zeros(blocks, dtype=np.int64)
 
     def predict(self) -> None:
-        last, before = self.last, self.before
-        self.at_first = self.slots + ((last * 40503 >> 5) & (SLOTS - 1))
-        self.at_second = self.slots + (((last * 31321 + before * 27767) >> 4) & (SLOTS - 1))
-        first, second = self.first[self.at_first], self.second[self.at_second]
-        self.sure_first, self.sure_second = (first & 3).astype(np.int64), (second & 3).astype(np.int64)
-        self.id_first, self.id_second = (first >> 2).astype(np.int64), (second >> 2).astype(np.int64)
-        self.context = self.contexts + ((self.sure_second << 3) | (self.sure_first << 1) | (self.id_first == self.id_second))
-        p = self.p_second[self.context]
-        self.f_second = np.clip(p >> (12 - FLAG_BITS), 1, (1 << FLAG_BITS) - 2)
-        rest = (1 << FLAG_BITS) - self.f_second
-        self.f_first = np.clip(rest * self.p_first[self.context] >> 12, 1, rest - 1)
-
-    def update(self, ids: np.ndarray, is_second: np.ndarray, is_first: np.ndarray) -> None:
-        p = self.p_second[self.context]
-        self.p_second[self.context] = p + ((is_second.astype(np.int32) * 4095 - p) >> 4)
-        q = self.p_first[self.context]
-        self.p_first[self.context] = np.where(is_second, q, q + ((is_first.astype(np.int32) * 4095 - q) >> 4))
-        for table, at, sure, guess in ((self.first, self.at_first, self.sure_first, self.id_first), (self.second, self.at_second, self.sure_second, self.id_second)):
-            held = guess == ids
-            keep = held | (sure > 0)
-            table[at] = (np.where(keep, guess, ids) << 2 | np.where(held, np.minimum(sure + 1, 3), np.where(keep, sure - 1, 1))).astype(np.uint32)
-        miss = (~(is_second | is_first)).astype(np.int32)
-        self.counts[0][self.bytes + (ids >> 8)] += miss
-        self.counts[1][self.bytes + (ids & 255)] += miss
+        slot = self.slot[self.last]
+        self.at_first = self.first_row + slot
+        self.at_second = self.second_row + ((slot + self.slot_before[self.before]) & (SECOND_SLOTS - 1))
+        first, second = self.first[self.at_first].astype(np.int64), self.second[self.at_second].astype(np.int64)
+        self.sure_first, self.sure_second = sure_1, sure_2 = first & 7, second & 7
+        self.id_first, self.held_second = first >> 3, second >> 3
+        self.id_second = np.where(sure_2 > 0, self.held_second, self.id_first)
+        self.agree = self.id_first == self.id_second
+        # The outcome "what order 2 expects": log-odds from all orders under the block's weights.
+        agree, n = self.agree * self.n + self.rows, 2 * self.n
+        self.contexts = (sure_2 * n + agree, sure_1 * n + agree, self.prior.rank[self.id_second] * n + agree)
+        self.weight_at = sure_2 * self.n + self.rows
+        self.held = [p[c] for p, c in zip(self.p, self.contexts, strict=False)]
+        self.said = [STRETCH[p >> 4] for p in self.held]
+        total = self.said[0] * self.weights[0][self.weight_at]
+        total += self.said[1] * self.weights[1][self.weight_at]
+        total += self.said[2] * self.weights[2][self.weight_at]
+        total >>= 16
+        np.maximum(total, -2047, out=total)
+        np.minimum(total, 2047, out=total)
+        total += 2047
+        self.chance = SQUASH[total]
+        # The outcome "what order 1 expects", if order 2 expects something else.
+        self.other = (sure_1 * SURE + sure_2) * self.n + self.rows
+        self.sizes = np.empty((3, self.n), dtype=np.int64)
+        self.sizes[0] = self.chance << (FLAG_BITS - 12)
+        rest = (1 << FLAG_BITS) - self.sizes[0]
+        self.sizes[1] = np.maximum(rest * self.p[3][self.other] >> 16, 1) * ~self.agree
+        self.sizes[2] = rest - self.sizes[1]
+
+    def interval(self, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size, among 1 << FLAG_BITS, of each block's outcome: 0 order 2, 1 order 1, 2 neither."""
+        starts = np.zeros((3, self.n), dtype=np.int64)
+        starts[1] = self.sizes[0]
+        starts[2] = self.sizes[0] + self.sizes[1]
+        at = outcome * self.n + self.rows
+        return starts.ravel()[at].astype(np.uint64), self.sizes.ravel()[at].astype(np.uint64)
+
+    def update(self, ids: np.ndarray, outcome: np.ndarray) -> None:
+        """Move probabilities, weights and predictions towards what has come."""
+        yes = outcome == 0
+        error = ((yes.astype(np.int64) << 12) - self.chance) * 7
+        goal = yes * 65408 + 64
+        for p, context, held, said, weights in zip(self.p, self.contexts, self.held, self.said, self.weights, strict=False):
+            weights[self.weight_at] += (said * error + 0x2000) >> 14
+            p[context] = held + ((goal - held) >> 5)
+        rows = np.flatnonzero(~(yes | self.agree))
+        other, p = self.other[rows], self.p[3]
+        held = p[other]
+        p[other] = held + (((outcome[rows] == 1) * 65408 + 64 - held) >> 5)
+        for table, at, sure, guess in (
+            (self.first, self.at_first, self.sure_first, self.id_first),
+            (self.second, self.at_second, self.sure_second, self.held_second),
+        ):
+            same = guess == ids
+            # Right: surer by one; wrong: half as sure; wrong and not sure: the new id takes the place.
+            level = np.where(same, np.minimum(sure + 1, SURE - 1), sure >> 1)
+            take = ~same & (sure < 2)
+            table[at] = (np.where(take, ids, guess) << 3 | (level | take)).astype(np.uint32)
         self.before, self.last = self.last, ids
-        self.step += 1
-        if self.step % REFRESH == 0:
-            self.refresh()
 
 
 def _shift_out(low: np.ndarray, length: np.ndarray, emit) -> None:
     """Renormalise: while the top word is settled or the interval is too short, ``emit(rows)`` and shift a word."""
-    mask = U((1 << STATE) - 1)
-    rows = np.flatnonzero(((low ^ (low + length)) < U(TOP)) | (length < U(LEAST)))
+    rows = np.flatnonzero(((low ^ (low + length)) < _TOP) | (length < _LEAST))
     while len(rows):
         a, b = low[rows], length[rows]
-        unsettled = (a ^ (a + b)) >= U(TOP)
-        b = np.where(unsettled, (U(LEAST) - (a & U(LEAST - 1))), b)
+        settled = (a ^ (a + b)) < _TOP
+        b = np.where(settled, b, _LEAST - (a & (_LEAST - U(1))))
         emit(rows)
-        low[rows], length[rows] = (a << U(WORD)) & mask, np.minimum((b << U(WORD)), mask - ((a << U(WORD)) & mask))
-        a, b = low[rows], length[rows]
-        rows = rows[((a ^ (a + b)) < U(TOP)) | (b < U(LEAST))]
+        a = (a << WORD_SHIFT) & _MASK
+        b = np.minimum(b << WORD_SHIFT, _MASK - a)
+        low[rows], length[rows] = a, b
+        rows = rows[((a ^ (a + b)) < _TOP) | (b < _LEAST)]
 
 
 def encode(ids: np.ndarray, block_tokens: int = BLOCK_TOKENS) -> bytes:
     """Token ids (0 to 65535) as a segment."""
-    ids = np.asarray(ids, dtype=np.int64)
+    ids = np.asarray(ids)
     if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
         raise ValueError("token ids must be from 0 to 65535")
+    ids = ids.astype(np.uint16)
     blocks = -(-len(ids) // block_tokens)
     raw = ids.astype("<u4").tobytes()
     crcs = [zlib.crc32(raw[4 * block_tokens * i : 4 * block_tokens * (i + 1)]) for i in range(blocks)]
-    padded = np.zeros(blocks * block_tokens, dtype=np.int64)
+    padded = np.zeros(blocks * block_tokens, dtype=np.uint16)
     padded[: len(ids)] = ids
     steps = np.ascontiguousarray(padded.reshape(blocks, block_tokens).T)
     tail = len(ids) - (blocks - 1) * block_tokens if blocks else 0
-    model = Model(blocks)
+    prior = Prior.of(ids)
+    if blocks and tail < block_tokens:  # padding repeats an id that the segment has
+        steps[tail:, -1] = ids[0]
+    model, head = Model(blocks, prior), prior.pack()
     low, length = np.zeros(blocks, dtype=np.uint64), np.full(blocks, (1 << STATE) - 1, dtype=np.uint64)
-    out, used = np.zeros((blocks, 1024), dtype=np.uint16), np.zeros(blocks, dtype=np.int64)
     width = 1024
+    out, used = np.zeros((blocks, width), dtype=np.uint16), np.zeros(blocks, dtype=np.int64)
 
     def emit(rows):
         out[rows, used[rows]] = (low[rows] >> U(STATE - WORD)).astype(np.uint16)
@@ -132,26 +209,22 @@ def encode(ids: np.ndarray, block_tokens: int = BLOCK_TOKENS) -> bytes:
 
     ending = (0, 0)
     for t in range(block_tokens if blocks > 1 else tail):
-        if used.max(initial=0) + 12 > width:
+        if t % 64 == 0 and used.max(initial=0) + 64 * 4 > width:
             out = np.hstack([out, np.zeros((blocks, 1024), dtype=np.uint16)])
             width += 1024
-        token = steps[t]
+        token = steps[t].astype(np.int64)
         model.predict()
-        is_second = token == model.id_second
-        is_first = ~is_second & (token == model.id_first)
-        miss = ~(is_second | is_first)
-        start = np.where(is_second, 0, np.where(is_first, model.f_second, model.f_second + model.f_first))
-        size = np.where(is_second, model.f_second, np.where(is_first, model.f_first, (1 << FLAG_BITS) - model.f_second - model.f_first))
-        part = length >> U(FLAG_BITS)
-        low += part * start.astype(np.uint64)
-        length = part * size.astype(np.uint64)
-        for which, byte in ((0, token >> 8), (1, token & 255)):
-            at = model.bytes + byte
-            part = length >> U(BYTE_BITS)
-            low += np.where(miss, part * model.start[which][at].astype(np.uint64), U(0))
-            length = np.where(miss, part * model.frequency[which][at].astype(np.uint64), length)
+        outcome = np.where(token == model.id_second, 0, 2 - (token == model.id_first))
+        start, size = model.interval(outcome)
+        length >>= FLAG_SHIFT
+        low += length * start
+        length *= size
+        miss = np.flatnonzero(outcome == 2)
+        missed, part = token[miss], length[miss] >> ID_SHIFT
+        low[miss] += part * prior.start[missed]
+        length[miss] = part * prior.frequency[missed]
         _shift_out(low, length, emit)
-        model.update(token, is_second, is_first)
+        model.update(token, outcome)
         if blocks and t == tail - 1:  # the last block ends here; what follows it is padding
             ending = (int(low[-1]), int(used[-1]))
     pieces = []
@@ -160,25 +233,32 @@ def encode(ids: np.ndarray, block_tokens: int = BLOCK_TOKENS) -> bytes:
         flush = [(at << 2 >> s) & 0xFFFF for s in (48, 32, 16, 0)]
         pieces.append(out[i, :words].astype("<u2").tobytes() + struct.pack("<4H", *flush))
     sizes = np.array([len(p) for p in pieces], dtype="<u4").tobytes()
-    return struct.pack(HEADER, MAGIC, block_tokens, blocks, len(ids)) + sizes + np.array(crcs, dtype="<u4").tobytes() + b"".join(pieces)
+    fixed = struct.pack(HEADER, MAGIC, block_tokens, blocks, len(ids), len(head), zlib.crc32(head))
+    return fixed + head + sizes + np.array(crcs, dtype="<u4").tobytes() + b"".join(pieces)
 
 
 def decode(segment: bytes) -> np.ndarray:
-    """The ids of a segment; raises ``ValueError`` if a block does not match its checksum."""
-    magic, block_tokens, blocks, total = struct.unpack_from(HEADER, segment)
-    if magic != MAGIC:
+    """The ids of a segment; raises ``ValueError`` if its head or a block does not match its checksum."""
+    fixed = struct.calcsize(HEADER)
+    if len(segment) < fixed or segment[:4] != MAGIC:
         raise ValueError("not a token segment")
-    sizes = np.frombuffer(segment, dtype="<u4", count=blocks, offset=struct.calcsize(HEADER)).astype(np.int64)
-    crcs = np.frombuffer(segment, dtype="<u4", count=blocks, offset=struct.calcsize(HEADER) + 4 * blocks)
-    body = np.frombuffer(segment, dtype="<u2", offset=struct.calcsize(HEADER) + 8 * blocks).astype(np.uint64)
+    _, block_tokens, blocks, total, head_size, head_crc = struct.unpack_from(HEADER, segment)
+    head = segment[fixed : fixed + head_size]
+    if zlib.crc32(head) != head_crc:
+        raise ValueError("the head does not match its checksum")
+    at = fixed + head_size
+    if len(segment) < at + 8 * blocks or (len(segment) - at) % 2:
+        raise ValueError("a token segment is cut short")
+    prior = Prior.unpack(head)
+    sizes = np.frombuffer(segment, dtype="<u4", count=blocks, offset=at).astype(np.int64)
+    crcs = np.frombuffer(segment, dtype="<u4", count=blocks, offset=at + 4 * blocks)
+    body = np.frombuffer(segment, dtype="<u2", offset=at + 8 * blocks).astype(np.uint64)
     ends = np.cumsum(sizes // 2)
     if blocks and (ends[-1] != len(body) or (sizes % 2).any()):
         raise ValueError("a token segment is cut short")
     body = np.r_[body, np.zeros(8, dtype=np.uint64)]
     cursor, limit = ends - sizes // 2, len(body) - 1
-    model = Model(blocks)
-    inverse = [model.inverse(0), model.inverse(1)]
-    wide = np.arange(blocks, dtype=np.int64) << BYTE_BITS
+    model = Model(blocks, prior)
     low, length = np.zeros(blocks, dtype=np.uint64), np.full(blocks, (1 << STATE) - 1, dtype=np.uint64)
     code = np.zeros(blocks, dtype=np.uint64)
     for k in range(4):
@@ -195,37 +275,31 @@ def decode(segment: bytes) -> np.ndarray:
         behind[rows] = word & U(3)
         cursor[rows] += 1
 
-    out = np.zeros((block_tokens, blocks), dtype=np.int64)
+    out = np.zeros((block_tokens, blocks), dtype=np.uint16)
     tail = total - (blocks - 1) * block_tokens if blocks else 0
-    flag_limit, byte_limit = U((1 << FLAG_BITS) - 1), U((1 << BYTE_BITS) - 1)
+    flag_limit, id_limit = U((1 << FLAG_BITS) - 1), U((1 << ID_BITS) - 1)
     for t in range(block_tokens if blocks > 1 else tail):
-        if t and t % REFRESH == 0:
-            inverse = [model.inverse(0), model.inverse(1)]
         model.predict()
-        part = length >> U(FLAG_BITS)
-        value = np.minimum((code - low) // part, flag_limit).astype(np.int64)
-        is_second = value < model.f_second
-        is_first = ~is_second & (value < model.f_second + model.f_first)
-        miss = ~(is_second | is_first)
-        start = np.where(is_second, 0, np.where(is_first, model.f_second, model.f_second + model.f_first))
-        size = np.where(is_second, model.f_second, np.where(is_first, model.f_first, (1 << FLAG_BITS) - model.f_second - model.f_first))
-        low += part * start.astype(np.uint64)
-        length = part * size.astype(np.uint64)
-        byte = [None, None]
-        for which in (0, 1):
-            part = length >> U(BYTE_BITS)
-            value = np.minimum((code - low) // part, byte_limit).astype(np.int64)
-            byte[which] = inverse[which][wide + value].astype(np.int64)
-            at = model.bytes + byte[which]
-            low += np.where(miss, part * model.start[which][at].astype(np.uint64), U(0))
-            length = np.where(miss, part * model.frequency[which][at].astype(np.uint64), length)
-        token = np.where(miss, byte[0] << 8 | byte[1], np.where(is_second, model.id_second, model.id_first))
+        length >>= FLAG_SHIFT
+        value = np.minimum((code - low) // length, flag_limit).astype(np.int64) - model.sizes[0]
+        outcome = (value >= 0).astype(np.int64) + (value >= model.sizes[1])
+        outcome[value < 0] = 0
+        start, size = model.interval(outcome)
+        low += length * start
+        length *= size
+        token = np.where(outcome == 0, model.id_second, model.id_first)
+        miss = np.flatnonzero(outcome == 2)
+        part = length[miss] >> ID_SHIFT
+        missed = prior.inverse[np.minimum((code[miss] - low[miss]) // part, id_limit).astype(np.int64)].astype(np.int64)
+        token[miss] = missed
+        low[miss] += part * prior.start[missed]
+        length[miss] = part * prior.frequency[missed]
         out[t] = token
         _shift_out(low, length, emit)
-        model.update(token, is_second, is_first)
-    ids = out.T.reshape(-1)[:total].astype(np.uint32)
+        model.update(token, outcome)
+    ids = np.ascontiguousarray(out.T).reshape(-1)[:total].astype(np.uint32)
     raw = ids.astype("<u4").tobytes()
-    for i in range(blocks):
-        if zlib.crc32(raw[4 * block_tokens * i : 4 * block_tokens * (i + 1)]) != crcs[i]:
-            raise ValueError(f"block {i} does not match its checksum")
+    bad = [i for i in range(blocks) if zlib.crc32(raw[4 * block_tokens * i : 4 * block_tokens * (i + 1)]) != crcs[i]]
+    if bad:
+        raise ValueError(f"blocks {bad} do not match their checksums")
     return ids

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,20 +17,35 @@ from millrace.llm.common import cut, small
 from millrace.llm.range_coder import decode, encode
 
 #: Tokens after which a segment is closed (at a document's end).
-SEGMENT_TOKENS = 1 << 21
+SEGMENT_TOKENS = 1 << 22
 #: Words whose ids a task remembers.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 500_000
 #: Texts that are tokenised together.
 CHUNK = 512
 
 _SPACE_RUN = re.compile(r"\s ")
+#: Marks that end a word as a piece of their own.
+_MARKS = ".,;:!?%&#*|)-"
+
+
+class Memo(dict):
+    """Ids of words (little-endian 16-bit integers), found when first asked for."""
+
+    def __init__(self, find: Callable[[str], bytes]) -> None:
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.find(word)
+        return ids
 
 
 class WordEncoder:
     """Encodes texts with a byte-level BPE tokenizer, word by word, remembering words.
 
     The pre-tokenizer starts a new piece at every space that follows something else than white space, so a text can be
-    cut there without changing its ids. Texts with white space before a space are encoded whole.
+    cut there without changing its ids. Within a word, marks after letters and a single line end between other characters
+    are pieces of their own, so letters alone are remembered once for all of their surroundings. Texts with white space before a
+    space, or with the string of a special token (which is encoded as that token), are encoded whole.
     """
 
     def __init__(self, tokenizer_file: str) -> None:
@@ -38,37 +53,48 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("token ids must be below 65536")
-        self.heads: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def learn(self, memo: dict[str, bytes], wanted: set[str], prefix: str) -> None:
-        missing = list(wanted.difference(memo))
-        for first in range(0, len(missing), 4096):
-            part = missing[first : first + 4096]
-            found = self.tokenizer.encode([prefix + w for w in part], is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(found.ids, dtype="<u2").tobytes()
-            edges = 2 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part) + 1))
-            memo.update(zip(part, [raw[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], strict=True))
+        self.model = self.tokenizer.model
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        # How byte-level models write bytes: printable ones as themselves, the rest as the characters from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = sorted(set(range(256)).difference(own))
+        self.shown = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.heads, self.words = Memo(lambda w: self.find(w, "")), Memo(lambda w: self.find(w, " "))
+        self.newline = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def find(self, word: str, before: str) -> bytes:
+        """Ids of one word after ``before``, a space or nothing."""
+        if "\n" in word:
+            first, *rest = word.split("\n")
+            if first and all(rest):
+                return self.newline.join([(self.words if before else self.heads)[first], *map(self.heads.__getitem__, rest)])
+            return self.whole(before + word)
+        letters = word.rstrip(_MARKS)
+        if not letters.isalpha():
+            return self.whole(before + word)
+        if len(letters) < len(word):
+            return (self.words if before else self.heads)[letters] + self.heads[word[len(letters) :]]
+        if word.isascii():
+            piece = self.shown[32] + word if before else word
+        else:
+            piece = (before + word).encode().decode("latin-1").translate(self.shown)
+        return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u2").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
-        split = [None if _SPACE_RUN.search(t) else t.split(" ") for t in texts]
-        self.learn(self.heads, {s[0] for s in split if s}, "")
-        self.learn(self.words, set().union(*(s[1:] for s in split if s)), " ")
-        get = self.words.__getitem__
-        out = [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes()
-            if s is None
-            else self.heads[s[0]] + b"".join(map(get, s[1:]))
-            for t, s in zip(texts, split, strict=True)
-        ]
         for memo in (self.heads, self.words):
             if len(memo) > MEMO_WORDS:
                 memo.clear()
-        return out
+        return [self.whole(t) if self.special.search(t) or _SPACE_RUN.search(t) else self.by_words(t.split(" ")) for t in texts]
+
+    def by_words(self, words: list[str]) -> bytes:
+        rest = iter(words)
+        return self.heads[next(rest)] + b"".join(map(self.words.__getitem__, rest))
 
 
 def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> None:
