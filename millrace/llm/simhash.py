@@ -25,6 +25,8 @@ BATCH_ROWS = 1 << 16
 SET_BLOCK = 1024
 #: Pairs whose shingle sets are compared before classes are looked at again.
 STEP = 512
+#: Hashes that are min-hashed together.
+KEY_PIECE = 1 << 15
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -89,87 +91,88 @@ def exact_keys(radius: int, spare: int = 2) -> Column:
     return F.array(*keys)
 
 
-def sampled_keys(words: int, count: int, bits: int) -> Column:
-    """``count`` keys, each of ``bits`` places of the fingerprint drawn at random (the same for all rows and runs).
+def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
+    """(sets, bands): keys of sets of hashes, each made of ``rows`` min-hashes.
 
-    Two fingerprints that differ in d of 256 bits share one key with probability about (1 - d/256)^bits, and the keys are
-    close to independent, so the share of pairs without a common key falls with ``count`` like a power.
+    Two sets with Jaccard similarity s share a given key with probability s^rows, whatever the size of the corpus, so the
+    share of such pairs without a common key is (1 - s^rows)^bands. Keys are 64 bits wide: sets that do not resemble each
+    other do not meet.
     """
-    rng = np.random.default_rng(SEED)
-    places = np.concatenate([np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(count)])
-    weights = np.left_shift(1, np.arange(bits, dtype=np.int64))
-    number = np.arange(count, dtype=np.int64) << bits
-
-    @F.pandas_udf("array<bigint>")
-    def keys(fps: pd.Series) -> pd.Series:
-        out = []
-        for first in range(0, len(fps), 1024):
-            part = b"".join(fps.iloc[first : first + 1024])
-            flags = np.unpackbits(np.frombuffer(part, dtype=np.uint8).reshape(-1, 8 * words), axis=1)
-            out += list((flags[:, places].reshape(-1, count, bits) @ weights) + number)
-        return pd.Series(out, dtype=object)
-
-    return keys("fp")
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    keys = np.zeros((len(sets), bands), dtype=np.uint64)
+    solid = [n for n, x in enumerate(sets) if len(x)]
+    ends = np.cumsum([len(sets[n]) for n in solid])
+    first = 0
+    while first < len(solid):  # pieces that stay in the processor's cache
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + KEY_PIECE, side="right")))
+        part = solid[first:last]
+        joined, starts = np.concatenate([sets[n] for n in part]), np.r_[0, ends[first : last - 1] - before]
+        for band in range(bands):
+            key = np.full(len(part), band, dtype=np.uint64)
+            for factor in factors[band]:
+                key = (key ^ np.minimum.reduceat(joined * factor, starts)) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            keys[part, band] = key
+        first = last
+    return keys.view(np.int64)
 
 
 def dealt_out(keyed: DataFrame, row: str, block: int) -> DataFrame:
-    """``key, row`` with every key of over ``block`` rows replaced by one key for each pair of its blocks."""
+    """``keyed`` with every ``key`` of over ``block`` rows replaced by one key for each pair of its blocks; ``row`` names a row."""
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > block)
     hot = small(cut(counts.select("key", F.ceil(F.col("n") / block).alias("blocks")), "hot"))
-    dealt = keyed.join(hot, "key", "left").select(row, "key", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     own = F.pmod(F.xxhash64(F.lit("block"), row), "blocks")
-    each = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    spread = dealt.select(row, "key", "blocks", own.alias("own"), F.explode(each).alias("other"))
-    pair = F.when(F.col("blocks") == 1, F.col("key")).otherwise(
-        F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    )
-    return spread.select(pair.alias("key"), row)
+    each = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    spread = keyed.join(hot, "key", "left").select("*", own.alias("own"), F.explode(each).alias("other"))
+    pair = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return spread.select(pair.alias("key"), *[c for c in keyed.columns if c != "key"])
 
 
-def fingerprint_links(distinct: DataFrame, keys: Column, radius: int, words: int = 1, block: int = BLOCK) -> DataFrame:
-    """``a, b``: for each key, fingerprints in one class of it and the first of that class.
+def fingerprint_links(rows: DataFrame, radius: int, words: int = 1, block: int = BLOCK) -> DataFrame:
+    """``a, b``: for each key, nodes in one class of it and the first node of that class.
 
-    ``distinct`` has each ``fp`` once. Fingerprints that share a key meet in one task. A key with over ``block`` of them is
+    ``rows`` has each ``node`` (binary) once, with its fingerprint ``fp`` and an array ``keys``. Nodes that share a key meet in one task,
+    where their fingerprints are compared; those within ``radius`` bits are linked. A key with over ``block`` of them is
     dealt out: its rows fall into blocks by hash, and each pair of blocks is a key of its own.
     """
-    keyed = distinct.select("fp", F.explode(keys).alias("key"))
-    rows = dealt_out(keyed, "fp", block).repartition("key").sortWithinPartitions("key", "fp")
+    keyed = rows.select("node", "fp", F.explode("keys").alias("key"))
+    rows = dealt_out(keyed, "node", block).select("key", "node", "fp").repartition("key").sortWithinPartitions("key", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held = np.empty(0, dtype=np.int64), np.empty((0, words), dtype=np.uint64)
+        held_keys, nodes, held = np.empty(0, dtype=np.int64), [], np.empty((0, words), dtype=np.uint64)
 
-        def linked(k, f):
-            row, first = link_runs(k, f, radius)
-            raw = f.view(np.uint8).reshape(len(f), 8 * words)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r.tobytes() for r in raw[at]], pa.binary()) for at in (row, first)], names=["a", "b"]
-            )
+        def linked(upto):
+            row, first = link_runs(held_keys[:upto], held[:upto], radius)
+            return pa.RecordBatch.from_arrays([pa.array([nodes[n] for n in at], pa.binary()) for at in (row, first)], names=["a", "b"])
 
         for batch in batches:
-            got = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint64).reshape(-1, words)
             held_keys = np.r_[held_keys, batch.column(0).to_numpy(zero_copy_only=False)]
-            held = np.concatenate([held, got])
+            nodes += batch.column(1).to_pylist()
+            held = np.concatenate([held, np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint64).reshape(-1, words)])
             if len(held_keys) >= BATCH_ROWS:
                 whole = int(np.searchsorted(held_keys, held_keys[-1]))  # the last run may go on
                 if whole:
-                    yield linked(held_keys[:whole], held[:whole])
-                    held_keys, held = held_keys[whole:], held[whole:]
+                    yield linked(whole)
+                    held_keys, nodes, held = held_keys[whole:], nodes[whole:], held[whole:]
         if len(held_keys):
-            yield linked(held_keys, held)
+            yield linked(len(held_keys))
 
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def set_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int) -> DataFrame:
-    """``id, text_hash, fp, sk`` for every row: the fingerprint of the distinct shingles and a 128-bit name of their set."""
+def set_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words: int, bands: int, rows: int) -> DataFrame:
+    """``id, text_hash, fp, sk, keys`` for every row: the fingerprint of the distinct shingles, a 128-bit name of their set,
+    and its ``band_keys``."""
 
-    @F.pandas_udf("fp binary, sk binary")
+    @F.pandas_udf("fp binary, sk binary, keys array<bigint>")
     def prints(texts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-        return pd.DataFrame({"fp": [fingerprint(x, words) for x in sets], "sk": [set_name(x) for x in sets]}, dtype=object)
+        columns = {"fp": [fingerprint(x, words) for x in sets], "sk": [set_name(x) for x in sets], "keys": list(band_keys(sets, bands, rows))}
+        return pd.DataFrame(columns, dtype=object)
 
-    rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("text_hash"), prints(F.col(text_col)).alias("p"))
-    return rows.select("id", "text_hash", "p.fp", "p.sk")
+    found = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("text_hash"), prints(F.col(text_col)).alias("p"))
+    return found.select("id", "text_hash", "p.fp", "p.sk", "p.keys")
 
 
 def text_hash(text: str | Column) -> Column:
@@ -249,21 +252,21 @@ def verified_links(member: DataFrame, sets: DataFrame, radius: int, least: float
 
 
 def similar_groups(
-    docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, words: int, keys: Column, least: float
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, words: int, bands: int, rows: int, least: float
 ) -> DataFrame:
     """``id, text_hash, component_id`` for every row, as ``near_groups``, but links are pairs of distinct shingle sets with
     Jaccard similarity ``least`` or more.
 
-    Fingerprints (of distinct shingles) only find the groups whose sets are compared: pairs within ``radius`` bits that
-    are linked by ``keys``, at any remove. Texts without words are alike.
+    Sets that share one of ``bands`` keys of ``rows`` min-hashes meet, and the bit-sliced comparison of their fingerprints (64 *
+    ``words`` bits, of distinct shingles) leaves pairs within ``radius`` bits; sets that are linked so, at any remove, are
+    a group, whose sets are compared in full. Texts without words are alike.
     """
-    prints = cut(set_prints(docs, id_col, text_col, shingle, words), "fingerprints")
-    distinct = cut(prints.groupBy("sk", "fp").agg(F.min("id").alias("first"), F.min("text_hash").alias("text_hash")), "distinct")
-    roots = components(fingerprint_links(distinct.select("fp").distinct(), keys, radius, words))
-    group = F.xxhash64(F.coalesce("root", "fp"))
-    grouped = cut(distinct.join(roots, F.col("fp") == F.col("node"), "left").select("sk", "fp", "text_hash", group.alias("key")), "grouped")
-    several = small(cut(grouped.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "several"))
-    member = cut(grouped.join(several, "key", "left_semi"), "member")
+    prints = cut(set_prints(docs, id_col, text_col, shingle, words, bands, rows), "fingerprints")
+    chosen = [F.min("id").alias("first"), F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys")]
+    distinct = cut(prints.groupBy("sk", "fp").agg(*chosen), "distinct")
+    roots = components(fingerprint_links(distinct.select(F.col("sk").alias("node"), "fp", "keys"), radius, words))
+    found = distinct.join(roots, F.col("sk") == F.col("node"))
+    member = cut(found.select("sk", "fp", "text_hash", F.xxhash64("root").alias("key")), "member")
     wanted = small(cut(member.select(F.col("text_hash").alias("wanted")).distinct(), "wanted"))
     texts = docs.join(wanted, text_hash(docs[text_col]) == wanted["wanted"], "left_semi").select(docs[text_col].alias("text"))
 
@@ -290,31 +293,26 @@ def near_groups(
     text_col: str = "text",
     shingle: int = 4,
     radius: int = 4,
-    words: int = 1,
-    keys: Column | None = None,
 ) -> DataFrame:
     """One row per document: ``id_col, fp, component_id``, the smallest id that is reachable over links, itself included.
 
     Texts are lower-cased (A-Z only) and split at ASCII white space; shingles of ``shingle`` words, repeats included, are
-    hashed by XXH64. Fingerprints are linked if they differ in at most ``radius`` bits. With one word of 64 bits the
-    search is exact (``exact_keys``); wider fingerprints take ``keys`` such as ``sampled_keys``.
+    hashed by XXH64 to a fingerprint of 64 bits. Fingerprints are linked if they differ in at most ``radius`` bits; the
+    search is exact (``exact_keys``).
 
     Null and empty texts have no words: their fingerprint is zero, and they are linked like any other. Null ids count as
     no id: a component of null ids only has a null id. Rows that repeat an id are all returned. Other columns are
     ignored; an empty table gives none. Copies are merged by fingerprint before anything is compared.
     """
-    groups = print_groups(docs, id_col, text_col, shingle, radius, words, keys)
+    groups = print_groups(docs, id_col, text_col, shingle, radius)
     return groups.select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def print_groups(
-    docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, radius: int = 4, words: int = 1, keys: Column | None = None
-) -> DataFrame:
+def print_groups(docs: DataFrame, id_col: str, text_col: str, shingle: int = 4, radius: int = 4) -> DataFrame:
     """``id, text_hash, fp, component_id`` for every row: what ``near_groups`` returns, with the row's text hash."""
-    prints = cut(fingerprints(docs, id_col, text_col, shingle, words), "fingerprints")
+    prints = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    links = fingerprint_links(distinct.select("fp"), exact_keys(radius) if keys is None else keys, radius, words)
-    roots = components(links)
+    roots = components(fingerprint_links(distinct.select(F.col("fp").alias("node"), "fp", exact_keys(radius).alias("keys")), radius))
     rooted = cut(
         distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root")),
         "rooted",

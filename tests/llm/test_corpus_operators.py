@@ -131,8 +131,7 @@ def test_repeated_rows_leave_one(spark):
 def test_text_of_its_own_stays_though_its_id_is_dropped(spark, verified):
     x, y = " ".join(f"x{i}" for i in range(50)), " ".join(f"y{i}" for i in range(50))
     rows = [(2, x, "en", "s", 0), (5, x, "en", "s", 0), (5, y, "en", "s", 0)]
-    options = {**corpus_pipeline.NEAR, "keys": simhash.sampled_keys(4, *corpus_pipeline.KEYS)} if verified else {}
-    got = simhash.near_dedup(documents(spark, rows), **options).collect()
+    got = simhash.near_dedup(documents(spark, rows), **(corpus_pipeline.NEAR if verified else {})).collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(2, x), (5, y)]
 
 
@@ -189,6 +188,23 @@ def test_isolated_pairs_at_the_threshold_are_found(spark):
     assert set(range(0, 800, 2)) <= got and len(got) <= 401
 
 
+@pytest.mark.parametrize("smaller, larger", [(4, 5), (8, 10), (36, 36), (270, 270)])
+def test_candidates_hold_nearly_all_pairs_at_the_threshold(smaller, larger):
+    """Of 4,000 random pairs of sets at similarity 0.8 at most 4 share no key or lie beyond the radius; unlike sets do not meet."""
+    rng, near = np.random.default_rng(9), corpus_pipeline.NEAR
+    pairs = rng.integers(0, 1 << 63, (4000, 2, larger), dtype=np.uint64)
+    common = round(0.8 * (smaller + larger) / 1.8)
+    pairs[:, 1, :common] = pairs[:, 0, :common]
+    sets = [np.unique(x[: (smaller, larger)[side]]) for pair in pairs for side, x in enumerate(pair)]
+    assert all(0.79 < simhash.jaccard(a, b) < 0.81 for a, b in zip(sets[::2], sets[1::2], strict=True))
+    keys = simhash.band_keys(sets, near["bands"], near["rows"])
+    prints = np.frombuffer(b"".join(simhash.fingerprint(x, near["words"]) for x in sets), dtype=np.uint64).reshape(len(sets), -1)
+    met = (keys[::2] == keys[1::2]).any(axis=1)
+    close = np.bitwise_count(prints[::2] ^ prints[1::2]).sum(axis=1, dtype=np.int64) <= near["radius"]
+    assert (met & close).sum() >= 3996
+    assert not (keys[:-2:2] == keys[2::2]).any()
+
+
 def prints_near(centre, n, seed, most):
     rng = random.Random(seed)
     out = set()
@@ -203,7 +219,7 @@ def prints_near(centre, n, seed, most):
 def test_hot_key_is_dealt_out_in_pairs_of_blocks(spark):
     values = sorted(prints_near(0x0123456789ABCDEF, 150, 1, 5) | prints_near(0xFEDCBA9876543210, 60, 2, 2))
     df = spark.createDataFrame([(v.to_bytes(8, "big"),) for v in values], "fp binary")
-    links = simhash.fingerprint_links(df, simhash.exact_keys(4), 4, block=16)
+    links = simhash.fingerprint_links(df.select(F.col("fp").alias("node"), "fp", simhash.exact_keys(4).alias("keys")), 4, block=16)
     got = {r.node: r.root for r in components(links).collect()}
     want = brute_components(dict(zip(values, values, strict=True)), 4)
     classes = collections.defaultdict(set)
