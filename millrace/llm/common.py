@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.sources.tables import shared_path as scratch
 
-#: Rows up to which a table of short keys is broadcast; beyond it Spark shuffles both sides.
+#: Rows, and bytes as JSON text, up to which a table is broadcast; beyond either Spark shuffles both sides.
 BROADCAST_ROWS = 200_000
-#: ASCII white space, as the word splitter of the contracts sees it.
-WORD = r"[^\x20\x09-\x0D]+"
+BROADCAST_BYTES = 32 << 20
+#: Words: anything but \x20 and \x09 to \x0D, which is what Java's class takes for white space.
+WORD = r"\S+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +29,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (already cut) with a broadcast hint if it has at most ``limit`` rows, else unchanged."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (already cut) with a broadcast hint if it is proven small (``is_small``), else unchanged."""
+    return F.broadcast(df) if is_small(df, limit, most_bytes) else df
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` (already cut) has at most ``limit`` rows of at most ``most_bytes`` bytes together."""
+    if df.count() > limit:
+        return False
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("n")).first()["n"]
+    return (size or 0) <= most_bytes
 
 
 def fold(id_col: str, modulus: int) -> Column:

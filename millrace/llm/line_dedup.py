@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, fresh, small
+from millrace.llm.common import cut, fresh, is_small, small
 
 #: White space that is not part of a line.
 BLANK = " \t\r"
+#: Names of changed documents that are broadcast, where their lines are too many: rows, and bytes as JSON text.
+CHANGED_ROWS, CHANGED_BYTES = 2_000_000, 128 << 20
 
 
 def split_lines(text: Column) -> Column:
@@ -41,6 +43,12 @@ def boilerplate_lines(lines: DataFrame, min_sites: int, lg_k: int = 12) -> DataF
     return wide.filter(F.col("sites") > min_sites + margin).select("line").unionByName(exact)
 
 
+def with_removal(docs: DataFrame, removal: DataFrame, key: Column, text_hash: Column) -> DataFrame:
+    """``docs`` with the array of line hashes that go from each, null where none do."""
+    same = (key == removal["key"]) & (text_hash == removal["text_hash"])
+    return docs.join(removal, same, "left").drop(removal["key"], removal["text_hash"])
+
+
 def remove_boilerplate(
     docs: DataFrame,
     min_sites: int = 8,
@@ -55,8 +63,9 @@ def remove_boilerplate(
     not counted. Every copy of a boilerplate line goes, within one document too. Remaining lines keep their
     order and spacing. A null text stays null and has no lines; a null site is a site of its own;
     documents are told apart by id and text, so null ids and repeated rows are handled like any other. Columns
-    named ``n_lines`` or ``n_removed`` are replaced. An empty table gives none. Only hashes are shuffled, apart from the
-    texts of documents that change when these are too many to broadcast their lines.
+    named ``n_lines`` or ``n_removed`` are replaced. An empty table gives none. Only hashes are shuffled while the lines that go, by
+    document, are small enough to broadcast. Beyond that the names of the documents that change are broadcast, and only those
+    documents are shuffled with their texts; if even the names are too many, all documents are.
     """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
@@ -67,11 +76,17 @@ def remove_boilerplate(
     )
     boilerplate = small(cut(boilerplate_lines(occurrences.select("line", "site"), min_sites, lg_k), "boilerplate"))
     hit = occurrences.select("key", "text_hash", "line").join(boilerplate, "line")
-    removal = small(cut(hit.groupBy("key", "text_hash").agg(F.collect_set("line").alias("removed")), "removal"))
     removed = fresh(docs, "removed")
-    removal = removal.withColumnRenamed("removed", removed)
-    same = (key == removal["key"]) & (text_hash == removal["text_hash"])
-    joined = docs.join(removal, same, "left").drop(removal["key"], removal["text_hash"])
+    removal = cut(hit.groupBy("key", "text_hash").agg(F.collect_set("line").alias(removed)), "removal")
+    if is_small(removal):
+        joined = with_removal(docs, F.broadcast(removal), key, text_hash)
+    else:
+        names = small(cut(removal.select("key", "text_hash"), "changed"), CHANGED_ROWS, CHANGED_BYTES)
+        same = (key == names["key"]) & (text_hash == names["text_hash"])
+        nothing = F.lit(None).cast("array<binary>")
+        joined = with_removal(docs.join(names, same, "left_semi"), removal, key, text_hash).unionByName(
+            docs.join(names, same, "left_anti").withColumn(removed, nothing)
+        )
     lines = split_lines(F.col(text_col))
     solid = F.filter(lines, lambda x: ~is_blank(x))
     goes = lambda x: F.array_contains(F.col(removed), line_hash(x))
