@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, small
 
-#: The same words are found before and after A-Z are lower-cased.
-WORD_CHARS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words of a text whose A-Z have been lower-cased: digits, letters and all beyond ASCII.
+WORD_CHARS = r"[0-9a-z\x80-\x{10FFFF}]+"
+#: Not a word: its posting closes each document's list, at the number of the document's words.
+END = ""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,12 +66,13 @@ def find_phrases(
     Texts are lower-cased (A-Z only); words are runs of digits, letters and characters beyond ASCII. A window is
     ``window`` consecutive words of an item; an item of fewer words, but not none, is one window.
 
-    The index holds postings (document, position, term), written for the terms that are looked up. Terms are counted over
-    all documents; of each window the rarest term's postings, less its offset, are the places where the item
-    may begin, and these are intersected with the next rarest term's postings, less theirs. In documents that
-    still have places, the lists of all other terms are intersected with them in the same way. Runs of at least
-    a window of positions that match exactly are occurrences; runs of positions whose term stands within
-    ``slop`` words of its place are proximity matches. No list but those of the terms asked for is shuffled.
+    The index holds the postings (document, position, term) of all terms of the items and the length of each document; one pass
+    over the texts writes it, and everything else reads it. It gives each term's count; of each window the rarest
+    term's postings, less its offset, are the places where the item may begin, and these are intersected with the next
+    rarest term's postings, less theirs. In documents that still have places, the lists of all other terms are
+    intersected with them in the same way. Runs of at least a window of positions that match exactly are occurrences; runs of
+    positions whose term stands within ``slop`` words of its place are proximity matches. Of the lists only those of
+    rarest terms, and those of documents that still have places, are shuffled; texts are not.
 
     Returns ``documents`` (``id_col, text_hash, n_words`` per row), ``exact`` (``id_col, text_hash, item_id, first, last``: runs of
     hit positions, from 0) and ``near`` (``id_col, text_hash, item_id``).
@@ -81,35 +84,32 @@ def find_phrases(
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     source = docs.select(F.col(id_col).alias("id"), key.alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    doc, posted = ["id", "key", "text_hash"], F.posexplode(words_of(F.col("text"))).alias("at", "term")
+    doc = ["id", "key", "text_hash"]
     terms = cut(item_terms(items, item_col, item_text_col), "terms")
-    item_lists = small(terms.select("item", "pos", "term").distinct())
-    vocabulary = small(cut(terms.select("term").distinct(), "vocabulary"))
-
-    seen = source.select(posted).select("term").join(vocabulary, "term", "left_semi")
-    counts = cut(seen.groupBy("term").agg(F.count("*").alias("n")), "counts")
+    item_lists = small(cut(terms.select("item", "pos", "term").distinct(), "items"))
+    vocabulary = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(END))).distinct()
+
+    posted = F.posexplode(F.array_append(words_of(F.col("text")), F.lit(END))).alias("at", "term")
+    index = cut(source.select(*doc, posted).join(small(cut(vocabulary, "vocabulary")), "term", "left_semi"), "index")
+    lengths = index.filter(F.col("term") == END).select(*doc, F.col("at").cast("long").alias("n_words"))
+    index = index.filter(F.col("term") != END)
+    counts = cut(index.groupBy("term").agg(F.count("*").alias("n")), "counts")
     pairs = small(cut(rarest_pairs(terms, counts, window), "pairs"))
-    asked = pairs.select(F.explode(F.array("term", "next_term")).alias("term")).distinct()
-    index = cut(source.select(*doc, posted).join(small(cut(asked, "asked")), "term", "left_semi"), "index")
+    asked = cut(pairs.select(F.explode(F.array("term", "next_term")).alias("term")).distinct(), "asked")
+    rare = index.join(small(asked), "term", "left_semi")
 
     shift = F.explode(F.sequence(F.lit(-slop), F.lit(slop)))
-    begins = index.join(pairs, "term").select(*doc, "item", "length", (F.col("at") - F.col("pos")).alias("place"), "next_term", "next_pos")
+    begins = rare.join(pairs, "term").select(*doc, "item", "length", (F.col("at") - F.col("pos")).alias("place"), "next_term", "next_pos")
     expected = begins.distinct().select("*", (F.col("place") + F.col("next_pos")).alias("expected"))
     met = expected.withColumn("shift", shift).select(
         "key", "text_hash", "item", "length", "place", F.col("next_term").alias("term"), (F.col("expected") + F.col("shift")).alias("at")
     )
     places = cut(
-        met.join(index.select(*doc, "at", "term"), ["key", "text_hash", "at", "term"]).select(*doc, "item", "length", "place").distinct(),
+        met.join(rare.select(*doc, "at", "term"), ["key", "text_hash", "at", "term"]).select(*doc, "item", "length", "place").distinct(),
         "places",
     )
     pointed = cut(places.select("key", "text_hash").distinct(), "pointed")
-    lists = (
-        source.join(small(pointed), ["key", "text_hash"], "left_semi")
-        .select("key", "text_hash", posted)
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("key", "text_hash", "term")
-        .agg(F.collect_set("at").alias("ats"))
-    )
+    lists = index.join(small(pointed), ["key", "text_hash"], "left_semi").groupBy("key", "text_hash", "term").agg(F.collect_set("at").alias("ats"))
     wanted = places.join(item_lists, "item").withColumn("at", F.col("place") + F.col("pos"))
     matched = cut(
         wanted.join(cut(lists, "lists"), ["key", "text_hash", "term"])
@@ -118,12 +118,11 @@ def find_phrases(
         .select(*doc, "item", "length", "place", "pos", "at", "hit"),
         "matched",
     )
-    names = small(terms.select("item", "item_id").distinct())
+    names = small(cut(terms.select("item", "item_id").distinct(), "names"))
     exact = runs(matched.filter("hit"), doc, window).join(names, "item").select(*doc, "item_id", "first", "last")
     near = runs(matched, doc, window).join(names, "item").select(*doc, "item_id").distinct()
-    n_words = F.regexp_count("text", F.lit(WORD_CHARS)).cast("long").alias("n_words")
     return {
-        "documents": source.select(*doc, n_words).withColumnRenamed("id", id_col),
+        "documents": lengths.withColumnRenamed("id", id_col),
         "exact": cut(exact, "exact").withColumnRenamed("id", id_col),
         "near": near.withColumnRenamed("id", id_col),
     }
