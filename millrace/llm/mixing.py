@@ -14,36 +14,49 @@ BUCKETS = 4096
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float) -> DataFrame:
-    """Water-filling over ``source, source_size``: adds ``weight`` and ``target``.
+    """Capped water-filling over ``source, source_size``: adds ``weight`` and ``target``.
 
-    Sources in code-point order, null last, take the weights in turn. A source is full at ``max_epochs`` times its size;
-    it fills first the smaller its size is for its weight. With sources in that order, source i is full if the
-    level that all sources from i on would share exceeds its own, and every other source gets weight times
-    the final level, which is what handing the excess on by weight comes to. One row per source takes part.
+    Sources in code-point order, null last, take the weights in turn. All sources start at the level that shares the whole
+    budget by weight; those that this takes to ``max_epochs`` times their size or beyond are clamped there, and what they leave is
+    shared by weight among the others, until no more are clamped. Each round is one aggregate over the sources.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    ranked = sources.select(
-        "source", "source_size", F.array(*map(F.lit, weights))[turn.cast("int")].cast("long").alias("weight")
+    order = [F.col("source").isNull(), F.col("source")]
+    turn = (F.col("position") % len(weights)).cast("int")
+    ranked = numbered(sources.select("source", "source_size"), order).select(
+        "source", "source_size", F.array(*map(F.lit, weights))[turn].cast("long").alias("weight")
     )
-    everything = Window.partitionBy()
-    fill = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").isNull(), "source")
-    before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
-    size, weight = F.col("source_size"), F.col("weight")
-    budget = F.lit(float(share)) * F.sum(size).over(everything)
-    filled = F.coalesce(F.sum(size).over(before), F.lit(0)) * F.lit(float(max_epochs))
-    level = (budget - filled) / F.sum(weight).over(after)
-    full = level * weight >= size * F.lit(float(max_epochs))
-    leveled = ranked.withColumn("level", level).withColumn("full", full)
-    final = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
-    target = F.when(F.col("full"), size * F.lit(float(max_epochs))).otherwise(weight * final)
-    return leveled.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
+    ranked = cut(ranked, "sources")
+    size, weight, most = F.col("source_size"), F.col("weight"), F.lit(float(max_epochs))
+    level, clamped = None, -1
+    while True:
+        full = F.lit(False) if level is None else F.lit(level) * weight >= size * most
+        sums = ranked.agg(
+            F.sum(size).alias("all"), F.sum(F.when(full, size).otherwise(0)).alias("full"),
+            F.sum(F.when(full, 0).otherwise(weight)).alias("open"), F.count_if(full).alias("n"),
+        ).first()
+        if sums["n"] == clamped or not sums["open"]:
+            break
+        clamped, level = sums["n"], (float(share) * sums["all"] - float(sums["full"]) * float(max_epochs)) / sums["open"]
+    target = F.when(full, size * most).otherwise(weight * F.lit(level if level is not None else 0.0))
+    return ranked.withColumn("target", target.cast("double"))
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with ``position`` (from 0) in the order: rows are dealt out by ranges and numbered within them, after the
+    rows of the ranges before. Only one row per range is ordered in one task."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = dealt.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return dealt.withColumn("row", within).join(F.broadcast(firsts), "range").withColumn("position", F.col("first") + F.col("row") - 1).drop("range", "row", "first")
 
 
 def marked(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> dict[str, Column]:
-    """What decides a document's turn in its source: a seeded hash of its id, that hash's bucket, and its text's hash."""
+    """What decides a document's turn in its source: a seeded hash of its id (of its text if the id is null), that hash's
+    bucket, and its text's hash."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    turn = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(docs[id_col].cast("string"), F.lit(""))).cast("binary"))
+    name = F.coalesce(docs[id_col].cast("string"), F.concat(F.lit("#"), F.xxhash64(text).cast("string")))
+    turn = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     return {
         "source": docs[source_col],
         "size": F.regexp_count(text, F.lit(WORD)).cast("long"),
@@ -55,7 +68,8 @@ def marked(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: i
 
 def mix_plan(sized: DataFrame, weights: tuple[int, ...], share: float, max_epochs: float) -> tuple[DataFrame, DataFrame]:
     """From ``source, size, turn, bucket, text_hash`` per document: the plan per source, and the documents of the
-    bucket in which a source's sample ends that belong to it (``edge_turn, edge_hash, edge_source``)."""
+    bucket in which a source's sample ends that belong to it (``edge_turn, edge_hash, edge_source``, and ``fits``, how many of
+    their ``copies``; that is less than all for one document of a source at most)."""
     per_bucket = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "buckets")
     filled = targets(per_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -70,30 +84,54 @@ def mix_plan(sized: DataFrame, weights: tuple[int, ...], share: float, max_epoch
     plan = cut(filled.join(edges, filled["source"].eqNullSafe(edges["edge_source"]), "left").drop("edge_source"), "plan")
     mine = small(plan.withColumnRenamed("source", "plan_source"))
     on_edge = sized.join(mine, sized["source"].eqNullSafe(mine["plan_source"]) & (F.col("bucket") == F.col("edge_bucket")))
-    order = Window.partitionBy("source", "bucket").orderBy("turn", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    taken = on_edge.withColumn("taken", ahead + F.col("size") / 2 <= F.col("rest")).filter("taken")
-    chosen = taken.select(F.col("turn").alias("edge_turn"), F.col("text_hash").alias("edge_hash"), F.col("source").alias("edge_source"))
-    return plan, cut(chosen.distinct(), "edge")
+    copies = on_edge.groupBy("source", "turn", "text_hash", "size", "before", "rest").agg(F.count("*").alias("copies"))
+    order = Window.partitionBy("source").orderBy("turn", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(order), F.lit(0))
+    room = F.floor((F.col("rest") - ahead) / F.col("size") + F.lit(0.5))
+    fits = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(room, F.col("copies")))).otherwise(F.col("copies")).cast("long")
+    chosen = copies.withColumn("fits", fits).filter("fits > 0").select(
+        F.col("turn").alias("edge_turn"), F.col("text_hash").alias("edge_hash"), F.col("source").alias("edge_source"), "copies", "fits"
+    )
+    return plan, cut(chosen, "edge")
 
 
 def repeats_of(rows: DataFrame, names: dict[str, str], plan: DataFrame, edge: DataFrame, max_epochs: float) -> DataFrame:
-    """``rows`` with ``source_size``, ``target`` and ``repeats`` from the plan, under the names given."""
+    """``rows`` with ``source_size``, ``target`` and ``repeats`` from the plan, under the names given.
+
+    Where a sample ends among copies of one document, equal rows are counted and come back as two rows' worth: as many as
+    still fit are taken once more than the others.
+    """
     plan = small(plan.select(*[F.col(c).alias(names[c]) for c in ("source_size", "target")], F.col("source").alias("_plan_source"),
                              F.col("whole").alias("_whole"), F.col("edge_bucket").alias("_edge_bucket")))
-    edge = small(edge)
-    source, bucket = rows[names["source"]], rows[names["bucket"]]
-    joined = rows.join(plan, source.eqNullSafe(plan["_plan_source"])).join(
-        edge,
-        (rows[names["turn"]] == edge["edge_turn"]) & (rows[names["text_hash"]] == edge["edge_hash"]) & source.eqNullSafe(edge["edge_source"]),
-        "left",
-    )
-    extra = (bucket < F.coalesce(plan["_edge_bucket"], F.lit(0))) | edge["edge_turn"].isNotNull()
     most = F.lit(math.ceil(max_epochs)).cast("long")
-    repeats = F.when(plan[names["source_size"]] > 0, F.least(plan["_whole"] + extra.cast("long"), most)).otherwise(F.lit(0).cast("long"))
-    return joined.withColumn(names["repeats"], repeats).drop(
-        plan["_plan_source"], plan["_whole"], plan["_edge_bucket"], edge["edge_turn"], edge["edge_hash"], edge["edge_source"]
-    )
+
+    def on_edge(rows, edge):
+        source = rows[names["source"]].eqNullSafe(edge["edge_source"])
+        return (rows[names["turn"]] == edge["edge_turn"]) & (rows[names["text_hash"]] == edge["edge_hash"]) & source
+
+    def repeated(joined, extra):
+        repeats = F.when(joined[names["source_size"]] > 0, F.least(joined["_whole"] + extra.cast("long"), most)).otherwise(F.lit(0).cast("long"))
+        return joined.withColumn(names["repeats"], repeats).select(*rows.columns, *[names[c] for c in ("source_size", "target", "repeats")])
+
+    def planned(rows):
+        return rows.join(plan, rows[names["source"]].eqNullSafe(plan["_plan_source"]))
+
+    split = cut(edge.filter("fits < copies"), "split")
+    some = not split.isEmpty()
+    settled = rows.join(small(split), on_edge(rows, split), "left_anti") if some else rows
+    inside = small(edge.filter("fits = copies"))
+    joined = planned(settled).join(inside, on_edge(settled, inside), "left")
+    found = repeated(joined, (joined[names["bucket"]] < F.coalesce(F.col("_edge_bucket"), F.lit(0))) | F.col("edge_turn").isNotNull())
+    if not some:
+        return found
+    # One row per kind of equal rows with their number, in a fixed order, then each row again.
+    one = small(split)
+    kinds = rows.join(one, on_edge(rows, one)).groupBy(*rows.columns, "fits").agg(F.count("*").alias("_n"))
+    kinds = cut(kinds.withColumn("_kind", F.xxhash64(*[F.col(c) for c in rows.columns])), "kinds")
+    before = Window.partitionBy(names["source"]).orderBy("_kind").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = kinds.withColumn("_fits", F.col("fits") - F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    each = planned(ahead.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))))
+    return found.unionByName(repeated(each, F.col("_copy") <= F.col("_fits")))
 
 
 def mix_counts(
@@ -110,13 +148,14 @@ def mix_counts(
 
     Size is the number of words. Each source repeats all its documents floor(target / source_size) times; for the rest
     documents are taken in the order of a seeded hash of their id while at least half of the next one fits, so a source
-    misses its target by at most half of one document. No document is taken more than ``max_epochs`` (whole) times.
+    misses its target by at most half of one document, and not by more where one document has many copies. No document is taken
+    more than ``max_epochs`` (whole) times.
 
     The order is found without sorting a source: sizes are summed per hash bucket, the bucket in which the target
     falls is found from the sums, and only its rows are ordered. Reruns agree.
 
-    Null text has size 0 and is repeated like its source; a null source is a source; null ids share one turn, by their
-    text's hash; rows that repeat id, source and text are taken alike; sources without words are not taken; an
+    Null text has size 0 and is repeated like its source; a null source is a source; documents without an id have turns by
+    their text; of rows that repeat id, source and text as many are taken as fit; sources without words are not taken; an
     empty table gives none.
     """
     columns = marked(docs, id_col, text_col, source_col, seed)
@@ -138,7 +177,11 @@ def mix_documents(
     max_epochs: float = 2.0,
     seed: int = 17,
 ) -> DataFrame:
-    """The mix itself: each document as often as ``mix_counts`` says, with all its columns. Texts are not shuffled."""
+    """The mix itself: each document as often as ``mix_counts`` says, with all its columns.
+
+    Texts are not shuffled, but for those of rows that repeat a document in which a source's sample ends; columns must then
+    be of types that can be grouped.
+    """
     columns = marked(docs, id_col, text_col, source_col, seed)
     sized = cut(docs.select(*[c.alias(name) for name, c in columns.items()]), "sized")
     plan, edge = mix_plan(sized, weights, share, max_epochs)
