@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,36 +151,50 @@ def mean_log_odds(own: np.ndarray, owner: np.ndarray, length: np.ndarray, n: int
     return np.log(mean / (1 - mean))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 4000, seed: int = 5) -> QualityModel:
-    """Fit on about ``sample`` labelled documents, chosen by a hash of their id (all if there are fewer).
-
-    Each line takes its document's label. Features are made by Spark tasks; those of the sample come to the driver.
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    sample: int = 4000,
+    longest: int = 100_000,
+    seed: int = 5,
+) -> QualityModel:
+    """Fit on about ``sample`` labelled documents, chosen by a hash of their id (all if there are fewer), of at most
+    ``longest`` characters each, which bounds what comes to the driver.
+
+    Each line takes its document's label. Features are made by Spark tasks. An id that has several labels takes the more
+    frequent one, 1 if they are even; labels without id or value, and labels of ids that no document has, are ignored.
+    Documents that share an id are fitted one by one.
     """
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
     n = marked.count()
     share = min(1.0, sample / max(1, n))
-    picked = marked.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["id"])
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(cut(picked, "labelled")), "id")
+    picked = marked.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < share * (1 << 20))
+    picked = picked.groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    rows = named.filter(F.char_length("text") <= longest).join(small(cut(picked, "labelled")), "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, number = class_table(), 0
+        table, number, row = class_table(), 0, TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = [t or "" for t in batch["text"]]
+            texts = batch["text"].tolist()
             for a, b in pieces(texts):
                 own, owner, length = line_features(texts[a:b], table)
-                yield pd.DataFrame(
-                    {"doc": batch["id"].to_numpy()[a:b][owner], "label": batch["label"].to_numpy()[a:b][owner], "line": number + np.arange(len(own)), "length": length, "own": list(own)}
-                )
-                number += len(own)
+                of = {c: batch[c].to_numpy()[a:b][owner] for c in ("id", "text_hash", "label")}
+                yield pd.DataFrame({**of, "row": row + owner, "line": number + np.arange(len(own)), "length": length, "own": list(own)})
+                number, row = number + len(own), row + b - a
 
     kind = docs.schema[id_col].dataType.simpleString()
-    lines = rows.mapInPandas(run, f"doc {kind}, label int, line bigint, length bigint, own array<double>").toPandas()
-    lines = lines.sort_values(["doc", "line"], kind="stable")
+    lines = rows.mapInPandas(run, f"id {kind}, text_hash bigint, label int, row bigint, line bigint, length bigint, own array<double>").toPandas()
+    lines = lines.sort_values(["id", "text_hash", "row", "line"], kind="stable")
     if lines["label"].nunique() < 2:
         share = float(lines["label"].mean()) if len(lines) else 0.5
         return QualityModel(np.zeros(OWN), np.ones(OWN), np.zeros(3 * OWN + 1), np.zeros((2, 2)), 0.0, 8 * share - 4)
     own = np.array(lines["own"].tolist())
-    owner, good = pd.factorize(lines["doc"])[0], lines["label"].to_numpy()
+    owner, good = pd.factorize(lines["row"])[0], lines["label"].to_numpy()
     mean, scale = own.mean(axis=0), own.std(axis=0) + 1e-3
     weights, transition = fit_chain(with_neighbours((own - mean) / scale, owner), owner, good)
     model = QualityModel(mean, scale, weights, transition, 1.0, 0.0)
