@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,9 +70,21 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans + [(m.start(), m.end(), "hex") for m in LONG_HEX.finditer(text)]
 
 
+class Holders:
+    """Answers whether a span lies inside a base span. Those of one kind do not overlap, so only the last that starts
+    before it can hold it, and a binary search finds that."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]) -> None:
+        kinds = {kind for _, _, kind in spans}
+        self.kinds = [[(s, e) for s, e, k in spans if k == kind] for kind in kinds]
+
+    def hold(self, start: int, end: int) -> bool:
+        return any((at := bisect_right(kind, (start, math.inf))) and kind[at - 1][1] >= end for kind in self.kinds)
+
+
 def entropy_spans(text: str, allow: re.Pattern, covered: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidate runs whose entropy is high in some window, unless a base span holds them or they are allow-listed."""
-    spans = []
+    spans, base = [], Holders(covered)
     for run in CANDIDATE.finditer(text):
         if allow.fullmatch(run[0]):
             continue
@@ -81,7 +94,7 @@ def entropy_spans(text: str, allow: re.Pattern, covered: list[tuple[int, int, st
             for start, end in left:
                 for m in alphabet.finditer(text, start, end):
                     a, b, string = m.start(), m.end(), m[0]
-                    if b - a < window or allow.fullmatch(string) or any(s <= a and b <= e for s, e, _ in covered):
+                    if b - a < window or allow.fullmatch(string) or base.hold(a, b):
                         continue
                     if peak_entropy(string, window) >= least:
                         spans.append((a, b, kind))
