@@ -75,14 +75,12 @@ def mask_tokens(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int
     return mask
 
 
-def masked_text(formatted: str, offsets: list, mask: list) -> str:
-    """The characters under masked tokens, each once (tokens that share a character have the same offsets)."""
-    parts, done = [], 0
-    for (a, b), on in zip(offsets, mask, strict=True):
-        if on and b > done:
-            parts.append(formatted[max(a, done) : b])
-            done = b
-    return "".join(parts)
+def masked_texts(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[str]:
+    """The text under each unbroken run of masked tokens. Tokens follow each other without gaps; those that share a
+    character have the same offsets."""
+    edges = np.diff(np.r_[0, mask.astype(np.int8), 0])
+    first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
+    return [formatted[a:b] for a, b in zip(starts[first].tolist(), ends[last].tolist(), strict=True)]
 
 
 def load_tokenizer(tokenizer_file: str):
@@ -147,10 +145,11 @@ def conversation_digest(formatted: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for at in range(batch.num_rows):
-                text, mask, starts, ends = (batch.column(k)[at].as_py() for k in range(1, 5))
+                text = batch.column(1)[at].as_py()
+                mask, starts, ends = (batch.column(k)[at].values.to_numpy(zero_copy_only=False) for k in range(2, 5))
                 turns = parse(text)
                 said = "".join(f"{role}\n{words}\n" for role, words in turns)
-                loss = unescape_runs(text, list(zip(starts, ends, strict=True)), mask)
+                loss = "".join(map(unescape, masked_texts(text, starts, ends, mask)))
                 digest = (hashlib.sha256(x.encode()).hexdigest() for x in (said, loss))
                 rows.append((len(turns), next(digest), len(loss), next(digest), len(text)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -163,16 +162,3 @@ def conversation_digest(formatted: DataFrame) -> DataFrame:
         run,
         f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
     )
-
-
-def unescape_runs(formatted: str, offsets: list, mask: list) -> str:
-    """The unescaped text under the mask; each unbroken run of masked tokens is unescaped by itself."""
-    parts, first = [], None
-    for i in range(len(offsets) + 1):
-        on = i < len(offsets) and bool(mask[i])
-        if on and first is None:
-            first = i
-        elif not on and first is not None:
-            parts.append(unescape(masked_text(formatted, offsets[first:i], mask[first:i])))
-            first = None
-    return "".join(parts)
