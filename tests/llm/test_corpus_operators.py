@@ -19,7 +19,7 @@ from support import SF, from_spark, from_sql
 
 import corpus_pipeline
 from millrace.llm import bitslice, chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, range_coder, registry, secrets, simhash, token_output
-from millrace.llm.common import scratch
+from millrace.llm.common import is_small, scratch
 from millrace.llm.components import components
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -334,9 +334,45 @@ def test_mix_meets_targets_and_agrees_with_itself(spark):
     assert got == +want
 
 
+def test_copies_do_not_make_a_mix_miss_its_target(spark):
+    """A third of all rows, and one whole source, are copies of one row; the sample ends among them."""
+    rows = [(1, "one two three four five six seven eight", "en", "copies", 0)] * 1000
+    rows += [(10 + i, "w " * 8, "en", "other", 0) for i in range(1000)] + [(None, f"n{i} " * 8, "en", "nameless", 0) for i in range(1000)]
+    rows += [(5, "five words are in here", "en", "other", k % 2) for k in range(1000)]
+    docs = documents(spark, rows)
+    counts = mixing.mix_counts(docs, weights=(3, 2, 4)).collect()
+    assert collections.Counter(r.doc_id for r in counts) == collections.Counter(r[0] for r in rows)
+    for source in ("copies", "other", "nameless"):
+        mine = [r for r in counts if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 8
+        assert all(r.repeats <= 2 for r in mine)
+    ends = {r.repeats for r in counts if r.doc_id == 1}
+    assert len(ends) == 2
+    mixed = collections.Counter(r.doc_id for r in mixing.mix_documents(docs, weights=(3, 2, 4)).collect())
+    want = collections.Counter()
+    for r in counts:
+        want[r.doc_id] += r.repeats
+    assert mixed == +want
+
+
 # 2: line deduplication
 
 
+def test_lines_go_from_changed_documents_only_when_these_are_many(spark, monkeypatch):
+    rows = [(i, f"own {i}\ncommon\nrare", "en", f"s{i % 10}", 0) for i in range(20)] + [(30, "alone", "en", "s1", 0), (None, None, None, None, None)]
+    docs = documents(spark, rows)
+    want = sorted(map(repr, line_dedup.remove_boilerplate(docs, 8).collect()))
+    monkeypatch.setattr(line_dedup, "is_small", lambda df: False)
+    assert sorted(map(repr, line_dedup.remove_boilerplate(docs, 8).collect())) == want
+    monkeypatch.setattr(line_dedup, "CHANGED_ROWS", 0)
+    assert sorted(map(repr, line_dedup.remove_boilerplate(docs, 8).collect())) == want
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    wide = spark.range(4).select(F.repeat(F.lit("x"), 1000).alias("x"))
+    assert is_small(wide, 4, 5000) and not is_small(wide, 3, 5000) and not is_small(wide, 4, 4000)
+
+
 def test_boilerplate_lines(spark):
     rows = [(i, f"own {i}\nCommon line \n\nrare", "en", f"s{i % 10}", 0) for i in range(20)] + [(50, None, None, None, None), (51, "Common line", None, None, 0)]
     docs = documents(spark, rows)
@@ -370,7 +406,8 @@ def test_chat_round_trip(turns):
     offsets = np.array(tokenizer.encode(formatted, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
     wanted = [s for (role, _), s in zip(turns, spans, strict=True) if role == "assistant"]
     mask = chat_format.mask_tokens(offsets[:, 0], offsets[:, 1], wanted)
-    assert chat_format.unescape_runs(formatted, offsets.tolist(), mask.tolist()) == "".join(t for r, t in turns if r == "assistant")
+    said = map(chat_format.unescape, chat_format.masked_texts(formatted, offsets[:, 0], offsets[:, 1], mask))
+    assert "".join(said) == "".join(t for r, t in turns if r == "assistant")
 
 
 def test_conversations_with_nulls_and_ties(spark):
@@ -580,6 +617,21 @@ def test_chain_marginals_equal_enumeration():
         assert np.allclose(got[owner == t], good / total)
 
 
+def test_labels_that_disagree_or_repeat(spark):
+    """The more frequent label counts, 1 if even; the order of rows does not matter; rows that share an id are told apart."""
+    good, bad = "A calm sentence, well put.\nAnother one follows it.", "$$$ !!! ###\n||| *** @@@"
+    rows = [(i, good if i % 2 else bad, "en", "s", 0) for i in range(40)] + [(0, good, "en", "s", 0), (0, bad, "en", "s", 0)]
+    marks = [(i, i % 2, 0) for i in range(40)] + [(i, 1 - i % 2, 0) for i in range(30)] + [(i, i % 2, 0) for i in range(30)] + [(7, None, 0)]
+    schema = "doc_id long, quality int, toxic int"
+    scores = []
+    for labels in (marks, marks[::-1]):
+        for part in (1, 3):
+            model = quality.train(documents(spark, rows).repartition(part), spark.createDataFrame(labels, schema))
+            scores.append({r.doc_id: round(r.score, 6) for r in quality.score(documents(spark, rows[:40]), model).collect()})
+    assert all(s == scores[0] for s in scores)
+    assert all((scores[0][i] >= 0.5) == bool(i % 2) for i in range(40))
+
+
 # Odd and empty tables
 
 
@@ -605,3 +657,16 @@ def test_odd_tables(spark):
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 4, 6, 7, 8, None, None], key=str)
+
+
+def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
+    labels = spark.createDataFrame([(4, 1, 0), (6, 0, 0), (None, 1, 0), (7, None, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([("i1", None), ("i2", "été à l école")], "item_id string, text string")
+    for name, rows in (("odd", ODD), ("empty", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(rows, DOC).write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        items.write.parquet(f"{folder}/benchmark.parquet")
+        got = sorted(corpus_pipeline.run(spark, folder).collect(), key=lambda r: r.start)
+        assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
+        assert {r.doc_id for r in got} <= {r[0] for r in rows} and (bool(got) == bool(rows))
