@@ -21,6 +21,9 @@ REDACTIONS = (
         "$1=[REDACTED]",
     ),
 )
+#: An email begins where no character of its name comes before, or where the last match has ended. That finds the same
+#: ones, but a run without "@" is gone through once, not from each of its characters.
+_EMAIL_START = r"(?:\G|(?<![a-zA-Z0-9._%+-]))"
 #: Characters that a URI component keeps although the form encoding escapes them.
 URI_KEEPS = {"%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~", "+": "%20"}
 
@@ -44,6 +47,8 @@ def redact(c: Column) -> Column:
 
     def step(text: Column, rule: tuple[str, str]) -> Column:
         pattern, replacement = rule
+        if pattern == EMAIL:
+            pattern = _EMAIL_START + EMAIL
         flags = "(?U)" if r"\s" in pattern or r"\S" in pattern else ""
         return F.regexp_replace(text, flags + pattern.replace("(?i)", "(?iu)"), replacement)
 
@@ -53,7 +58,7 @@ def redact(c: Column) -> Column:
 def request_id(c: Column, ascii_only: bool = False) -> Column:
     """The stripped id, cut to 64 characters, if it has only letters, digits, ``_`` and ``-``; else null."""
     cut = F.substring(strip(c), 1, 64)
-    allowed = r"^[A-Za-z0-9_-]+$" if ascii_only else r"^[\p{L}\p{N}_-]+$"
+    allowed = r"^[A-Za-z0-9_-]+\z" if ascii_only else r"^[\p{L}\p{N}_-]+\z"
     return F.when(cut.rlike(allowed), cut)
 
 

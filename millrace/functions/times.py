@@ -19,8 +19,3 @@ def iso(ts: Column) -> Column:
 
 def expires_at(ts: Column, kind: str) -> Column:
     return ts + F.expr(f"INTERVAL {LIFETIMES[kind]}")
-
-
-def retry_after(window_s: float, elapsed_s: Column) -> Column:
-    """Whole seconds until the window is over, at least one."""
-    return F.greatest(F.lit(1), F.ceil(F.lit(window_s) - elapsed_s)).cast("long")

@@ -23,13 +23,26 @@ def shortest(field: str, n: int) -> Rule:
 
 
 def email(field: str) -> Rule:
-    return field, ~F.col(field).rlike(f"^{EMAIL}$"), "value is not a valid email address", "value_error"
+    return field, ~F.col(field).rlike(rf"^{EMAIL}\z"), "value is not a valid email address", "value_error"
 
 
 def one_of(field: str, values: list[str]) -> Rule:
     return field, ~F.col(field).isin(values), "Input should be " + " or ".join(f"'{v}'" for v in values), "enum"
 
 
+def account_rules() -> list[Rule]:
+    """Fixed limits of an account record."""
+    return [
+        required("email"), email("email"), longest("email", 255), longest("full_name", 255), one_of("role", ["admin", "user"]),
+        shortest("password", 8), longest("password", 128),
+    ]
+
+
+def item_rules() -> list[Rule]:
+    """Fixed limits of an item record."""
+    return [required("title"), shortest("title", 1), longest("title", 255), longest("description", 255)]
+
+
 def check(df: DataFrame, rules: list[Rule], errors: str = "errors") -> DataFrame:
     """``df`` with an array of (loc, msg, type) for the rules that a row breaks; a rule on a null value holds."""
     found = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(f).alias("loc"), F.lit(m).alias("msg"), F.lit(t).alias("type"))) for f, bad, m, t in rules]

@@ -74,9 +74,11 @@ def number_pages(df: DataFrame, order: list[Column], size: int, name: str = "pag
 
 
 def page_summary(total: DataFrame, size: int) -> DataFrame:
-    """From one row with ``total``: one row per page with its number, first and last row, and "x to y of z"."""
-    pages = F.ceil(F.col("total") / size).cast("long")
-    numbered = total.withColumn("pages", pages).withColumn("page", F.explode(F.when(pages > 0, F.sequence(F.lit(1).cast("long"), pages))))
+    """From one row with ``total``: one row per page with its number, first and last row, and "x to y of z". Only the total
+    comes to the driver; pages are made by tasks."""
+    n = total.first()["total"]
+    pages = -(-n // size)
+    numbered = total.sparkSession.range(1, pages + 1).select(F.lit(n).alias("total"), F.lit(pages).cast("long").alias("pages"), F.col("id").alias("page"))
     rows = numbered.withColumn("first_row", (F.col("page") - 1) * size + 1).withColumn("last_row", F.least(F.col("page") * size, F.col("total")))
     return rows.withColumn("label", F.format_string("Showing %d to %d of %d entries", "first_row", "last_row", "total"))
 
@@ -126,13 +128,13 @@ def display(accounts: DataFrame) -> DataFrame:
 
 def conflicts(requests: DataFrame, accounts: DataFrame) -> DataFrame:
     """Requests (``request_id, account_id`` or null, ``email``) with ``outcome``: taken by another account, taken by an
-    earlier request for the same email, or ok."""
+    earlier request for the same email, without an email, or ok. Every request comes back."""
     wanted = requests.withColumn("email", normalize_email(F.col("email")))
     holders = accounts.select(F.col("email"), F.col("id").alias("holder"))
     first = wanted.groupBy("email").agg(F.min("request_id").alias("first_request"))
-    joined = wanted.join(holders, "email", "left").join(first, "email")
+    joined = wanted.join(holders, "email", "left").join(first, "email", "left")
     taken = F.col("holder").isNotNull() & ~F.col("holder").eqNullSafe(F.col("account_id"))
-    outcome = F.when(taken, "taken").when(F.col("request_id") != F.col("first_request"), "repeated").otherwise("ok")
+    outcome = F.when(F.col("email").isNull(), "no_email").when(taken, "taken").when(F.col("request_id") != F.col("first_request"), "repeated").otherwise("ok")
     return joined.select("request_id", "account_id", "email", outcome.alias("outcome"))
 
 

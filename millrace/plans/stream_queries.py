@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.plans.base import query
 from millrace.plans.session_queries import FOLD, LIMIT
 from millrace.plans.text_queries import redact_sql
+from millrace.sources import tables
 from millrace.streaming import streams
 
 
@@ -21,23 +22,27 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     feed = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
-    return streams.drain(streams.redacted(feed.select(F.col("doc_id").alias("id"), F.lit("").alias("request_id"), "text")), "redact")
+    return streams.drain(streams.redacted, feed.select(F.col("doc_id").alias("id"), F.lit("").alias("request_id"), "text"), "redact")
 
 
-#: Rows up to here have been passed by the watermark at the end of the input: an hour before the last.
-_MARK = ", mark AS (SELECT (epoch_ms(max(ts)) - 3600000) * 1000 AS us FROM events)"
+@query("SELECT event_id AS id, user_id, ts FROM events")
+def write_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tables.shared_path(spark, "stream")
+    feed = _events(spark, sf_dir).select(F.col("event_id").alias("id"), "user_id", "ts")
+    tables.write_stream(feed, f"{path}/out", f"{path}/state")
+    return spark.read.schema(feed.schema).parquet(f"{path}/out").select("id", "user_id", "ts")
 
 
-@query(LIMIT + _MARK + " SELECT id, client, allowed, retry_after FROM folded, mark WHERE epoch_us(ts) <= us")
+@query(LIMIT + " SELECT id, client, allowed, retry_after FROM folded")
 def rate_limit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on all requests up to the watermark."""
+    """Decisions on all requests."""
     feed = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("user_id").alias("client"), "ts")
-    return streams.drain(streams.rate_limited(feed, limit=2, window_s=86400, delay="1 hour"), "limit")
+    return streams.drain(lambda rows: streams.rate_limited(rows, limit=2, window_s=86400, delay="1 hour"), feed, "limit", "ts")
 
 
-@query(FOLD + _MARK + " SELECT id, user_id, session, kind, outcome FROM session_outcomes, mark WHERE epoch_us(ts) <= us")
+@query(FOLD + " SELECT id, user_id, session, kind, outcome FROM session_outcomes")
 def session_fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes of all session events up to the watermark."""
+    """Outcomes of all session events."""
     kind = F.col("event_type")
     feed = _events(spark, sf_dir).select(
         F.col("event_id").alias("id"),
@@ -47,6 +52,4 @@ def session_fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "signup", "login").when(kind.isin("click", "view"), "refresh").when(kind == "purchase", "logout").otherwise("logout_all").alias("kind"),
         (F.col("event_id") % 9 == 0).alias("stale"),
     )
-    return streams.drain(streams.sessions_folded(feed, delay="1 hour"), "sessions")
-
-
+    return streams.drain(lambda rows: streams.sessions_folded(rows, delay="1 hour"), feed, "sessions", "ts")

@@ -19,6 +19,7 @@ _EMAIL = r"'[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}'"
 
 def redact_sql(c: str) -> str:
     """The redaction patterns as nested DuckDB calls."""
+    # The patterns of functions/text.py in DuckDB's syntax, in the order in which they run.
     rules = [
         (_EMAIL, "'[EMAIL_REDACTED]'", "g"),
         (r"'eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+'", "'[JWT_REDACTED]'", "g"),
@@ -68,7 +69,7 @@ def redact_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 , cut AS (SELECT id, substr(regexp_replace(request_id, '^\s+|\s+$', '', 'g'), 1, 64) AS r FROM requests)
-SELECT id, CASE WHEN regexp_matches(r, '^[\p{L}\p{N}_-]+$') THEN r ELSE md5(id::VARCHAR) END AS request_id FROM cut
+SELECT id, CASE WHEN regexp_matches(r, '^[\p{L}\p{N}_-]+\z') THEN r ELSE md5(id::VARCHAR) END AS request_id FROM cut
 """)
 def request_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     minted = F.md5(F.col("id").cast("string").cast("binary"))
@@ -191,23 +192,47 @@ def expiry_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
 , r AS (SELECT id, {_STRIP.format('email')} AS email, role, password, full_name FROM raw_accounts)
 SELECT id, array_to_string(list_filter([
+  CASE WHEN email IS NULL THEN 'email:missing' END,
   CASE WHEN NOT regexp_matches(email, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{{2,}}$') THEN 'email:value_error' END,
   CASE WHEN length(email) > 255 THEN 'email:string_too_long' END,
-  CASE WHEN full_name IS NULL THEN 'full_name:missing' END,
+  CASE WHEN length(full_name) > 255 THEN 'full_name:string_too_long' END,
   CASE WHEN role NOT IN ('admin', 'user') THEN 'role:enum' END,
   CASE WHEN length(password) < 8 THEN 'password:string_too_short' END,
   CASE WHEN length(password) > 128 THEN 'password:string_too_long' END], lambda x: x IS NOT NULL), ',') AS errors FROM r
 """)
 def validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = validation
-    rules = [
-        v.email("email"), v.longest("email", 255), v.required("full_name"), v.one_of("role", ["admin", "user"]),
-        v.shortest("password", 8), v.longest("password", 128),
-    ]
     rows = V.raw_accounts(spark, sf_dir).withColumn("email", X.strip(F.col("email")))
-    checked = v.check(rows, rules)
+    return _checked(rows, validation.account_rules())
+
+
+def _checked(rows: DataFrame, rules: list[validation.Rule]) -> DataFrame:
+    checked = validation.check(rows, rules)
     shown = F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["loc"], e["type"])), ",")
-    return v.accepted(checked).select("id", F.lit("").alias("errors")).unionByName(v.rejected(checked).select("id", shown.alias("errors")))
+    good, bad = validation.accepted(checked), validation.rejected(checked)
+    return good.select("id", F.lit("").alias("errors")).unionByName(bad.select("id", shown.alias("errors")))
+
+
+_TITLE = "CASE WHEN id % 10 <> 0 THEN repeat(title, (id % 60)::INT) END"
+_DESCRIPTION = "repeat(description, (id % 300)::INT)"
+
+
+@query(f"""
+, r AS (SELECT id, {_TITLE} AS title, {_DESCRIPTION} AS description FROM items)
+SELECT id, array_to_string(list_filter([
+  CASE WHEN title IS NULL THEN 'title:missing' END,
+  CASE WHEN length(title) < 1 THEN 'title:string_too_short' END,
+  CASE WHEN length(title) > 255 THEN 'title:string_too_long' END,
+  CASE WHEN length(description) > 255 THEN 'description:string_too_long' END], lambda x: x IS NOT NULL), ',') AS errors FROM r
+""")
+def validate_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items whose titles and descriptions are repeated by their id, so that some are missing, empty or too long."""
+    k = F.col("id")
+    rows = V.items(spark, sf_dir).select(
+        "id",
+        F.when(k % 10 != 0, F.expr("repeat(title, cast(id % 60 AS INT))")).alias("title"),
+        F.expr("repeat(description, cast(id % 300 AS INT))").alias("description"),
+    )
+    return _checked(rows, validation.item_rules())
 
 
 @query("""

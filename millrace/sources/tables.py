@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from millrace.functions.text import or_default, redact
 from millrace.functions.times import iso
 
-#: Used only where the session names no ``spark.checkpoint.dir``, as in tests.
+#: Used only in local sessions that name no ``spark.checkpoint.dir``, as in tests.
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 
 
@@ -29,9 +29,23 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, u
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED_DIR
-    return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this session's part of the folder that the driver and all executors share."""
+    return f"{_session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _session_dir(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = DEFAULT_SHARED_DIR
+    return f"{base.rstrip('/')}/millrace/{spark.conf.get('spark.app.id')}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Delete this session's intermediate tables. Results that still read them must have been written before."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_session_dir(spark))
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def parse_payload(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
@@ -54,6 +68,13 @@ def write_batch(df: DataFrame, path: str, batch: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def write_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Write all there is of a stream, each trigger's rows as one unit of work named by its number, so that a trigger which is
+    run again after a failure replaces its rows instead of adding them."""
+    writer = stream.writeStream.foreachBatch(lambda df, number: write_batch(df, path, str(number)) and None)
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def log_line(ts: Column, level: Column, logger: Column, request: Column, message: Column) -> Column:
     """One redacted line: time, level padded to 8, logger, [request id or -], message."""
     return F.format_string(

@@ -20,12 +20,32 @@ from millrace.operators.sessions import fold_hits
 from millrace.sources.tables import shared_path
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all input there is, into files in the shared folder, and read them back."""
-    spark = stream.sparkSession
-    path = shared_path(spark, name)
-    writer = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+#: The event time of the row that ends an input (pandas times reach no further).
+END = "2262-01-01 00:00:00"
+
+
+def drain(operator: Callable[[DataFrame], DataFrame], feed: DataFrame, name: str, ts: str | None = None) -> DataFrame:
+    """Run ``operator(feed)`` over all input there is, into files in the shared folder, and read them back.
+
+    With ``ts``, the feed's event time, the input also ends: after the feed has been read a second source, empty until then, gets one
+    row of nulls at a time far ahead. The watermark then passes all rows that are held, and the operator returns
+    them; the row itself is never passed.
+    """
+    spark, path = feed.sparkSession, shared_path(feed.sparkSession, name)
+    if ts:
+        spark.createDataFrame([], feed.schema).write.parquet(f"{path}/end")
+        feed = feed.unionByName(spark.readStream.schema(feed.schema).parquet(f"{path}/end"))
+    stream = operator(feed)
+
+    def run():
+        writer = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    if ts:
+        end = spark.range(1).select(*[F.lit(END if f.name == ts else None).cast(f.dataType).alias(f.name) for f in feed.schema])
+        end.coalesce(1).write.mode("append").parquet(f"{path}/end")
+        run()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
@@ -34,11 +54,11 @@ def redacted(feed: DataFrame) -> DataFrame:
     return feed.select("id", or_default(F.col("request_id"), "-").alias("request_id"), redact(F.col("text")).alias("text"))
 
 
-def _held(key: str, feed: DataFrame, delay: str, schema: str, fold: Callable, keep_us: int = 0) -> DataFrame:
+def _held(key: str, feed: DataFrame, delay: str, schema: str, fold: Callable, until: Callable[[list], int | None]) -> DataFrame:
     """``fold(rows, memory) -> (out, memory)`` for each key's rows in time order once the watermark has passed them.
 
-    State is the rows still held and the fold's memory as JSON; a key that holds nothing is forgotten when its memory is older
-    than ``keep_us`` (never if that is 0).
+    State is the rows still held and the fold's memory as JSON. ``until(memory)`` says from what time on (in microseconds) a
+    memory is of no more use, or None; a key that holds no rows is then forgotten.
     """
     timed = feed.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
     columns = [c for c in timed.columns if c != "ts"]
@@ -53,18 +73,14 @@ def _held(key: str, feed: DataFrame, delay: str, schema: str, fold: Callable, ke
         if ready:
             out, memory = fold(pd.DataFrame(ready, columns=columns), memory)
             yield out
-        if rows:
-            wake = rows[0][columns.index("us")] // 1000 + 1
-        elif keep_us and memory is not None:
-            wake = (memory[0] + keep_us) // 1000 + 1
-            if wake <= mark // 1000:
+        due = rows[0][columns.index("us")] if rows else until(memory) if memory is not None else None
+        if due is not None and not rows and due <= mark:
+            if state.exists:
                 state.remove()
-                return
-        else:
-            wake = 0
+            return
         state.update((json.dumps(rows), json.dumps(memory)))
-        if wake:
-            state.setTimeoutTimestamp(max(wake, mark // 1000 + 1))
+        if due is not None:
+            state.setTimeoutTimestamp(max(due // 1000 + 1, mark // 1000 + 1))
 
     return timed.groupBy(key).applyInPandasWithState(
         step, schema, "rows string, memory string", "append", GroupStateTimeout.EventTimeTimeout
@@ -83,11 +99,12 @@ def rate_limited(feed: DataFrame, limit: int = 300, window_s: int = 60, delay: s
         out = pd.DataFrame({"id": rows["id"], "client": rows["client"], "allowed": allowed, "retry_after": np.where(allowed, 0, left)})
         return out, [int(start), int(hits)]
 
-    return _held("client", feed, delay, "id long, client long, allowed boolean, retry_after long", fold, window)
+    return _held("client", feed, delay, "id long, client long, allowed boolean, retry_after long", fold, lambda memory: memory[0] + window)
 
 
 def sessions_folded(feed: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Outcomes of session events (id, user_id, session, ts, kind, stale) as in the batch operator; memory: the open sessions."""
+    """Outcomes of session events (id, user_id, session, ts, kind, stale) as in the batch operator; memory: the open sessions. A user
+    without one is forgotten."""
 
     def fold(rows: pd.DataFrame, memory: list | None) -> tuple[pd.DataFrame, list]:
         is_open, outcomes = set(memory or []), []
@@ -106,4 +123,4 @@ def sessions_folded(feed: DataFrame, delay: str = "1 minute") -> DataFrame:
         out = rows[["id", "user_id", "session", "kind"]].assign(outcome=outcomes)
         return out, sorted(int(s) for s in is_open)
 
-    return _held("user_id", feed, delay, "id long, user_id long, session long, kind string, outcome string", fold)
+    return _held("user_id", feed, delay, "id long, user_id long, session long, kind string, outcome string", fold, lambda memory: None if memory else 0)

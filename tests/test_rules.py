@@ -5,13 +5,14 @@ from __future__ import annotations
 import datetime
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 from support import SF
 
 from millrace.functions import text as X
-from millrace.functions import times
+from millrace.functions import times, validation
 from millrace.functions.nested import map_strings
 from millrace.operators import accounts as A
 from millrace.operators import changes as M
@@ -64,6 +65,70 @@ def test_redaction_is_the_patterns_in_order(spark):
     assert [g[0] for g in got] == [plain(line) for line in lines]
 
 
+def test_redaction_of_long_runs_is_linear_and_finds_emails_after_emails(spark):
+    lines = ["a" * 200_000, "x@y.co_z@w.uk", "a@b.cod@e.fg h@i.jk", "@a@b.co@c.de", "..a@b.co%c@d.ef", "é.x@y.zz"]
+    began = time.perf_counter()
+    got = values(spark, [(line,) for line in lines], "c string", X.redact(F.col("c")))
+    assert time.perf_counter() - began < 10
+    assert [g[0] for g in got] == [re.sub(X.EMAIL, "[EMAIL_REDACTED]", line) for line in lines]
+
+
+def test_record_rules(spark):
+    rows = [("a@b.co", "n" * 255, "user", "x" * 8), (None, None, "admin", "x" * 128), ("a@b.co\n", "n" * 256, "owner", "x" * 7)]
+    checked = validation.check(spark.createDataFrame(rows, "email string, full_name string, role string, password string"), validation.account_rules())
+    got = [[(e.loc, e.type) for e in r.errors] for r in checked.collect()]
+    assert got == [[], [("email", "missing")], [("email", "value_error"), ("full_name", "string_too_long"), ("role", "enum"), ("password", "string_too_short")]]
+    items = spark.createDataFrame([("", None), ("t", "d" * 256), (None, None)], "title string, description string")
+    got = [[(e.loc, e.type) for e in r.errors] for r in validation.check(items, validation.item_rules()).collect()]
+    assert got == [[("title", "string_too_short")], [("description", "string_too_long")], [("title", "missing")]]
+
+
+def test_requests_without_email_come_back(spark):
+    requests = spark.createDataFrame([(1, None, " A@b.co"), (2, None, None), (3, 7, "c@d.ef"), (4, None, "a@b.co")], "request_id long, account_id long, email string")
+    accounts = spark.createDataFrame([(7, "c@d.ef")], "id long, email string")
+    assert sorted((r.request_id, r.outcome) for r in A.conflicts(requests, accounts).collect()) == [(1, "ok"), (2, "no_email"), (3, "ok"), (4, "repeated")]
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        tables.shared_path(Session(spark_master="spark://host:7077", spark_app_id="a"), "x")
+    assert tables.shared_path(Session(spark_master="local[4]", spark_app_id="a"), "x").startswith(tables.DEFAULT_SHARED_DIR)
+    path = tables.shared_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    tables.clear_shared(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
+def test_jdbc_scan_names_its_partitions():
+    class Reader:
+        def __init__(self):
+            self.set = {}
+
+        read = property(lambda self: self)
+
+        def format(self, name):
+            return self.option("format", name)
+
+        def option(self, key, value):
+            self.set[key] = value
+            return self
+
+        def options(self, **more):
+            self.set |= more
+            return self
+
+        def load(self):
+            return self.set
+
+    got = tables.scan_jdbc(Reader(), "jdbc:x", "users", "id", 0, 99, 4, fetchsize="10")
+    assert got == {"format": "jdbc", "url": "jdbc:x", "dbtable": "users", "partitionColumn": "id", "lowerBound": 0, "upperBound": 99, "numPartitions": 4, "fetchsize": "10"}
+
+
 def test_nested_redaction_walks_four_containers(spark):
     mail = "a@b.co"
     df = spark.createDataFrame([([[[[mail]]]], [[[[[mail]]]]], None)], "four array<array<array<array<string>>>>, five array<array<array<array<array<string>>>>>, s struct<x:string>")
@@ -75,7 +140,7 @@ def test_nested_redaction_walks_four_containers(spark):
 
 @pytest.mark.parametrize(
     "text, want",
-    [("  ab-1_  ", "ab-1_"), ("a b", None), ("", None), (None, None), ("é²", "é²"), ("x" * 70, "x" * 64), (" " + "y" * 63 + "!z", None)],
+    [("x" * 63 + "\ny", None), ("ab\r\nc", None), ("ab\x85c", None), ("  ab-1_  ", "ab-1_"), ("a b", None), ("", None), (None, None), ("é²", "é²"), ("x" * 70, "x" * 64), (" " + "y" * 63 + "!z", None)],
 )
 def test_request_id(spark, text, want):
     assert one(spark, text, X.request_id) == want
@@ -196,13 +261,12 @@ def test_stream_equals_batch_in_any_order_within_the_delay(spark, tmp_path, kind
     batch = spark.createDataFrame(rows, schema)
     if kind == "limit":
         pick = ["id", F.col("user_id").alias("client"), "ts"]
-        got, want = streams.rate_limited(feed.select(*pick), 2, 60, "10 minutes"), S.rate_limit(batch.select(*pick), 2, 60)
+        feed, want = feed.select(*pick), S.rate_limit(batch.select(*pick), 2, 60)
+        got = streams.drain(lambda rows: streams.rate_limited(rows, 2, 60, "10 minutes"), feed, kind, "ts")
     else:
-        got, want = streams.sessions_folded(feed, "10 minutes"), S.session_fold(batch)
-    mark = rows[-1][3] - datetime.timedelta(minutes=10)
-    passed = {r[0] for r in rows if r[3] <= mark}
-    found = streams.drain(got, kind).collect()
-    assert sorted(map(tuple, found)) == sorted(tuple(r) for r in want.collect() if r.id in passed)
+        want = S.session_fold(batch)
+        got = streams.drain(lambda rows: streams.sessions_folded(rows, "10 minutes"), feed, kind, "ts")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_long_titles_and_payloads_are_not_cut(spark, tmp_path):
@@ -233,5 +297,8 @@ def plan_of(df):
 def test_plans(spark):
     accounts = V.accounts(spark, SF)
     assert "TakeOrderedAndProject" in plan_of(A.page(accounts, "x", 10, 5))
+    paged = plan_of(A.number_pages(accounts.select("id", "created_at"), [F.desc("created_at"), F.asc("id")], 25))
+    windows = [part for part in re.split(r"\n\n\n?(?=\()", paged) if re.match(r"\(\d+\) Window\b", part.strip())]
+    assert any("_range" in w and "_row" in w for w in windows)  # rows are numbered within a range; one row per range in one task
     looked_up = plan_of(spark.read.parquet(f"{SF}/customer.parquet").filter("c_custkey = 5").select("c_name"))
     assert "EqualTo(c_custkey,5)" in looked_up and "struct<c_custkey:bigint,c_name:string>" in looked_up
