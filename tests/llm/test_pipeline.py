@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from support import SF
+from support import SF, from_elsewhere
 
 from millrace.llm.common import cut
 
@@ -41,3 +41,8 @@ def test_stages(spark):
     for r in tokens:
         assert r.start == at
         at += r.n_tokens
+
+
+def test_queries_with_python_workers_run_without_the_repository_on_their_path(tmp_path):
+    names = ["op1_language_id", "op3_chat_format", "op4_simhash", "op6_token_output", "op7_secret_scan", "op8_quality", "pipeline"]
+    assert from_elsewhere(tmp_path, names) == names
