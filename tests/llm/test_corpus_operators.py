@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -21,6 +23,7 @@ import corpus_pipeline
 from millrace.llm import bitslice, chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, range_coder, registry, secrets, simhash, token_output
 from millrace.llm.common import is_small, scratch
 from millrace.llm.components import components
+from millrace.llm.textcodes import lower_letters
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -632,6 +635,75 @@ def test_labels_that_disagree_or_repeat(spark):
     assert all((scores[0][i] >= 0.5) == bool(i % 2) for i in range(40))
 
 
+def plain_em(likelihood, allowed, rounds):
+    """Proportions of one text's words and its log likelihood, word by word."""
+    share = [1 / len(allowed) if k in allowed else 0.0 for k in range(len(likelihood[0]))]
+    for _ in range(rounds):
+        total = [0.0] * len(share)
+        for word in likelihood:
+            joint = [p * q for p, q in zip(word, share, strict=True)]
+            total = [t + j / sum(joint) for t, j in zip(total, joint, strict=True)]
+        share = [t / len(likelihood) for t in total]
+    return share, sum(math.log(sum(p * q for p, q in zip(word, share, strict=True))) for word in likelihood)
+
+
+def test_mixtures_equal_plain_loops():
+    """EM with all languages, then nested sets by frequency, chosen by penalised likelihood: for texts of one to three languages."""
+    rng = np.random.default_rng(3)
+    words = [["".join(rng.choice(list(letters), 5)) for _ in range(30)] for letters in ("abcde", "cdefgh", "ghijkl")]
+    lower, counts = lower_letters(), np.full((language_id.BUCKETS, 3), 0.05)
+    for k, some in enumerate(words):
+        np.add.at(counts[:, k], language_id.word_grams([" ".join(some)], lower)[0], 1)
+    model = language_id.LanguageModel(["a", "b", "c"], np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    texts = [" ".join(rng.choice(words[int(rng.choice(n + 1))]) for _ in range(size)) for n in (0, 1, 2) for size in (1, 2, 7, 40)] + ["12 !"]
+    sizes = set()
+    for text, got in zip(texts, language_id.mixtures(model, texts, lower), strict=True):
+        gram, first, _ = language_id.word_grams([text], lower)
+        if not len(gram):
+            assert not got.any()
+            continue
+        edges = [*first.tolist(), len(gram)]
+        log_word = [[sum(float(model.log_p[g, k]) for g in gram[i:j].tolist()) for k in range(3)] for i, j in zip(edges, edges[1:], strict=False)]
+        likelihood = [[max(math.exp(x - max(row)), 1e-12) for x in row] for row in log_word]
+        order = sorted(range(3), key=lambda k, share=plain_em(likelihood, {0, 1, 2}, 12)[0]: (-share[k], k))
+        fits = [plain_em(likelihood, set(order[: n + 1]), 12) for n in range(3)]
+        values = [fit - 2.0 * math.log(len(likelihood) + 1) * n for n, (_, fit) in enumerate(fits)]
+        best = max(range(3), key=lambda n: (values[n], -n))
+        sizes.add(best)
+        assert np.allclose(got, fits[best][0], atol=1e-6)
+    assert sizes == {0, 1, 2}
+
+
+def test_registered_span_digest(spark):
+    """Counts, digest and listing of spans, against spans found by plain patterns in code points."""
+    token, key = "0123456789abcdef" * 2, "AKIA" + "Z9" * 9
+    texts = [f"😀 password: {token} {key}", f"é api_key = 'abc' token=abcdef {token}", "AKIASHORT secret=12345", None, f"{key}{key} xsecret: \"{token}\""]
+    docs = documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: r for r in secrets.span_digest(secrets.find_secrets(docs)).collect()}
+    patterns = [
+        ("assign", re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 6),
+        ("access", re.compile(r"(AKIA[A-Z0-9]+)"), 20),
+        ("hex", re.compile(r"([0-9a-f]+)"), 24),
+    ]
+    for i, text in enumerate(texts):
+        spans = [(m.start(), n, f"{kind}:{m.start()}:{m.end()}") for n, (kind, p, least) in enumerate(patterns) for m in p.finditer(text or "") if len(m[1]) >= least]
+        base = ",".join(s for *_, s in sorted(spans))
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(n == k for _, n, _ in spans) for k in range(3))
+        assert ",".join(s for s in got[i].spans.split(",") if not s.startswith("entropy")) == base
+    assert {i: (r.n_assign, r.n_access, r.n_hex) for i, r in got.items()} == {0: (1, 1, 1), 1: (1, 0, 1), 2: (0, 0, 0), 3: (0, 0, 0), 4: (1, 1, 1)}
+
+
+def test_base_spans_are_searched_as_by_a_walk():
+    rng = random.Random(5)
+    for _ in range(50):
+        spans = [(a, a + rng.randrange(1, 6), k) for k in "xyz" for a in range(rng.randrange(6), 60, 6)]
+        holders = secrets.Holders(spans)
+        for a in range(66):
+            for b in range(a + 1, a + 6):
+                assert holders.hold(a, b) == any(s <= a and b <= e for s, e, _ in spans)
+
+
 # Odd and empty tables
 
 
