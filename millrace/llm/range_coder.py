@@ -189,11 +189,11 @@ def encode(ids: np.ndarray, block_tokens: int = BLOCK_TOKENS) -> bytes:
         raise ValueError("token ids must be from 0 to 65535")
     ids = ids.astype(np.uint16)
     blocks = -(-len(ids) // block_tokens)
-    raw = ids.astype("<u4").tobytes()
-    crcs = [zlib.crc32(raw[4 * block_tokens * i : 4 * block_tokens * (i + 1)]) for i in range(blocks)]
+    crcs = checksums(ids, block_tokens)
     padded = np.zeros(blocks * block_tokens, dtype=np.uint16)
     padded[: len(ids)] = ids
     steps = np.ascontiguousarray(padded.reshape(blocks, block_tokens).T)
+    del padded
     tail = len(ids) - (blocks - 1) * block_tokens if blocks else 0
     prior = Prior.of(ids)
     if blocks and tail < block_tokens:  # padding repeats an id that the segment has
@@ -237,6 +237,11 @@ def encode(ids: np.ndarray, block_tokens: int = BLOCK_TOKENS) -> bytes:
     return fixed + head + sizes + np.array(crcs, dtype="<u4").tobytes() + b"".join(pieces)
 
 
+def checksums(ids: np.ndarray, block_tokens: int) -> list[int]:
+    """The checksum of every block's ids as little-endian unsigned 32-bit integers."""
+    return [zlib.crc32(ids[first : first + block_tokens].astype("<u4").tobytes()) for first in range(0, len(ids), block_tokens)]
+
+
 def decode(segment: bytes) -> np.ndarray:
     """The ids of a segment; raises ``ValueError`` if its head or a block does not match its checksum."""
     fixed = struct.calcsize(HEADER)
@@ -297,9 +302,9 @@ def decode(segment: bytes) -> np.ndarray:
         out[t] = token
         _shift_out(low, length, emit)
         model.update(token, outcome)
-    ids = np.ascontiguousarray(out.T).reshape(-1)[:total].astype(np.uint32)
-    raw = ids.astype("<u4").tobytes()
-    bad = [i for i in range(blocks) if zlib.crc32(raw[4 * block_tokens * i : 4 * block_tokens * (i + 1)]) != crcs[i]]
+    del model
+    ids = np.ascontiguousarray(out.T).reshape(-1)[:total]
+    bad = [i for i, crc in enumerate(checksums(ids, block_tokens)) if crc != crcs[i]]
     if bad:
         raise ValueError(f"blocks {bad} do not match their checksums")
     return ids

@@ -25,6 +25,8 @@ BATCH_ROWS = 1 << 16
 SET_BLOCK = 1024
 #: Pairs whose shingle sets are compared before classes are looked at again.
 STEP = 512
+#: Texts whose shingle sets a task holds at a time.
+SET_CHUNK = 512
 #: Hashes that are min-hashed together.
 KEY_PIECE = 1 << 15
 
@@ -167,8 +169,12 @@ def set_prints(docs: DataFrame, id_col: str, text_col: str, shingle: int, words:
 
     @F.pandas_udf("fp binary, sk binary, keys array<bigint>")
     def prints(texts: pd.Series) -> pd.DataFrame:
-        sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-        columns = {"fp": [fingerprint(x, words) for x in sets], "sk": [set_name(x) for x in sets], "keys": list(band_keys(sets, bands, rows))}
+        columns = {"fp": [], "sk": [], "keys": []}
+        for first in range(0, len(texts), SET_CHUNK):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in texts.iloc[first : first + SET_CHUNK]]
+            columns["fp"] += [fingerprint(x, words) for x in sets]
+            columns["sk"] += [set_name(x) for x in sets]
+            columns["keys"] += list(band_keys(sets, bands, rows))
         return pd.DataFrame(columns, dtype=object)
 
     found = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("text_hash"), prints(F.col(text_col)).alias("p"))
@@ -270,13 +276,14 @@ def similar_groups(
     wanted = small(cut(member.select(F.col("text_hash").alias("wanted")).distinct(), "wanted"))
     texts = docs.join(wanted, text_hash(docs[text_col]) == wanted["wanted"], "left_semi").select(docs[text_col].alias("text"))
 
-    @F.pandas_udf("sk binary, hashes binary")
-    def hashed(texts: pd.Series) -> pd.DataFrame:
-        sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-        return pd.DataFrame({"sk": [set_name(x) for x in sets], "hashes": [x.tobytes() for x in sets]}, dtype=object)
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, SET_CHUNK):
+                found = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(0).slice(first, SET_CHUNK).to_pylist()]
+                named = pa.array([set_name(x) for x in found], pa.binary()), pa.array([x.tobytes() for x in found], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(named), names=["sk", "hashes"])
 
-    sets = texts.select(hashed(F.col("text")).alias("s")).select("s.sk", "s.hashes")
-    sets = cut(sets.groupBy("sk").agg(F.first("hashes").alias("hashes")), "sets")
+    sets = cut(texts.mapInArrow(hashed, "sk binary, hashes binary").groupBy("sk").agg(F.first("hashes").alias("hashes")), "sets")
     roots = components(verified_links(member, sets, radius, least, words))
     rooted = cut(
         distinct.join(roots, F.col("sk") == F.col("node"), "left").select("sk", "first", F.coalesce("root", "sk").alias("root")),

@@ -17,9 +17,9 @@ from millrace.llm.common import cut, small
 from millrace.llm.range_coder import decode, encode
 
 #: Tokens after which a segment is closed (at a document's end).
-SEGMENT_TOKENS = 1 << 22
+SEGMENT_TOKENS = 1 << 21
 #: Words whose ids a task remembers.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 150_000
 #: Texts that are tokenised together.
 CHUNK = 512
 
@@ -117,7 +117,8 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, id_col: str =
         id_type = None
 
         def row():
-            tokens = np.frombuffer(b"".join(held), dtype="<u2").astype(np.int64)
+            tokens = np.frombuffer(b"".join(held), dtype="<u2")
+            held.clear()
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
@@ -140,8 +141,9 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, id_col: str =
                     held += [coded, end]
                     total += counts[-1]
                     if total >= SEGMENT_TOKENS:
-                        yield row()
+                        whole = row()
                         ids, counts, held, total, segment = [], [], [], 0, segment + 1
+                        yield whole
         if ids:
             yield row()
 
