@@ -98,3 +98,14 @@ SELECT doc_id, count(*) FILTER (bare <> '') AS n_lines, count(*) FILTER (bare <>
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (bare = '' OR NOT b), '')) AS kept_sha256
 FROM (SELECT l.*, p.bare IS NOT NULL AS b FROM lines l LEFT JOIN boilerplate p USING (bare)) GROUP BY doc_id
 """
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score, q.r
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 10
+"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import oracle, quality
+from millrace.llm.align import align
 from millrace.llm.chat_format import conversation_digest, format_conversations
 from millrace.llm.common import fold, scratch, table
 from millrace.llm.decontaminate import contamination
@@ -20,6 +21,8 @@ from millrace.llm.mixing import mix_counts
 from millrace.llm.secrets import find_secrets, span_digest
 from millrace.llm.simhash import near_groups
 from millrace.llm.token_output import read_tokens, write_tokens
+from millrace.llm.topk import top_k
+from millrace.llm.whitening import whiten
 
 
 def tokenizer_file() -> str:
@@ -90,8 +93,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_chat_format, op4_simhash, op5_exact_dedup, op6_token_output, op7_secret_scan, op8_quality, op9_mixing, op10_decontaminate)} | {"pipeline": corpus_pipeline.run}
-SQL = {"op2_line_dedup": oracle.OP2, "op3_chat_format": oracle.OP3, "op5_exact_dedup": oracle.OP5, "op9_mixing": oracle.OP9, "op10_decontaminate": oracle.OP10}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), "whitened", "explained", "identity_error")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizer_file(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = top_k(table(spark, sf_dir, "embeddings"))
+    return found.select("query_id", "rank", "vec_id", F.expr("try_cast(score AS bigint)").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_chat_format, op4_simhash, op5_exact_dedup, op6_token_output, op7_secret_scan, op8_quality, op9_mixing, op10_decontaminate, op11_whitening, op12_alignment, op13_topk)} | {"pipeline": corpus_pipeline.run}
+SQL = {"op2_line_dedup": oracle.OP2, "op3_chat_format": oracle.OP3, "op5_exact_dedup": oracle.OP5, "op9_mixing": oracle.OP9, "op10_decontaminate": oracle.OP10, "op13_topk": oracle.OP13}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
