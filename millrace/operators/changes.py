@@ -16,8 +16,22 @@ def insert(table: DataFrame, batch: DataFrame, defaults: dict[str, Column]) -> D
     return table.unionByName(filled, allowMissingColumns=True)
 
 
-def insert_if_absent(table: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    return table.unionByName(batch.join(table, key, "left_anti"), allowMissingColumns=True)
+def insert_if_absent(table: DataFrame, batch: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """The table with those rows of the batch whose key it does not have. Of batch rows that repeat a key the first by ``order`` (by all
+    columns without it) is inserted, as later ones would find it there. A null key is a key like any other."""
+    absent = batch.join(table.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    whole = F.struct(*([F.col(order).alias("_order")] if order else []), *batch.columns)
+    first = absent.groupBy(F.col(key).alias("_key")).agg(F.min(whole).alias("_row"))
+    return table.unionByName(first.select(*[F.col("_row")[c].alias(c) for c in batch.columns]), allowMissingColumns=True)
+
+
+def set_passwords(table: DataFrame, new: DataFrame, as_of: Column) -> DataFrame:
+    """Accounts with the digests in ``new`` (id, hashed_password); of several for one account the largest. ``updated_at`` becomes ``as_of`` where a
+    digest changed."""
+    given = new.groupBy("id").agg(F.max("hashed_password").alias("_digest"))
+    differs = F.col("_digest").isNotNull() & ~F.col("_digest").eqNullSafe(F.col("hashed_password"))
+    changed = {"updated_at": F.when(differs, as_of).otherwise(F.col("updated_at")), "hashed_password": F.coalesce("_digest", "hashed_password")}
+    return table.join(given, "id", "left").withColumns(changed).select(table.columns)
 
 
 def patch(table: DataFrame, patches: DataFrame, fields: list[str], as_of: Column, clearable: tuple[str, ...] = CLEARABLE) -> DataFrame:
@@ -61,17 +75,22 @@ def open_sessions(sessions: DataFrame, logins: DataFrame) -> DataFrame:
 
 
 def rotate(sessions: DataFrame, rotations: DataFrame) -> DataFrame:
-    """New digest, expiry and last use for sessions in ``rotations`` (id, token, ts, ip_address); ip only where given."""
-    new = rotations.select("id", F.sha2(F.col("token"), 256).alias("_hash"), F.col("ts").alias("_ts"), F.col("ip_address").alias("_ip"))
-    hit = F.col("_ts").isNotNull()
-    return sessions.join(new, "id", "left").withColumns(
-        {
-            "refresh_token_hash": F.when(hit, F.col("_hash")).otherwise(F.col("refresh_token_hash")),
-            "expires_at": F.when(hit, expires_at(F.col("_ts"), "refresh")).otherwise(F.col("expires_at")),
-            "last_used_at": F.when(hit, F.col("_ts")).otherwise(F.col("last_used_at")),
-            "ip_address": F.coalesce("_ip", "ip_address"),
-        }
-    ).drop("_hash", "_ts", "_ip")
+    """New digest, expiry and last use for sessions in ``rotations`` (id, token, ts, ip_address and, if both tables have it, user_agent).
+
+    Of several rotations of a session the last one (by ts, then token; those without ts first) gives digest, expiry and last use, and
+    the last one that gives an address or agent gives that: these are replaced only where given. Every session stays one row.
+    """
+    given = [c for c in ("ip_address", "user_agent") if c in rotations.columns and c in sessions.columns]
+    order = F.struct("ts", "token")
+    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"_{c}") for c in given]
+    new = rotations.groupBy("id").agg(F.max(order).alias("_last"), *latest)
+    hit = F.col("_last").isNotNull()
+    changed = {
+        "refresh_token_hash": F.when(hit, F.sha2(F.col("_last.token"), 256)).otherwise(F.col("refresh_token_hash")),
+        "expires_at": F.when(hit, expires_at(F.col("_last.ts"), "refresh")).otherwise(F.col("expires_at")),
+        "last_used_at": F.when(hit, F.col("_last.ts")).otherwise(F.col("last_used_at")),
+    }
+    return sessions.join(new, "id", "left").withColumns(changed | {c: F.coalesce(f"_{c}", c) for c in given}).select(sessions.columns)
 
 
 def close(sessions: DataFrame, digests: DataFrame) -> DataFrame:

@@ -56,6 +56,29 @@ def refresh_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.refresh_outcomes(attempts, V.sessions(spark, sf_dir), V.accounts(spark, sf_dir))
 
 
+@query("""
+, asked AS (SELECT a.*, row_number() OVER (PARTITION BY session_key ORDER BY a."at", attempt) AS n FROM refresh_attempts a),
+live AS (SELECT s.*, a.is_active AS owner_active FROM user_sessions s LEFT JOIN accounts a ON a.id = s.user_id WHERE s.is_active),
+folded AS (
+  WITH RECURSIVE fold AS (
+    SELECT id AS session_key, 0::BIGINT AS n, NULL::BIGINT AS attempt, refresh_token_hash AS held, expires_at AS until, NULL::VARCHAR AS outcome, 0::BIGINT AS used FROM live
+    UNION ALL
+    SELECT session_key, n, attempt, CASE WHEN outcome = 'ok' THEN new_digest ELSE held END,
+      CASE WHEN outcome = 'ok' THEN "at" + INTERVAL 30 DAYS ELSE until END, outcome, used + (outcome = 'ok')::BIGINT
+    FROM (SELECT a.session_key, a.n, a.attempt, a.new_digest, a."at", f.held, f.until, f.used,
+            CASE WHEN NOT a.token_ok THEN 'invalid_token' WHEN a.digest <> f.held THEN 'no_active_session' WHEN a."at" >= f.until THEN 'session_expired'
+              WHEN l.owner_active IS NULL THEN 'unknown_account' WHEN NOT l.owner_active THEN 'inactive_account' ELSE 'ok' END AS outcome
+          FROM fold f JOIN asked a ON a.session_key = f.session_key AND a.n = f.n + 1 JOIN live l ON l.id = f.session_key))
+  SELECT * FROM fold WHERE n > 0)
+SELECT a.attempt, coalesce(f.outcome, CASE WHEN a.token_ok THEN 'no_active_session' ELSE 'invalid_token' END) AS outcome,
+  CASE WHEN f.outcome = 'ok' THEN f.session_key END AS refreshed, CASE WHEN f.outcome = 'ok' THEN f.used END AS position
+FROM asked a LEFT JOIN folded f USING (attempt)
+""")
+def refresh_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = S.refresh_chains(V.refresh_attempts(spark, sf_dir), V.user_sessions(spark, sf_dir), V.accounts(spark, sf_dir))
+    return done.select("attempt", "outcome", F.when(F.col("outcome") == "ok", F.col("session_id")).alias("refreshed"), "position")
+
+
 @query("""
 , claims AS (SELECT o_orderkey AS token_id, CASE WHEN o_orderkey % 9 = 0 THEN 'x' || o_custkey WHEN o_orderkey % 9 = 1 THEN '9' || (o_custkey + 10000000) ELSE o_custkey::VARCHAR END AS sub FROM orders)
 SELECT token_id, sub, CASE WHEN try_cast(sub AS BIGINT) IS NULL THEN 'bad_claim' WHEN a.id IS NULL THEN 'unknown_account'
@@ -186,3 +209,34 @@ session_outcomes AS (SELECT id, user_id, session, kind, ts, CASE kind WHEN 'logi
 @query(FOLD + "SELECT id, user_id, session, kind, outcome FROM session_outcomes")
 def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.session_fold(V.session_events(spark, sf_dir))
+
+
+#: Sessions last two days here and are remembered for one more.
+_MACHINE_SECONDS = (2 * 86400, 86400)
+MACHINE = """
+, keys AS (SELECT DISTINCT user_id, session FROM session_events),
+placed AS (
+  SELECT k.user_id, k.session, e.id, e.ts, e.kind, e.digest, e.new_digest, row_number() OVER (PARTITION BY k.user_id, k.session ORDER BY e.ts, e.id) AS n
+  FROM keys k JOIN machine_events e ON e.user_id = k.user_id AND (e.session = k.session OR e.kind = 'logout_all')),
+walked AS (
+  WITH RECURSIVE walk AS (
+    SELECT user_id, session, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::VARCHAR AS held, NULL::TIMESTAMP AS until, NULL::VARCHAR AS outcome, 0::BIGINT AS shut FROM keys
+    UNION ALL
+    SELECT user_id, session, n, id,
+      CASE outcome WHEN 'opened' THEN new_digest WHEN 'rotated' THEN new_digest WHEN 'closed' THEN NULL WHEN 'closed_all' THEN NULL ELSE held END,
+      CASE WHEN outcome IN ('opened', 'rotated') THEN ts + INTERVAL 2 DAYS WHEN outcome IN ('closed', 'closed_all') THEN NULL ELSE until END, outcome,
+      CASE WHEN outcome = 'closed_all' THEN alive WHEN outcome = 'closed' THEN 1 ELSE 0 END
+    FROM (SELECT p.*, w.held, w.until, (w.held IS NOT NULL AND p.ts < w.until + INTERVAL 1 DAY)::BIGINT AS alive,
+            CASE p.kind WHEN 'login' THEN 'opened' WHEN 'logout_all' THEN 'closed_all'
+              WHEN 'refresh' THEN CASE WHEN p.digest IS DISTINCT FROM w.held OR w.held IS NULL OR p.ts >= w.until + INTERVAL 1 DAY THEN 'rejected'
+                WHEN p.ts >= w.until THEN 'expired' ELSE 'rotated' END
+              ELSE CASE WHEN p.digest IS DISTINCT FROM w.held OR w.held IS NULL OR p.ts >= w.until + INTERVAL 1 DAY THEN 'ignored' ELSE 'closed' END END AS outcome
+          FROM walk w JOIN placed p ON p.user_id = w.user_id AND p.session = w.session AND p.n = w.n + 1))
+  SELECT id, any_value(outcome) AS outcome, sum(shut)::BIGINT AS closed FROM walk WHERE n > 0 GROUP BY id)
+SELECT e.id, e.user_id, e.session, e.kind, w.outcome, w.closed FROM machine_events e JOIN walked w USING (id)
+"""
+
+
+@query(MACHINE)
+def session_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.session_machine(V.machine_events(spark, sf_dir), *_MACHINE_SECONDS)

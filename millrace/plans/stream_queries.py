@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans import views as V
 from millrace.plans.base import query
-from millrace.plans.session_queries import FOLD, LIMIT
+from millrace.plans.session_queries import _MACHINE_SECONDS, FOLD, LIMIT, MACHINE
 from millrace.plans.text_queries import redact_sql
 from millrace.sources import tables
 from millrace.streaming import streams
@@ -30,7 +31,7 @@ def write_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tables.shared_path(spark, "stream")
     feed = _events(spark, sf_dir).select(F.col("event_id").alias("id"), "user_id", "ts")
     tables.write_stream(feed, f"{path}/out", f"{path}/state")
-    return spark.read.schema(feed.schema).parquet(f"{path}/out").select("id", "user_id", "ts")
+    return tables.read_batches(spark, f"{path}/out").select("id", "user_id", "ts")
 
 
 @query(LIMIT + " SELECT id, client, allowed, retry_after FROM folded")
@@ -53,3 +54,12 @@ def session_fold_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 9 == 0).alias("stale"),
     )
     return streams.drain(lambda rows: streams.sessions_folded(rows, delay="1 hour"), feed, "sessions", "ts")
+
+
+@query(MACHINE)
+def session_machine_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of all session events; their digests are derived beforehand, as a client would present them."""
+    path = tables.shared_path(spark, "machine")
+    V.machine_events(spark, sf_dir).write.parquet(path)
+    feed = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return streams.drain(lambda rows: streams.session_machine_stream(rows, *_MACHINE_SECONDS, delay="1 hour"), feed, "machine", "ts")

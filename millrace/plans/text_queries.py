@@ -150,16 +150,37 @@ def query_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.items(spark, sf_dir).select("id", F.substring(query_string, 2, F.length(query_string)).alias("query"))
 
 
-@query("SELECT id, '/api/v1/items/' || id || '/owners/' || owner_id || '/{version}' AS path FROM items")
+@query(r"""
+SELECT event_id AS id, 'q%20name=' || event_type || '&filter%5Bk%5D=' || (props->>'$.k') || '&filter%5Btags%5D=a%2Fb&filter%5Btags%5D=' || event_type
+  || '&filter%5Bowner%5D%5Bid%5D=' || user_id || CASE WHEN event_id % 2 = 0 THEN '&on=true' ELSE '' END AS query FROM events
+""")
+def nested_query_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters whose names need encoding and whose values are nested."""
+    owner = F.struct(F.col("user_id").alias("id"), F.lit(None).cast("string").alias("name"))
+    nested = F.struct(F.get_json_object("props", "$.k").cast("long").alias("k"), F.array(F.lit("a/b"), F.col("event_type"), F.lit(None).cast("string")).alias("tags"), owner.alias("owner"))
+    rows = V.table(spark, sf_dir, "events").select("event_id", "event_type", nested.alias("filter"), F.when(F.col("event_id") % 2 == 0, True).alias("on"))
+    types = {f.name: f.dataType for f in rows.schema}
+    parameters = {"q name": (F.col("event_type"), "scalar"), "filter": (F.col("filter"), types["filter"]), "on": (F.col("on"), types["on"])}
+    query = X.query_string(parameters)
+    return rows.select(F.col("event_id").alias("id"), F.substring(query, 2, F.length(query)).alias("query"))
+
+
+@query("""
+SELECT id, '/api/v1/items/' || id || '/owners/' || owner_id || '/' || url_encode(title) || '%20%7Bowner%7D/a?b%25/{version}' AS path FROM items
+""")
 def path_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = {"id": F.col("id").cast("string"), "owner": F.col("owner_id").cast("string")}
-    return V.items(spark, sf_dir).select("id", X.fill(F.lit("/api/v1/items/{id}/owners/{owner}/{version}"), values).alias("path"))
+    """Values are encoded as parts of a URI; a value that looks like a placeholder stays as it is."""
+    tag = F.concat("title", F.lit(" {owner}/a?b%"))
+    values = {"id": F.col("id").cast("string"), "owner": F.col("owner_id").cast("string"), "tag": tag}
+    path = X.fill(F.lit("/api/v1/items/{id}/owners/{owner}/{tag}/{version}"), values, encode=X.encode_uri)
+    return V.items(spark, sf_dir).select("id", path.alias("path"))
 
 
-@query("SELECT id, '<p>Hello ' || coalesce(full_name, '') || ', your account ' || email || ' is ready.</p>{{ link }}' AS html FROM accounts")
+@query("SELECT id, '<p>Hello ' || coalesce(full_name || ' {{ email }}', '') || ', your account ' || email || ' is ready.</p>{{ link }}' AS html FROM accounts")
 def mail_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some names look like a placeholder, and stay."""
     template = F.lit("<p>Hello {{ username }}, your account {{ email }} is ready.</p>{{ link }}")
-    html = X.fill(template, {"username": F.col("full_name"), "email": F.col("email")}, "{{ ", " }}")
+    html = X.fill(template, {"username": F.concat("full_name", F.lit(" {{ email }}")), "email": F.col("email")}, "{{ ", " }}")
     return V.accounts(spark, sf_dir).select("id", html.alias("html"))
 
 

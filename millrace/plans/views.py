@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.sources.tables import scan
@@ -135,6 +135,44 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One session per user of the events, some inactive."""
+    k = F.col("user_id")
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    until = F.lit("2024-01-10").cast("timestamp") + F.make_dt_interval(days=(k % 90).cast("int"))
+    return users.select(k.alias("id"), (k + 1).alias("user_id"), _digest("s", k).alias("refresh_token_hash"), (k % 5 != 0).alias("is_active"), until.alias("expires_at"))
+
+
+def refresh_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as refreshes of their user's session, 15 times as far apart: each presents what the last undisturbed one before it should
+    have issued; every ninth replays the session's first digest, every seventeenth has a bad token (both disturbed)."""
+    k, n = F.col("user_id"), F.col("event_id")
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when((n % 9 != 0) & (n % 17 != 0), n), ignorenulls=True).over(before)
+    events = table(spark, sf_dir, "events").withColumn("last", last)
+    at = F.timestamp_micros(F.unix_micros(F.lit("2024-01-01").cast("timestamp")) + 15 * (F.unix_micros("ts") - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))))
+    shown = F.when((n % 9 == 0) | F.col("last").isNull(), _digest("s", k)).otherwise(_digest("r", F.col("last")))
+    return events.select(n.alias("attempt"), shown.alias("digest"), _digest("r", n).alias("new_digest"), (n % 17 != 0).alias("token_ok"), at.alias("at"))
+
+
+def machine_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Session events with digests: logins and refreshes should issue one; refreshes and logouts present what the session should have been issued
+    last before, or on every ninth event the one before that."""
+    issues = F.col("kind").isin("login", "refresh")
+    own = Window.partitionBy("user_id", "session").orderBy("ts", "id")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    marked = session_events(spark, sf_dir).withColumn("issue", F.when(issues, F.col("id")))
+    marked = marked.withColumn("last", F.last("issue", ignorenulls=True).over(before))
+    marked = marked.withColumn("earlier", F.last(F.when(issues, F.struct(F.col("last").alias("v"))), ignorenulls=True).over(before)["v"])
+    shown = F.when(F.col("stale"), F.col("earlier")).otherwise(F.col("last"))
+    presents = F.col("kind").isin("refresh", "logout")
+    return marked.select("id", "user_id", "session", "ts", "kind", F.when(presents, _digest("i", shown)).alias("digest"), F.when(issues, _digest("i", F.col("id"))).alias("new_digest"))
+
+
+def _digest(prefix: str, number: Column) -> Column:
+    return F.sha2(F.concat(F.lit(prefix), number.cast("string")), 256)
+
+
 #: The same tables in DuckDB.
 CTES = r"""
 accounts AS (
@@ -173,5 +211,21 @@ token_uses AS (
   SELECT v.event_id AS id, v.user_id AS session, v.ts, sha256((CASE WHEN v.event_id % 9 = 0 THEN c.earlier ELSE c.event_id END)::VARCHAR) AS digest
   FROM (SELECT * FROM events WHERE event_type = 'view') v ASOF LEFT JOIN clicks c ON v.user_id = c.user_id AND v.ts > c.ts),
 access_pairs AS (SELECT o_orderkey AS id, o_custkey AS actor, o_custkey + o_orderkey % 3 AS target FROM orders),
-messages AS (SELECT doc_id AS id, text FROM documents)
+messages AS (SELECT doc_id AS id, text FROM documents),
+user_sessions AS (
+  SELECT user_id AS id, user_id + 1 AS user_id, sha256('s' || user_id) AS refresh_token_hash, user_id % 5 <> 0 AS is_active,
+    TIMESTAMP '2024-01-10' + to_days((user_id % 90)::INT) AS expires_at FROM (SELECT DISTINCT user_id FROM events)),
+refresh_attempts AS (
+  SELECT event_id AS attempt, user_id AS session_key, sha256(CASE WHEN event_id % 9 = 0 OR last IS NULL THEN 's' || user_id ELSE 'r' || last END) AS digest,
+    sha256('r' || event_id) AS new_digest, event_id % 17 <> 0 AS token_ok,
+    make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + 15 * (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01'))) AS "at"
+  FROM (SELECT *, last_value(CASE WHEN event_id % 9 <> 0 AND event_id % 17 <> 0 THEN event_id END IGNORE NULLS)
+          OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM events)),
+machine_issues AS (
+  SELECT user_id, session, ts, id, lag(id) OVER (PARTITION BY user_id, session ORDER BY ts, id) AS earlier FROM session_events WHERE kind IN ('login', 'refresh')),
+machine_events AS (
+  SELECT e.id, e.user_id, e.session, e.ts, e.kind,
+    CASE WHEN e.kind IN ('refresh', 'logout') THEN sha256('i' || (CASE WHEN e.stale THEN i.earlier ELSE i.id END)) END AS digest,
+    CASE WHEN e.kind IN ('login', 'refresh') THEN sha256('i' || e.id) END AS new_digest
+  FROM session_events e ASOF LEFT JOIN machine_issues i ON e.user_id = i.user_id AND e.session = i.session AND e.ts > i.ts)
 """

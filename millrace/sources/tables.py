@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.text import or_default, redact
 from millrace.functions.times import iso
+from millrace.sources.units import Conflict, Store
 
 #: Used only in local sessions that name no ``spark.checkpoint.dir``, as in tests.
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
@@ -33,6 +34,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{_session_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its plan ends there, and a lost executor does not take it along."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _session_dir(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -62,10 +70,26 @@ def to_payload(df: DataFrame) -> Column:
 
 
 def write_batch(df: DataFrame, path: str, batch: str) -> DataFrame:
-    """Write one unit of work all or nothing; a replay of ``batch`` replaces what it wrote before. Returns it as read back."""
-    place = f"{path}/batch={batch}"
-    df.write.mode("overwrite").parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
+    """Write one unit of work all or nothing; a replay of ``batch`` replaces what it wrote before, and one that fails leaves it as it was.
+
+    Returns the batch as read back; ``read_batches`` gives those of all batches. If another writer of the folder comes first, the batch,
+    which touches no other one's rows, is published after it.
+    """
+    store = Store(df.sparkSession, path)
+    folder = store.unit().stage(df)
+    while True:
+        unit = store.unit()
+        unit.place("rows", batch, folder, df.schema)
+        try:
+            unit.publish()
+        except Conflict:
+            continue
+        return store.rows(unit.manifest["tables"]["rows"], [batch])
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all batches that were written whole."""
+    return Store(spark, path).read("rows")
 
 
 def write_stream(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -1,24 +1,27 @@
-"""Streams: redaction, the rate limiter and the session fold.
+"""Streams: redaction, the rate limiter, the session fold and the session machine.
 
 Stateful streams hold a key's rows until the watermark has passed them and then fold them in (ts, id) order, so rows may
-arrive in any order within the delay and the result equals the batch operator's. Later rows are dropped.
+arrive in any order within the delay and the result equals the batch operator's. Later rows are dropped. Rows are held in a state map by time
+slot, and a timer per slot takes them out: a trigger touches the slots of its new rows and those that have become due, not what else a key holds.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from typing import Any
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.functions.text import or_default, redact
-from millrace.operators.sessions import fold_hits
+from millrace.operators.sessions import MACHINE_OUT, UNDATED, event_outcome, machine_step
 from millrace.sources.tables import shared_path
 
+#: The state store that stateful streams need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 #: The event time of the row that ends an input (pandas times reach no further).
 END = "2262-01-01 00:00:00"
@@ -32,6 +35,7 @@ def drain(operator: Callable[[DataFrame], DataFrame], feed: DataFrame, name: str
     them; the row itself is never passed.
     """
     spark, path = feed.sparkSession, shared_path(feed.sparkSession, name)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     if ts:
         spark.createDataFrame([], feed.schema).write.parquet(f"{path}/end")
         feed = feed.unionByName(spark.readStream.schema(feed.schema).parquet(f"{path}/end"))
@@ -54,73 +58,195 @@ def redacted(feed: DataFrame) -> DataFrame:
     return feed.select("id", or_default(F.col("request_id"), "-").alias("request_id"), redact(F.col("text")).alias("text"))
 
 
-def _held(key: str, feed: DataFrame, delay: str, schema: str, fold: Callable, until: Callable[[list], int | None]) -> DataFrame:
-    """``fold(rows, memory) -> (out, memory)`` for each key's rows in time order once the watermark has passed them.
+class Held(StatefulProcessor):
+    """Holds a key's rows until the watermark has passed their time slot, then gives them to ``fold`` in (ts, id) order.
 
-    State is the rows still held and the fold's memory as JSON. ``until(memory)`` says from what time on (in microseconds) a
-    memory is of no more use, or None; a key that holds no rows is then forgotten.
+    Rows are held as JSON lists (numbers, text and booleans), so keys and values of any such type work, nulls too. ``fold`` yields rows of the
+    output; ``due`` is told of timers that a subclass has set for itself (at milliseconds that are no slot's end, or also are one).
     """
-    timed = feed.withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
-    columns = [c for c in timed.columns if c != "ts"]
-
-    def step(key_value: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, memory = (json.loads(x) for x in state.get) if state.exists else ([], None)
-        rows += [r for part in parts for r in json.loads(part[columns].to_json(orient="values"))]
-        mark = state.getCurrentWatermarkMs() * 1000
-        rows.sort(key=lambda r: (r[columns.index("us")], r[columns.index("id")]))
-        ready = [r for r in rows if r[columns.index("us")] <= mark]
-        rows = rows[len(ready) :]
-        if ready:
-            out, memory = fold(pd.DataFrame(ready, columns=columns), memory)
-            yield out
-        due = rows[0][columns.index("us")] if rows else until(memory) if memory is not None else None
-        if due is not None and not rows and due <= mark:
-            if state.exists:
-                state.remove()
-            return
-        state.update((json.dumps(rows), json.dumps(memory)))
-        if due is not None:
-            state.setTimeoutTimestamp(max(due // 1000 + 1, mark // 1000 + 1))
-
-    return timed.groupBy(key).applyInPandasWithState(
-        step, schema, "rows string, memory string", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
 
-def rate_limited(feed: DataFrame, limit: int = 300, window_s: int = 60, delay: str = "1 minute") -> DataFrame:
-    """Decisions on requests (id, client, ts) as in the batch operator; a client is forgotten when its window is over."""
-    window = window_s * 1_000_000
+    def __init__(self, columns: list[str], slot_ms: int = 1000) -> None:
+        self.columns, self.slot_ms = columns, slot_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slots = handle.getMapState("slots", "slot bigint", "rows array<string>")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        new: dict[int, list[str]] = {}
+        for row in rows:
+            new.setdefault(row["us"] // 1000 // self.slot_ms, []).append(json.dumps([row[c] for c in self.columns]))
+        for slot, held in new.items():
+            known = self.slots.containsKey((slot,))
+            self.slots.updateValue((slot,), ([*self.slots.getValue((slot,))[0], *held] if known else held,))
+            if not known:
+                self.handle.registerTimer((slot + 1) * self.slot_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        slot = (at // self.slot_ms - 1,)
+        if at % self.slot_ms == 0 and self.slots.containsKey(slot):
+            held = [dict(zip(self.columns, json.loads(r), strict=True)) for r in self.slots.getValue(slot)[0]]
+            self.slots.removeKey(slot)
+            yield from self.fold(key[0], sorted(held, key=lambda r: (r["us"], r["id"] is not None, r["id"])))
+        self.due(key[0], at)
+
+    def fold(self, key: Any, rows: list[dict]) -> Iterator[Row]:
+        raise NotImplementedError
+
+    def due(self, key: Any, at: int) -> None:
+        """What else ends at this time."""
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(feed: DataFrame, key: str, delay: str, processor: Held, schema: str, undated: DataFrame) -> DataFrame:
+    """The processor's output, and ``undated`` for rows without a time, which no watermark passes."""
+    timed = feed.filter("ts IS NOT NULL").withWatermark("ts", delay).withColumn("us", F.unix_micros("ts"))
+    done = timed.groupBy(key).transformWithState(processor, schema, "append", "EventTime")
+    return done.unionByName(undated)
+
+
+class Limiter(Held):
+    """The rate limiter: state is the open window's start and its hits so far; it is forgotten when the window is over."""
+
+    def __init__(self, limit: int, window: int) -> None:
+        super().__init__(["id", "us"])
+        self.limit, self.length = limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.window = handle.getValueState("window", "start bigint, hits bigint")
+
+    def fold(self, key: Any, rows: list[dict]) -> Iterator[Row]:
+        before = self.window.get() if self.window.exists() else (None, 0)
+        start, hits = before
+        for row in rows:
+            us = row["us"]
+            if start is None or us - start >= self.length:
+                start, hits = us, 0
+                self.handle.registerTimer(self._over(start))
+            allowed = hits < self.limit
+            hits += allowed
+            yield Row(id=row["id"], client=key, allowed=allowed, retry_after=0 if allowed else max(1, -((us - start - self.length) // 1_000_000)))
+        if (start, hits) != before:
+            self.window.update((start, hits))
+
+    def _over(self, start: int) -> int:
+        """A timer's time (milliseconds) when all rows of the window have been folded: the end of the slot in which it ends."""
+        return ((start + self.length) // 1000 // self.slot_ms + 1) * self.slot_ms
+
+    def due(self, key: Any, at: int) -> None:
+        if self.window.exists() and self._over(self.window.get()[0]) <= at:
+            self.window.clear()
 
-    def fold(rows: pd.DataFrame, memory: list | None) -> tuple[pd.DataFrame, list]:
-        start, hits = memory or (None, 0)
-        times = rows["us"].to_numpy(dtype=np.int64)
-        starts, _, allowed, start, hits = fold_hits(times, limit, window, start, hits)
-        left = np.maximum(1, -((times - starts - window) // 1_000_000))
-        out = pd.DataFrame({"id": rows["id"], "client": rows["client"], "allowed": allowed, "retry_after": np.where(allowed, 0, left)})
-        return out, [int(start), int(hits)]
 
-    return _held("client", feed, delay, "id long, client long, allowed boolean, retry_after long", fold, lambda memory: memory[0] + window)
+def rate_limited(feed: DataFrame, limit: int = 300, window_s: int = 60, delay: str = "1 minute") -> DataFrame:
+    """Decisions on requests (id, client, ts) as in the batch operator; a client is forgotten when its window is over. Clients and ids may be
+    numbers or text, and null."""
+    kinds = dict(feed.dtypes)
+    schema = f"id {kinds['id']}, client {kinds['client']}, allowed boolean, retry_after bigint"
+    undated = feed.filter("ts IS NULL").select("id", "client", F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("long").alias("retry_after"))
+    return _stateful(feed.select("id", "client", "ts"), "client", delay, Limiter(limit, window_s * 1_000_000), schema, undated)
+
+
+class OpenSessions(Held):
+    """Which of a user's sessions are open; each is one entry of the state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.open = handle.getMapState("open", "session string", "open boolean")
+
+    def fold(self, key: Any, rows: list[dict]) -> Iterator[Row]:
+        for row in rows:
+            session = (json.dumps(row["session"]),)
+            outcome = event_outcome(row["kind"], row["stale"], self.open.containsKey(session))
+            if outcome == "opened":
+                self.open.updateValue(session, (True,))
+            elif outcome == "closed":
+                self.open.removeKey(session)
+            elif outcome == "closed_all":
+                self.open.clear()
+            yield Row(id=row["id"], user_id=key, session=row["session"], kind=row["kind"], outcome=outcome)
 
 
 def sessions_folded(feed: DataFrame, delay: str = "1 minute") -> DataFrame:
-    """Outcomes of session events (id, user_id, session, ts, kind, stale) as in the batch operator; memory: the open sessions. A user
-    without one is forgotten."""
-
-    def fold(rows: pd.DataFrame, memory: list | None) -> tuple[pd.DataFrame, list]:
-        is_open, outcomes = set(memory or []), []
-        for session, kind, stale in zip(rows["session"], rows["kind"], rows["stale"], strict=True):
-            if kind == "login":
-                is_open.add(session)
-                outcomes.append("opened")
-            elif kind == "refresh":
-                outcomes.append("rotated" if session in is_open and not stale else "rejected")
-            elif kind == "logout":
-                outcomes.append("closed" if session in is_open else "ignored")
-                is_open.discard(session)
-            else:
-                is_open.clear()
-                outcomes.append("closed_all")
-        out = rows[["id", "user_id", "session", "kind"]].assign(outcome=outcomes)
-        return out, sorted(int(s) for s in is_open)
-
-    return _held("user_id", feed, delay, "id long, user_id long, session long, kind string, outcome string", fold, lambda memory: None if memory else 0)
+    """Outcomes of session events (id, user_id, session, ts, kind, stale) as in the batch operator. State has an entry per open session."""
+    kinds = dict(feed.dtypes)
+    schema = f"id {kinds['id']}, user_id {kinds['user_id']}, session {kinds['session']}, kind string, outcome string"
+    undated = feed.filter("ts IS NULL").select("id", "user_id", "session", "kind", F.lit(UNDATED).alias("outcome"))
+    columns = ["id", "us", "session", "kind", "stale"]
+    return _stateful(feed.select("id", "user_id", "session", "ts", "kind", "stale"), "user_id", delay, OpenSessions(columns), schema, undated)
+
+
+class _Entries:
+    """A map state of JSON values as the mapping that ``machine_step`` changes."""
+
+    def __init__(self, state: Any) -> None:
+        self.state = state
+
+    def __contains__(self, key: Any) -> bool:
+        return self.state.containsKey((json.dumps(key),))
+
+    def get(self, key: Any) -> Any:
+        name = (json.dumps(key),)
+        return json.loads(self.state.getValue(name)[0]) if self.state.containsKey(name) else None
+
+    def __setitem__(self, key: Any, value: Any) -> None:
+        self.state.updateValue((json.dumps(key),), (json.dumps(value),))
+
+    def pop(self, key: Any) -> None:
+        self.state.removeKey((json.dumps(key),))
+
+    def items(self) -> list[tuple[Any, Any]]:
+        return [(json.loads(k[0]), json.loads(v[0])) for k, v in self.state.iterator()]
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+class Machine(Held):
+    """A user's sessions with digest and expiry, found by session and by digest; a timer forgets each some time after it has expired."""
+
+    def __init__(self, columns: list[str], lifetime: int, retained: int) -> None:
+        super().__init__(columns)
+        self.lifetime, self.retained = lifetime, retained
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.sessions = _Entries(handle.getMapState("sessions", "session string", "value string"))
+        self.digests = _Entries(handle.getMapState("digests", "digest string", "value string"))
+        self.ends = _Entries(handle.getMapState("ends", "at string", "value string"))
+
+    def fold(self, key: Any, rows: list[dict]) -> Iterator[Row]:
+        for row in rows:
+            session, outcome, closed, until = machine_step(self.sessions, self.digests, row, self.lifetime, self.retained)
+            if until is not None:
+                at = self._gone(until)
+                self.ends[at] = [*(self.ends.get(at) or ()), session]
+                self.handle.registerTimer(at)
+            yield Row(id=row["id"], user_id=key, session=session, kind=row["kind"], outcome=outcome, closed=closed)
+
+    def _gone(self, until: int) -> int:
+        return ((until + self.retained) // 1000 // self.slot_ms + 1) * self.slot_ms
+
+    def due(self, key: Any, at: int) -> None:
+        for session in self.ends.get(at) or ():
+            digest, until = self.sessions.get(session) or (None, 0)
+            if digest is not None and self._gone(until) <= at:  # else it has been closed or rotated meanwhile
+                self.sessions.pop(session)
+                self.digests.pop(digest)
+        self.ends.pop(at)
+
+
+def session_machine_stream(feed: DataFrame, lifetime_s: int = 30 * 86400, retained_s: int = 30 * 86400, delay: str = "1 minute") -> DataFrame:
+    """Outcomes of session events (id, user_id, session, ts, kind, digest, new_digest) as in ``session_machine``. State has an entry per session and
+    one per current digest; both go some time after the session has expired."""
+    kinds = dict(feed.dtypes)
+    schema = MACHINE_OUT.format(**kinds)
+    undated = feed.filter("ts IS NULL").select("id", "user_id", "session", "kind", F.lit(UNDATED).alias("outcome"), F.lit(0).cast("long").alias("closed"))
+    columns = ["id", "us", "session", "kind", "digest", "new_digest"]
+    processor = Machine(columns, lifetime_s * 1_000_000, retained_s * 1_000_000)
+    return _stateful(feed.select("id", "user_id", "session", "ts", "kind", "digest", "new_digest"), "user_id", delay, processor, schema, undated)

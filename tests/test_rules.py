@@ -208,6 +208,39 @@ def test_query_string(spark):
 
 def test_template_keeps_unknown_placeholders(spark):
     assert one(spark, None, lambda c: X.fill(F.lit("/{a}/{b}"), {"a": c})) == "//{b}"
+    both = lambda template: (lambda c: X.fill(F.lit(template), {"id": c, "owner": F.lit("x y/z")}))
+    assert one(spark, "{owner}", both("/a/{id}/{owner}")) == "/a/{owner}/x y/z"
+    assert one(spark, "1", both("{id}{id}")) == "11" and one(spark, "1", both("plain")) == "plain" and one(spark, "1", both("")) == ""
+    assert one(spark, "a b?{}%", lambda c: X.fill(F.lit("/{id}"), {"id": c}, encode=X.encode_uri)) == "/a%20b?%7B%7D%25"
+    assert one(spark, "/{id}/{no}", lambda c: X.fill(c, {"id": F.lit("7")})) == "/7/{no}"
+
+
+def test_uri_encoding_keeps_what_separates_parts(spark):
+    marks = ";,/?:@&=+$-_.!~*'()#"
+    assert one(spark, marks, X.encode_uri) == marks and one(spark, 'é "%2F<>', X.encode_uri) == "%C3%A9%20%22%252F%3C%3E"
+
+
+def test_query_string_of_nested_values(spark):
+    df = spark.createDataFrame([({"a b": [{"x": 1, "y": None}, {"x": 2, "y": ["p", None]}]},)], "v map<string,array<struct<x: int, y: array<string>>>>")
+    got = df.select(X.query_string({"k[": (F.col("v"), df.schema["v"].dataType)})).first()[0]
+    assert got == "?k%5B%5Ba%20b%5D%5Bx%5D=1&k%5B%5Ba%20b%5D%5Bx%5D=2&k%5B%5Ba%20b%5D%5By%5D=p"
+
+
+def test_edges_and_tokens_in_long_runs_are_linear(spark):
+    lines = ["a" + " " * 200_000 + "b", " \u2003\x85a\n b\t ", "", "   ", "eyJ" * 70_000]
+    began = time.perf_counter()
+    assert [g[0] for g in values(spark, [(line,) for line in lines], "c string", X.strip(F.col("c")))] == [line.strip() for line in lines]
+    assert one(spark, "eyJ" * 70_000 + ".eyJ", X.redact) == "eyJ" * 70_000 + ".eyJ"
+    assert time.perf_counter() - began < 5
+
+
+def test_tokens_are_found_where_the_plain_pattern_finds_them(spark):
+    random.seed(4)
+    part = lambda: "".join(random.choice(["eyJ", "eyJ" + "a" * 10, "eyJ" + "c" * 11 + ".", "." + "eyJ" + "d" * 10 + ".e", "b" * 6, ".", " ", "-", "é"]) for _ in range(12))
+    lines = [part() for _ in range(400)] + ["x.eyJaaaaaaaaaa.eyJbbbbbbbbbb.c", "eyJaeyJaaaaaaaaaa.eyJbbbbbbbbbb.c.eyJaaaaaaaaaa.eyJbbbbbbbbbb.c"]
+    got = [g[0] for g in values(spark, [(line,) for line in lines], "c string", X.redact(F.col("c")))]
+    plain = [re.sub(X.JWT, "[JWT_REDACTED]", line) for line in lines]
+    assert got == plain and sum("[JWT" in p for p in plain) > 20
 
 
 def test_patches_fold_in_order_and_stamp_real_changes(spark):
@@ -282,7 +315,12 @@ def test_batches_replace_their_replays(spark, tmp_path):
     df = spark.range(5)
     tables.write_batch(df.filter("id < 3"), str(tmp_path), "7")
     assert tables.write_batch(df, str(tmp_path), "7").count() == 5
-    assert spark.read.parquet(str(tmp_path)).count() == 5
+    tables.write_batch(spark.range(2), str(tmp_path), "8")
+    assert tables.read_batches(spark, str(tmp_path)).count() == 7
+    broken = df.withColumn("id", F.when(F.col("id") == 4, F.raise_error(F.lit("half-way"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="half-way"):
+        tables.write_batch(broken, str(tmp_path), "7")
+    assert sorted(r.id for r in tables.read_batches(spark, str(tmp_path)).collect()) == [0, 0, 1, 1, 2, 3, 4]  # as before
 
 
 def test_claims_that_cannot_be_read(spark):
