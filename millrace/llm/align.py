@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import cut, small
-from millrace.llm.token_output import _SPACE_RUN, WordEncoder
+from millrace.llm.token_output import _SPACE_RUN, WordEncoder, packed
 
 #: Characters of texts (or pieces of a longer text) that are tokenised and aligned together.
 PIECE_CHARS = 1 << 18
 #: Words and windows that a task remembers.
-MEMO_WORDS = 120_000
+MEMO_WORDS = 200_000
 MEMO_WINDOWS = 300_000
 #: Distinct id pairs of a task after which their counts are handed on.
 TASK_PAIRS = 1_000_000
@@ -63,28 +63,42 @@ class PieceEncoder:
 
     def find_inner(self, text: str) -> bytes:
         """Ids of text that follows a line end or, if it is a run of marks, a letter."""
-        return np.array(self.ids("\n" + text)[2:], dtype="<u2").tobytes()
+        return packed(self.ids("\n" + text)[2:])
 
     def find(self, word: str) -> bytes:
         """Ids of a word with the space before it."""
         if self.by_line and "\n" in word:
             first, *rest = word.split("\n")
-            line = np.array(self.line[1:], dtype="<u2").tobytes()
-            head = self.words[first] if first else np.array(self.line[:1], dtype="<u2").tobytes()
-            return line.join([head, *map(self.heads.__getitem__, rest)])
-        letters = word.rstrip(self.marks) if self.marks else word
-        if 0 < len(letters) < len(word) and letters[-1].isalpha():
+            head = self.words[first] if first else packed(self.line[:1])
+            return packed(self.line[1:]).join([head, *map(self.heads.__getitem__, rest)])
+        letters = self.letters(word)
+        if len(letters) < len(word):
             return self.words[letters] + self.heads[word[len(letters) :]]
-        return np.array(self.ids(word), dtype="<u2").tobytes()
+        return packed(self.ids(word))
+
+    def letters(self, word: str) -> str:
+        """The word without the marks at its end if a letter stands before them, else the word."""
+        letters = word.rstrip(self.marks) if self.marks else word
+        return letters if letters and letters[-1].isalpha() else word
+
+    def learn(self, words: set[str]) -> None:
+        """Remember what new words begin with, all in one call of the library."""
+        known, older, new = self.words, self.words.older, set()
+        for word in words:
+            if word not in known and word not in older:
+                first = self.letters(word.split("\n", 1)[0] if self.by_line else word)
+                if first and first not in known and first not in older:
+                    new.add(first)
+        known.update(zip(new, map(packed, self.model.encode(list(new), num_threads=1)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
-        found = []
-        for text in texts:
-            words = text.split(" ")
-            whole = not self.by_space or "" in words
-            found.append(np.array(self.ids(text), dtype="<u2").tobytes() if whole else b"".join(map(self.words.__getitem__, words)))
-        return found
+        split = [text.split(" ") for text in texts]
+        whole = [not self.by_space or "" in words for words in split]
+        self.learn(set().union(*(words for words, w in zip(split, whole, strict=True) if not w)))
+        return [
+            packed(self.ids(text)) if w else b"".join(map(self.words.__getitem__, words)) for text, words, w in zip(texts, split, whole, strict=True)
+        ]
 
 
 def byte_level_tokens(encoder: WordEncoder, size: int) -> list[bytes]:
@@ -130,15 +144,15 @@ class Windows:
 
     def numbers(self, keys: list[tuple[bytes, bytes]]) -> list[int]:
         """A number for each window; those not yet known are aligned together."""
-        found, known, fresh = list(map(self.known.get, keys)), self.known, []
-        if None in found:
-            for i, number in enumerate(found):
-                if number is None:
-                    number = known.get(keys[i])
-                    if number is None:
-                        number = known[keys[i]] = len(known)
-                        fresh.append(keys[i])
-                    found[i] = number
+        found, known, fresh, i = list(map(self.known.get, keys)), self.known, [], -1
+        for _ in range(found.count(None)):
+            i = found.index(None, i + 1)
+            number = known.get(keys[i])
+            if number is None:
+                number = known[keys[i]] = len(known)
+                fresh.append(keys[i])
+            found[i] = number
+        if fresh:
             self.align(fresh)
         return found
 
@@ -178,6 +192,7 @@ class Aligner:
         self.a_bytes = byte_level_tokens(self.a, self.a.tokenizer.get_vocab_size())
         self.a_size, self.b_size = (np.array([len(t) for t in tokens]) for tokens in (self.a_bytes, self.b.bytes))
         self.a_space, self.b_space = (np.array([t.startswith(b" ") for t in tokens]) for tokens in (self.a_bytes, self.b.bytes))
+        self.a_flat, self.b_flat = ((np.frombuffer(b"".join(t), np.uint8), np.cumsum(n) - n, n) for t, n in ((self.a_bytes, self.a_size), (self.b.bytes, self.b_size)))
         self.windows = Windows(self.a_size, self.b_size)
 
         self.a.heads, self.a.words = (Generations(m.find) for m in (self.a.heads, self.a.words))
@@ -185,6 +200,17 @@ class Aligner:
     def encode_a(self, text: str) -> bytes:
         return self.a.whole(" " + text) if _SPACE_RUN.search(" " + text) else self.a.by_words(["", *text.split(" ")])
 
+    @staticmethod
+    def same(coded: list[bytes], flat: tuple[np.ndarray, np.ndarray, np.ndarray], want: list[bytes]) -> list[bool]:
+        """For each text whether its tokens' bytes, one after another, are the wanted ones; ``flat`` has all tokens' bytes, starts and sizes."""
+        data, start, size = flat
+        ids = np.frombuffer(b"".join(coded), "<u2")
+        sizes = size[ids]
+        end = np.cumsum(sizes)
+        got = data[np.repeat(start[ids] - (end - sizes), sizes) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        edge = np.r_[0, end][np.r_[0, np.cumsum([len(c) // 2 for c in coded])]].tolist()
+        return [got[i:j] == w for i, j, w in zip(edge[:-1], edge[1:], want, strict=True)]
+
     def split(self, text: str) -> Iterator[str]:
         first = 0
         while len(text) - first > PIECE_CHARS and (m := _CUT.search(text, first + PIECE_CHARS)):
@@ -199,17 +225,16 @@ class Aligner:
         All texts are tokenised first. Both token sequences tile the same bytes, so a shared start of two tokens is a shared end of the
         tokens before; where both tokens there begin with a space, a window ends.
         """
-        both = zip(texts, map(self.encode_a, texts), self.b.encode(texts), strict=True)
-        kept, found = [], []
-        for text, a, b in both:
-            want = b" " + text.encode()
-            ids = np.frombuffer(a, "<u2").tolist(), np.frombuffer(b, "<u2").tolist()
-            same = b"".join(map(self.a_bytes.__getitem__, ids[0])) == want and b"".join(map(self.b.bytes.__getitem__, ids[1])) == want
-            kept.append((a, b) if same else None)
+        a, b, want = list(map(self.encode_a, texts)), self.b.encode(texts), [b" " + t.encode() for t in texts]
+        good = [x and y for x, y in zip(self.same(a, self.a_flat, want), self.same(b, self.b_flat, want), strict=True)]
+        kept, found = [(x, y) if ok else None for x, y, ok in zip(a, b, good, strict=True)], []
         a_all, b_all = b"".join(k[0] for k in kept if k), b"".join(k[1] for k in kept if k)
         a_ids, b_ids = np.frombuffer(a_all, "<u2"), np.frombuffer(b_all, "<u2")
         a_start, b_start = np.cumsum(self.a_size[a_ids]) - self.a_size[a_ids], np.cumsum(self.b_size[b_ids]) - self.b_size[b_ids]
-        shared = np.intersect1d(a_start[self.a_space[a_ids]], b_start[self.b_space[b_ids]], assume_unique=True)
+        begins = np.zeros(int(self.a_size[a_ids].sum()) + 1, dtype=bool)
+        begins[a_start[self.a_space[a_ids]]] = True
+        b_begins = b_start[self.b_space[b_ids]]
+        shared = b_begins[begins[b_begins]]
         # Offsets of the windows in the ids' bytes; each text begins with a space, so its start is among them.
         a_at, b_at = (np.r_[np.searchsorted(s, shared), len(s)] * 2 for s in (a_start, b_start))
         cuts = lambda ids, at: [ids[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]

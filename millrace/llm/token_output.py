@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +30,14 @@ _SPACE_RUN = re.compile(r"\s ")
 _MARKS = ".,;:!?%&#*|)-"
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 16-bit integers."""
+    short = array("H", ids)
+    if sys.byteorder == "big":
+        short.byteswap()
+    return short.tobytes()
+
+
 class Memo(dict):
     """Ids of words (little-endian 16-bit integers), found when first asked for."""
 
@@ -65,7 +75,7 @@ class WordEncoder:
         self.newline = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def find(self, word: str, before: str) -> bytes:
         """Ids of one word after ``before``, a space or nothing."""
@@ -83,7 +93,7 @@ class WordEncoder:
             piece = self.shown[32] + word if before else word
         else:
             piece = (before + word).encode().decode("latin-1").translate(self.shown)
-        return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u2").tobytes()
+        return packed([t.id for t in self.model.tokenize(piece)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit integers."""
