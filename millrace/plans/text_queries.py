@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from millrace.functions import text as X
 from millrace.functions import times, validation
 from millrace.functions.nested import map_strings
-from millrace.operators import claims
+from millrace.operators import claims, logs
 from millrace.plans import views as V
 from millrace.plans.base import query
 from millrace.sources import tables
@@ -300,8 +300,52 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 , claims AS (SELECT CASE event_type WHEN 'click' THEN 'access' WHEN 'view' THEN 'refresh' ELSE 'password_reset' END AS type,
-   CASE WHEN epoch(ts)::BIGINT + 60 <= epoch(TIMESTAMP '2024-01-10') THEN 'expired' ELSE 'valid' END AS state FROM (SELECT event_type, date_trunc('second', ts) AS ts FROM events))
+   CASE WHEN event_id % 4 = 0 AND epoch(ts)::BIGINT + 30 > epoch(TIMESTAMP '2024-01-10') THEN 'not_yet_valid'
+     WHEN epoch(ts)::BIGINT + 60 <= epoch(TIMESTAMP '2024-01-10') THEN 'expired' ELSE 'valid' END AS state FROM (SELECT event_id, event_type, date_trunc('second', ts) AS ts FROM events))
 SELECT type, state, count(*) AS n FROM claims GROUP BY type, state
 """)
 def claims_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.audit(V.tokens(spark, sf_dir), F.lit("2024-01-10").cast("timestamp"))
+
+
+_SECRET = "'mail u' || user_id || '@example.com'"
+
+
+@query(f"""
+SELECT event_id AS id, 'mail [EMAIL_REDACTED]' AS message, 'mail [EMAIL_REDACTED]' AS arg, {_SECRET} AS inner_arg, 'mail [EMAIL_REDACTED]' AS extra, {_SECRET} AS deep,
+  'Traceback: mail [EMAIL_REDACTED]' AS traceback FROM events
+""")
+def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole log records: of the arguments only the top level is redacted, of the extra fields four containers."""
+    secret = F.format_string("mail u%d@example.com", "user_id")
+    five = F.array(F.array(F.array(F.array(secret))))
+    records = V.table(spark, sf_dir, "events").select(
+        "event_id",
+        secret.alias("message"),
+        F.struct(secret.alias("a"), F.array(secret).alias("b")).alias("args"),
+        F.struct(F.create_map(F.lit("k@example.com"), secret).alias("m"), five.alias("five")).alias("extra"),
+        F.concat(F.lit("Traceback: "), secret).alias("traceback"),
+    )
+    done = logs.redact_records(records, extra="extra")
+    return done.select(
+        F.col("event_id").alias("id"), "message", F.col("args.a").alias("arg"), F.col("args.b")[0].alias("inner_arg"),
+        F.col("extra.m")["k@example.com"].alias("extra"), F.col("extra.five")[0][0][0][0].alias("deep"), "traceback",
+    )
+
+
+@query(f"""
+SELECT doc_id AS id, {redact_sql('text')} AS shallow, {redact_sql('text')} AS inner_text, text AS deep, '1.50' AS number, {redact_sql("'mail a@b.co {'")} AS plain FROM documents
+""")
+def redact_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON whose shape differs from row to row: every other one has a list where the others have an object."""
+    deep = F.array(F.array(F.array(F.array("text"))))
+    one = F.to_json(F.struct(F.col("text").alias("a"), F.struct(F.array(F.struct(F.col("text").alias("t"))).alias("l")).alias("b"), F.struct(deep.alias("d")).alias("c")))
+    other = F.to_json(F.struct(F.col("text").alias("a"), F.struct(F.array(F.struct(F.col("text").alias("t"), F.lit(True).alias("u"))).alias("l")).alias("b"), F.struct(deep.alias("d"), F.lit(None).cast("int").alias("e")).alias("c")))
+    shaped = F.when(F.col("doc_id") % 2 == 0, one).otherwise(other)
+    body = F.regexp_replace(shaped, r"\}$", r',"n": 1.50}')
+    rows = V.table(spark, sf_dir, "documents").select("doc_id", logs.redact_json(body).alias("j"), logs.redact_json(F.lit("mail a@b.co {")).alias("plain"))
+    part = lambda path: F.get_json_object("j", path)
+    number = F.regexp_extract("j", r'"n": ([0-9.]+)\}$', 1)
+    return rows.select(
+        F.col("doc_id").alias("id"), part("$.a").alias("shallow"), part("$.b.l[0].t").alias("inner_text"), part("$.c.d[0][0][0][0]").alias("deep"), number.alias("number"), "plain"
+    )

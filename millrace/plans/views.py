@@ -124,9 +124,10 @@ def access_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-part tokens whose middle part is base64url JSON claims."""
+    """Three-part tokens whose middle part is base64url JSON claims; every fourth is not valid before half a minute after its event."""
     kind = F.when(F.col("event_type") == "click", "access").when(F.col("event_type") == "view", "refresh").otherwise("password_reset")
-    claims = F.format_string('{"sub":"%d","exp":%d,"type":"%s"}', "user_id", F.unix_seconds("ts") + 60, kind)
+    begins = F.when(F.col("event_id") % 4 == 0, F.format_string('"nbf":%d,', F.unix_seconds("ts") + 30)).otherwise("")
+    claims = F.format_string('{"sub":"%d",%s"exp":%d,"type":"%s"}', "user_id", begins, F.unix_seconds("ts") + 60, kind)
     part = F.regexp_replace(F.translate(F.base64(claims.cast("binary")), "+/\r\n", "-_"), "=", "")
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", F.concat(F.lit("e30."), part, F.lit(".sig")).alias("token"))
 

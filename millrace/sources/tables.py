@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +24,35 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in naive})
 
 
-def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, upper: int, partitions: int = 8, **options: str) -> DataFrame:
-    """A database table, read in ``partitions`` ranges of a numeric key; keep these within the database's connections."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).option("partitionColumn", key)
-    return reader.option("lowerBound", lower).option("upperBound", upper).option("numPartitions", partitions).options(**options).load()
+#: Connections that a database gives one reader.
+POOL = 15
+
+
+def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, partitions: int = 8, pool: int = POOL, above: int | None = None, **options: str) -> DataFrame:
+    """A database table, read in ranges of a key (numbers) that hold about equally many rows each.
+
+    The ranges' edges are measured in the database, by looking up the keys at equal ranks, so keys need not be spread evenly; equal bounds
+    would give one connection most of a skewed table. There are at most ``pool`` ranges, each one connection. Rows with a null key are read with the first range.
+    With ``above`` only rows with a greater key are read (none with a null key), for a table that only grows: ``high_water`` gives the next one.
+    """
+    ask = lambda query: spark.read.format("jdbc").options(**options).option("url", url).option("query", query).load()
+    where = f"{key} IS NOT NULL" if above is None else f"{key} > {above}"
+    n = int(ask(f"SELECT COUNT(*) AS n FROM {table} WHERE {where}").first()[0])
+    ranges = max(1, min(partitions, pool, n))
+    ranks = sorted({n * i // ranges for i in range(1, ranges)})
+    at = lambda rank: ask(f"SELECT {key} FROM {table} WHERE {where} ORDER BY {key} OFFSET {rank} ROWS FETCH NEXT 1 ROWS ONLY").first()[0]
+    edges = sorted({at(rank) for rank in ranks})
+    first = f"({key} IS NULL OR {key} < {edges[0]})" if edges else "1 = 1"
+    first = first if above is None else " AND ".join([f"{key} > {above}", *([f"{key} < {edges[0]}"] if edges else [])])
+    middle = [f"{key} >= {a} AND {key} < {b}" for a, b in itertools.pairwise(edges)]
+    last = [f"{key} >= {edges[-1]}"] if edges else []
+    return spark.read.jdbc(url, table, predicates=[first, *middle, *last], properties=options)
+
+
+def high_water(spark: SparkSession, url: str, table: str, key: str, **options: str) -> int | None:
+    """The largest key there is now; what is read above it later has come since."""
+    query = f"SELECT MAX({key}) AS m FROM {table}"
+    return spark.read.format("jdbc").options(**options).option("url", url).option("query", query).load().first()[0]
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

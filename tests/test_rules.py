@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 import random
 import re
 import time
@@ -16,7 +17,7 @@ from millrace.functions import times, validation
 from millrace.functions.nested import map_strings
 from millrace.operators import accounts as A
 from millrace.operators import changes as M
-from millrace.operators import claims
+from millrace.operators import claims, logs
 from millrace.operators import sessions as S
 from millrace.plans import text_queries
 from millrace.plans import views as V
@@ -104,29 +105,78 @@ def test_shared_folder_must_be_named_on_a_cluster(spark):
         spark.read.parquet(path)
 
 
-def test_jdbc_scan_names_its_partitions():
-    class Reader:
-        def __init__(self):
-            self.set = {}
-
-        read = property(lambda self: self)
-
-        def format(self, name):
-            return self.option("format", name)
-
-        def option(self, key, value):
-            self.set[key] = value
-            return self
-
-        def options(self, **more):
-            self.set |= more
-            return self
-
-        def load(self):
-            return self.set
-
-    got = tables.scan_jdbc(Reader(), "jdbc:x", "users", "id", 0, 99, 4, fetchsize="10")
-    assert got == {"format": "jdbc", "url": "jdbc:x", "dbtable": "users", "partitionColumn": "id", "lowerBound": 0, "upperBound": 99, "numPartitions": 4, "fetchsize": "10"}
+DERBY = {"url": "jdbc:derby:memory:scan", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+@pytest.fixture
+def database(spark):
+    """A database in the session's own process, whose keys are far from evenly spread."""
+    manager = spark._jvm.java.sql.DriverManager
+    spark._jvm.java.lang.Class.forName(DERBY["driver"])
+    connection = manager.getConnection(DERBY["url"] + ";create=true")
+    statement = connection.createStatement()
+    statement.execute("CREATE TABLE users (id BIGINT, name VARCHAR(20))")
+    keys = [*range(100), 5, 5, *(10**9 + 1000 * i for i in range(20))]
+    for k in keys:
+        statement.execute(f"INSERT INTO users VALUES ({k}, 'n{k}')")
+    statement.execute("INSERT INTO users VALUES (NULL, 'nobody'), (NULL, 'nobody')")
+    yield statement, [*keys, None, None]
+    statement.execute("DROP TABLE users")
+    connection.close()
+
+
+def test_jdbc_scan_reads_rows_once_in_even_ranges(spark, database):
+    statement, keys = database
+    place = {"driver": DERBY["driver"]}
+    rows = tables.scan_jdbc(spark, DERBY["url"], "users", "id", 6, **place)
+    assert rows.rdd.getNumPartitions() == 6 and sorted((r.ID for r in rows.collect()), key=str) == sorted(keys, key=str)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 1.5 * len(keys) / 6 and len(sizes) == 6
+    assert tables.scan_jdbc(spark, DERBY["url"], "users", "id", 50, pool=3, **place).rdd.getNumPartitions() == 3
+    mark = tables.high_water(spark, DERBY["url"], "users", "id", **place)
+    assert tables.scan_jdbc(spark, DERBY["url"], "users", "id", above=mark, **place).count() == 0
+    statement.execute(f"INSERT INTO users VALUES ({mark + 1}, 'new'), ({mark + 9}, 'newer')")
+    assert sorted(r.NAME for r in tables.scan_jdbc(spark, DERBY["url"], "users", "id", above=mark, **place).collect()) == ["new", "newer"]
+    assert tables.scan_jdbc(spark, DERBY["url"], "users", "id", above=90, **place).count() == 9 + 20 + 2
+    statement.execute("DELETE FROM users")
+    assert tables.scan_jdbc(spark, DERBY["url"], "users", "id", **place).count() == 0
+
+
+JSON = [
+    '{"a@b.co": "a@b.co", "n": 1.50, "e": 1e5, "x": null, "t": [true, "a@b.co"]}',
+    '[[[["a@b.co", ["a@b.co"], {"k": "a@b.co"}]]]]',
+    '"a@b.co"',
+    '{"q": "say \\"a@b.co\\" : {", "u": "\\u00e9 a@b.co", "same": "\\u00e9"}',
+    "5",
+    "{}",
+]
+
+
+def walked(value, depth=0):
+    """The rule for values of any shape."""
+    if isinstance(value, str):
+        return re.sub(X.EMAIL, "[EMAIL_REDACTED]", value)
+    if depth >= 4:
+        return value
+    if isinstance(value, dict):
+        return {k: walked(v, depth + 1) for k, v in value.items()}
+    return [walked(v, depth + 1) for v in value] if isinstance(value, list) else value
+
+
+def test_json_of_any_shape_is_redacted_by_value(spark):
+    got = [g[0] for g in values(spark, [(j,) for j in [*JSON, None, "no json a@b.co"]], "c string", logs.redact_json(F.col("c")))]
+    assert [json.loads(g) for g in got[: len(JSON)]] == [walked(json.loads(j)) for j in JSON]
+    assert got[-2:] == [None, "no json [EMAIL_REDACTED]"] and '"n": 1.50, "e": 1e5' in got[0] and '"same": "\\u00e9"' in got[3]
+
+
+def test_claims_that_are_not_valid_yet(spark):
+    import base64
+
+    token = lambda claims: "h." + base64.urlsafe_b64encode(json.dumps(claims).encode()).decode().rstrip("=") + ".s"
+    now = int(AT.replace(tzinfo=datetime.UTC).timestamp())
+    rows = [token({"type": "access", "exp": now + 9, "nbf": now + 5}), token({"type": "access", "exp": now, "nbf": now}), token({"type": "access", "exp": now + 1})]
+    got = claims.audit(spark.createDataFrame([(r,) for r in rows], "token string"), F.lit(AT)).collect()
+    assert {r.state: r.n for r in got} == {"not_yet_valid": 1, "expired": 1, "valid": 1}
 
 
 def test_nested_redaction_walks_four_containers(spark):

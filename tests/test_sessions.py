@@ -61,7 +61,7 @@ def test_chains_equal_the_plain_fold(spark, seed):
     frames = spark.createDataFrame(attempts, ATTEMPT), spark.createDataFrame(sessions, SESSION), spark.createDataFrame(list(accounts.items()), "id long, is_active boolean")
     got = S.refresh_chains(*frames).collect()
     want = plain_chains(attempts, sessions, accounts)
-    assert len(got) == len(attempts) and {r.attempt: r.outcome for r in got} == want and list(want.values()).count("ok") > 15
+    assert len(got) == len(attempts) and {r.attempt: r.outcome for r in got} == want and list(want.values()).count("ok") > 8
     for chain in {r.session_id for r in got if r.outcome == "ok"}:
         places = sorted(r.position for r in got if r.outcome == "ok" and r.session_id == chain)
         assert places == list(range(1, len(places) + 1))
