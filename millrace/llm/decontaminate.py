@@ -147,9 +147,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **o
     """
     found = find_phrases(docs, items, id_col, **options)
     doc = ["key", "text_hash"]
-    positions = F.flatten(F.collect_list(F.sequence("first", "last")))
-    hits = found["exact"].groupBy(*doc).agg(
-        F.size(F.array_distinct(positions)).cast("long").alias("n_hit"),
+    # Runs by their start: each adds what lies beyond the farthest end so far.
+    before = Window.partitionBy(*doc).orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.greatest(F.col("first") - 1, F.coalesce(F.max("last").over(before), F.lit(-1)))
+    fresh = found["exact"].withColumn("fresh", F.greatest(F.col("last") - covered, F.lit(0)))
+    hits = fresh.groupBy(*doc).agg(
+        F.sum("fresh").cast("long").alias("n_hit"),
         F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"),
     )
     near = found["near"].groupBy(*doc).agg(F.count("*").alias("n_near"))
