@@ -1,14 +1,16 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
 All blocks of a segment are coded side by side: step t codes token t of every block with arrays over the blocks. Blocks
-share no state that changes, so each can be decoded by itself, given the segment's head.
+share no state that changes, so each can be decoded by itself, given the segment's head; a segment has two copies of it, and damage to
+a block, or to one copy, leaves all other blocks readable (``decode_blocks``).
 
-* Order 0: how often each id occurs in the segment. The head holds these frequencies; they are every block's first state.
+* Order 0: how often each id occurs in the segment. The head holds these frequencies; they are every block's first state, and each id
+  that a block codes by them becomes more frequent in that block.
 * Order 1: after each id an id that is expected, and how sure that is. It starts from the head, too, and adapts.
 * Order 2: the same after each pair of ids; it starts empty.
 
 A token is coded as one of three outcomes, "what order 2 expects", "what order 1 expects", or neither, and then, if neither, by
-order 0. The probability of the first two is mixed from what all three orders say: each has an adaptive probability in its
+order 0 as the block has it by then. The probability of the first two is mixed from what all three orders say: each has an adaptive probability in its
 own context (how sure the prediction is, or how frequent the expected id is at all), these are added up as log-odds
 under weights that a block learns as it goes on, and the sum is turned back into a probability. All of it is integer arithmetic,
 so any two machines agree.
@@ -22,10 +24,10 @@ from decimal import Decimal
 
 import numpy as np
 
-MAGIC = b"MRC2"
+MAGIC = b"MRC3"
 #: Tokens in a block, which is coded with a fresh model.
 BLOCK_TOKENS = 4096
-HEADER = "<4sIIIII"  # magic, block length, blocks, tokens, bytes of the head, checksum of the head
+HEADER = "<4sIIII"  # magic, block length, blocks, tokens, bytes of the head; the end of a segment is the length of its last copy
 
 FIRST_SLOTS, SECOND_SLOTS = 1 << 12, 1 << 12  # predictions kept per block
 SURE = 8  # levels of confidence
@@ -34,9 +36,12 @@ WORD = 16
 TOP = 1 << (STATE - WORD)
 LEAST = 1 << 40  # the interval is kept at least this long
 FLAG_BITS, ID_BITS = 15, 18
+BOOST = 256  # by how much (of 1 << ID_BITS) an id becomes more frequent in a block that codes it
+MOST = 255  # times that one id does
+FAN = 48  # children of an inner node of the tree of frequencies
 PAIRS = 1 << 18  # pairs from which the head's expected successors are taken
 U = np.uint64
-FLAG_SHIFT, ID_SHIFT, WORD_SHIFT = U(FLAG_BITS), U(ID_BITS), U(WORD)
+FLAG_SHIFT, WORD_SHIFT = U(FLAG_BITS), U(WORD)
 _TOP, _LEAST, _MASK = U(TOP), U(LEAST), U((1 << STATE) - 1)
 
 #: Log-odds (256 to the unit, from -2047 to 2047) to a probability of 4096, and back.
@@ -51,11 +56,18 @@ class Prior:
         self.ids, self.successor = ids.astype(np.int64), successor.astype(np.int64)
         self.frequency = np.zeros(1 << 16, dtype=np.int64)
         self.frequency[self.ids] = frequency
-        self.start = (np.cumsum(self.frequency) - self.frequency).astype(np.uint64)
-        self.inverse = np.repeat(np.arange(1 << 16, dtype=np.uint16), self.frequency)
+        self.place = np.zeros(1 << 16, dtype=np.int64)
+        self.place[self.ids] = np.arange(len(self.ids))
+        # Ids stand in a tree of three levels: ``FAN`` nodes, as many in each, and leaves; each level has the sums of the siblings before.
+        self.fan = fan = max(1, -(-len(self.ids) // FAN**2))
+        self.leaves = np.zeros(FAN * FAN * fan, dtype=np.int32)
+        self.leaves[: len(self.ids)] = self.frequency[self.ids]
+        before = lambda sums: (np.cumsum(sums, axis=-1) - sums).astype(np.int32)
+        self.before_1 = before(self.leaves.reshape(FAN, -1).sum(axis=1))
+        self.before_2 = before(self.leaves.reshape(FAN, FAN, fan).sum(axis=2))
+        self.before_3 = before(self.leaves.reshape(FAN * FAN, fan))
         rank = np.frexp(np.maximum(self.frequency, 1).astype(float))[1] - 1  # exact: the position of the highest bit
         self.rank = np.minimum(rank, 15).astype(np.int64)
-        self.frequency = self.frequency.astype(np.uint64)
 
     @classmethod
     def of(cls, tokens: np.ndarray) -> Prior:
@@ -83,11 +95,79 @@ class Prior:
         return cls(np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<u4", n, 2 * n), np.frombuffer(raw, "<u2", n, 6 * n))
 
 
+def _rows(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    return np.take(table, rows, axis=0, mode="clip")
+
+
+class Frequencies:
+    """How frequent each id is in each block: what the head says, and ``BOOST`` for each time that the block has coded it.
+
+    The two upper levels of the head's tree hold, for every block, the frequencies of the siblings before each node; leaves hold how often
+    they were counted. So an id's interval, finding the id of a value, and counting one each touch one node of each level.
+    """
+
+    def __init__(self, blocks: int, prior: Prior) -> None:
+        self.prior, self.fan = prior, prior.fan
+        self.before_1 = np.tile(prior.before_1, (blocks, 1))
+        self.before_2 = np.tile(prior.before_2, (blocks, 1))
+        self.count_3 = np.zeros((blocks * FAN * FAN, self.fan), dtype=np.uint8)
+        self.totals = np.full(blocks, 1 << ID_BITS, dtype=np.uint64)
+        self.later = (BOOST * (np.arange(FAN) > np.arange(FAN)[:, None])).astype(np.int32)
+        self.leaf_before = np.arange(self.fan) < np.arange(self.fan)[:, None]
+
+    def interval(self, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of each row's id; ``count`` may follow for the same rows."""
+        node, c = np.divmod(self.prior.place[ids], self.fan)
+        a, b = np.divmod(node, FAN)
+        first, second = rows * FAN + a, rows * (FAN * FAN) + node
+        leaf = _rows(self.count_3, second)
+        leaf *= _rows(self.leaf_before, c)
+        start = self.before_1.ravel()[rows * FAN + a] + self.before_2.ravel()[first * FAN + b] + self.prior.before_3.ravel()[node * self.fan + c]
+        start += BOOST * leaf.sum(axis=1, dtype=np.int32)
+        return self._at(rows, first, second, node, a, b, c, start)
+
+    def _at(self, rows, first, second, node, a, b, c, start) -> tuple[np.ndarray, np.ndarray]:
+        counted = self.count_3.ravel()[second * self.fan + c].astype(np.int32)
+        self.at = (rows, first, second, a, b, c, counted < MOST)
+        size = self.prior.leaves[node * self.fan + c] + BOOST * counted
+        return start.astype(np.uint64), size.astype(np.uint64)
+
+    def find(self, rows: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The id in whose interval each row's value lies, with start and size; ``count`` may follow for the same rows."""
+        prior, one, value = self.prior, np.arange(len(rows)), value.astype(np.int32)
+        upto = _rows(self.before_1, rows)
+        a = np.count_nonzero(upto <= value[:, None], axis=1) - 1
+        start, first = upto[one, a], rows * FAN + a
+        upto = _rows(self.before_2, first)
+        b = np.count_nonzero(upto <= (value - start)[:, None], axis=1) - 1
+        node = a * FAN + b
+        start, second = start + upto[one, b], rows * (FAN * FAN) + node
+        leaf = _rows(self.count_3, second)
+        upto = np.cumsum(leaf, axis=1, dtype=np.int32)
+        upto -= leaf
+        upto *= BOOST
+        upto += _rows(prior.before_3, node)
+        c = np.count_nonzero(upto <= (value - start)[:, None], axis=1) - 1
+        return prior.ids[node * self.fan + c], *self._at(rows, first, second, node, a, b, c, start + upto[one, c])
+
+    def count(self) -> None:
+        """Count the ids last asked for."""
+        rows, first, second, a, b, c, free = self.at
+        if not free.all():
+            rows, first, second, a, b, c = (x[free] for x in self.at[:-1])
+        child = np.full(len(self.before_1), FAN - 1)  # of the other blocks the last one, which has none after it
+        child[rows] = a
+        self.before_1 += _rows(self.later, child)
+        self.before_2[first] = _rows(self.before_2, first) + _rows(self.later, b)
+        self.count_3.ravel()[second * self.fan + c] += 1
+        self.totals[rows] += U(BOOST)
+
+
 class Model:
     """State of all blocks' models, advanced by one token at a time."""
 
     def __init__(self, blocks: int, prior: Prior) -> None:
-        self.n, self.prior = blocks, prior
+        self.n, self.prior, self.zero = blocks, prior, Frequencies(blocks, prior)
         self.rows = rows = np.arange(blocks, dtype=np.int64)
         every = np.arange(1 << 16, dtype=np.int64)
         self.slot, self.slot_before = (every * 40503 >> 4) & (FIRST_SLOTS - 1), every * 27767 >> 3
@@ -220,9 +300,11 @@ def encode(ids: np.ndarray, block_tokens: int = BLOCK_TOKENS) -> bytes:
         low += length * start
         length *= size
         miss = np.flatnonzero(outcome == 2)
-        missed, part = token[miss], length[miss] >> ID_SHIFT
-        low[miss] += part * prior.start[missed]
-        length[miss] = part * prior.frequency[missed]
+        part = length[miss] // model.zero.totals[miss]
+        start, size = model.zero.interval(miss, token[miss])
+        low[miss] += part * start
+        length[miss] = part * size
+        model.zero.count()
         _shift_out(low, length, emit)
         model.update(token, outcome)
         if blocks and t == tail - 1:  # the last block ends here; what follows it is padding
@@ -233,8 +315,9 @@ def encode(ids: np.ndarray, block_tokens: int = BLOCK_TOKENS) -> bytes:
         flush = [(at << 2 >> s) & 0xFFFF for s in (48, 32, 16, 0)]
         pieces.append(out[i, :words].astype("<u2").tobytes() + struct.pack("<4H", *flush))
     sizes = np.array([len(p) for p in pieces], dtype="<u4").tobytes()
-    fixed = struct.pack(HEADER, MAGIC, block_tokens, blocks, len(ids), len(head), zlib.crc32(head))
-    return fixed + head + sizes + np.array(crcs, dtype="<u4").tobytes() + b"".join(pieces)
+    guide = struct.pack(HEADER, MAGIC, block_tokens, blocks, len(ids), len(head)) + head + sizes + np.array(crcs, dtype="<u4").tobytes()
+    guide += struct.pack("<I", zlib.crc32(guide))
+    return guide + b"".join(pieces) + guide + struct.pack("<I", len(guide))
 
 
 def checksums(ids: np.ndarray, block_tokens: int) -> list[int]:
@@ -242,25 +325,47 @@ def checksums(ids: np.ndarray, block_tokens: int) -> list[int]:
     return [zlib.crc32(ids[first : first + block_tokens].astype("<u4").tobytes()) for first in range(0, len(ids), block_tokens)]
 
 
+def _guide(segment: bytes, at: int) -> tuple[int, ...] | None:
+    """What the copy of the guide at this place says, if it is whole: the header's numbers and its own length."""
+    fixed = struct.calcsize(HEADER)
+    if at < 0 or len(segment) < at + fixed or segment[at : at + 4] != MAGIC:
+        return None
+    _, block_tokens, blocks, total, head = struct.unpack_from(HEADER, segment, at)
+    length = fixed + head + 8 * blocks
+    whole = segment[at : at + length]
+    if segment[at + length : at + length + 4] != struct.pack("<I", zlib.crc32(whole)):
+        return None
+    return block_tokens, blocks, total, head, length + 4
+
+
 def decode(segment: bytes) -> np.ndarray:
-    """The ids of a segment; raises ``ValueError`` if its head or a block does not match its checksum."""
+    """The ids of a segment; raises ``ValueError`` if a block does not match its checksum or no copy of the head does."""
+    found = decode_blocks(segment)
+    bad = [i for i, ids in enumerate(found) if ids is None]
+    if bad:
+        raise ValueError(f"blocks {bad} do not match their checksums")
+    return np.concatenate([np.zeros(0, dtype=np.uint16), *found])
+
+
+def decode_blocks(segment: bytes) -> list[np.ndarray | None]:
+    """The ids of each block of a segment, None for blocks that do not match their checksum.
+
+    The first copy of the head is used, or the last one if that is damaged; raises ``ValueError`` if both are.
+    """
+    last = len(segment) - 4 - (struct.unpack("<I", segment[-4:])[0] if len(segment) >= 4 else 0)
+    at = next((place for place in (0, last) if _guide(segment, place)), None)
+    if at is None:
+        raise ValueError("not a token segment, or both copies of its head are damaged")
+    block_tokens, blocks, total, head, length = _guide(segment, at)
     fixed = struct.calcsize(HEADER)
-    if len(segment) < fixed or segment[:4] != MAGIC:
-        raise ValueError("not a token segment")
-    _, block_tokens, blocks, total, head_size, head_crc = struct.unpack_from(HEADER, segment)
-    head = segment[fixed : fixed + head_size]
-    if zlib.crc32(head) != head_crc:
-        raise ValueError("the head does not match its checksum")
-    at = fixed + head_size
-    if len(segment) < at + 8 * blocks or (len(segment) - at) % 2:
+    prior = Prior.unpack(segment[at + fixed : at + fixed + head])
+    sizes = np.frombuffer(segment, dtype="<u4", count=blocks, offset=at + fixed + head).astype(np.int64)
+    crcs = np.frombuffer(segment, dtype="<u4", count=blocks, offset=at + fixed + head + 4 * blocks)
+    raw = segment[length : length + int(sizes.sum())]
+    if len(segment) != 2 * length + 4 + int(sizes.sum()):
         raise ValueError("a token segment is cut short")
-    prior = Prior.unpack(head)
-    sizes = np.frombuffer(segment, dtype="<u4", count=blocks, offset=at).astype(np.int64)
-    crcs = np.frombuffer(segment, dtype="<u4", count=blocks, offset=at + 4 * blocks)
-    body = np.frombuffer(segment, dtype="<u2", offset=at + 8 * blocks).astype(np.uint64)
+    body = np.frombuffer(raw, dtype="<u2").astype(np.uint64)
     ends = np.cumsum(sizes // 2)
-    if blocks and (ends[-1] != len(body) or (sizes % 2).any()):
-        raise ValueError("a token segment is cut short")
     body = np.r_[body, np.zeros(8, dtype=np.uint64)]
     cursor, limit = ends - sizes // 2, len(body) - 1
     model = Model(blocks, prior)
@@ -281,8 +386,9 @@ def decode(segment: bytes) -> np.ndarray:
         cursor[rows] += 1
 
     out = np.zeros((block_tokens, blocks), dtype=np.uint16)
-    tail = total - (blocks - 1) * block_tokens if blocks else 0
-    flag_limit, id_limit = U((1 << FLAG_BITS) - 1), U((1 << ID_BITS) - 1)
+    n = total
+    tail = n - (blocks - 1) * block_tokens if blocks else 0
+    flag_limit = U((1 << FLAG_BITS) - 1)
     for t in range(block_tokens if blocks > 1 else tail):
         model.predict()
         length >>= FLAG_SHIFT
@@ -294,17 +400,17 @@ def decode(segment: bytes) -> np.ndarray:
         length *= size
         token = np.where(outcome == 0, model.id_second, model.id_first)
         miss = np.flatnonzero(outcome == 2)
-        part = length[miss] >> ID_SHIFT
-        missed = prior.inverse[np.minimum((code[miss] - low[miss]) // part, id_limit).astype(np.int64)].astype(np.int64)
+        total = model.zero.totals[miss]
+        part = length[miss] // total
+        missed, begin, many = model.zero.find(miss, np.minimum((code[miss] - low[miss]) // part, total - U(1)))
         token[miss] = missed
-        low[miss] += part * prior.start[missed]
-        length[miss] = part * prior.frequency[missed]
+        low[miss] += part * begin
+        length[miss] = part * many
+        model.zero.count()
         out[t] = token
         _shift_out(low, length, emit)
         model.update(token, outcome)
     del model
-    ids = np.ascontiguousarray(out.T).reshape(-1)[:total]
-    bad = [i for i, crc in enumerate(checksums(ids, block_tokens)) if crc != crcs[i]]
-    if bad:
-        raise ValueError(f"blocks {bad} do not match their checksums")
-    return ids
+    ids = np.ascontiguousarray(out.T).reshape(-1)[:n]
+    good = [crc == crcs[i] for i, crc in enumerate(checksums(ids, block_tokens))]
+    return [ids[i * block_tokens : (i + 1) * block_tokens] if ok else None for i, ok in enumerate(good)]

@@ -507,7 +507,7 @@ def test_range_coder_compresses_and_notices_damage():
     coded = range_coder.encode(ids)
     assert len(coded) < len(ids) * 2 / 4
     damaged = bytearray(coded)
-    damaged[len(coded) // 2] ^= 1
+    damaged[int.from_bytes(coded[-4:], "little") + 9] ^= 1  # in the first block; two copies of the head stand around the blocks
     with pytest.raises(ValueError):
         range_coder.decode(bytes(damaged))
     with pytest.raises(ValueError):
@@ -526,6 +526,37 @@ def test_blocks_are_independent():
             range_coder.decode(bytes(broken))
 
 
+def test_intact_blocks_are_read_whatever_else_is_damaged():
+    ids = np.random.default_rng(8).integers(0, 300, 5500).astype(np.uint16)
+    whole = range_coder.encode(ids, 1000)
+    guide = int.from_bytes(whole[-4:], "little")
+    want = [ids[i : i + 1000] for i in range(0, 5500, 1000)]
+    rng = np.random.default_rng(9)
+    for at in rng.integers(guide, len(whole) - guide - 4, 12).tolist():  # in a block
+        broken = bytearray(whole)
+        broken[at] ^= 64
+        got = range_coder.decode_blocks(bytes(broken))
+        assert sum(g is None for g in got) == 1 and all(g is None or (g == w).all() for g, w in zip(got, want, strict=True))
+    for at in [0, 5, 9, 20, guide - 1, *rng.integers(0, guide, 12).tolist()]:  # in the first copy of the head
+        broken = bytearray(whole)
+        broken[at] ^= 64
+        assert (range_coder.decode(bytes(broken)) == ids).all()
+        broken[len(whole) - 4 - guide + at] ^= 1  # and in the last one, too
+        with pytest.raises(ValueError, match="both copies"):
+            range_coder.decode(bytes(broken))
+
+
+def test_frequencies_adapt_within_a_block():
+    rng = np.random.default_rng(3)
+    topics = [rng.choice(60_000, 300, replace=False) for _ in range(8)]  # each block has ids of its own
+    ids = np.concatenate([rng.choice(t, 4096) for t in topics]).astype(np.uint16)
+    coded = range_coder.encode(ids)
+    fixed = len(ids) * np.log2(2400) / 8  # what frequencies of the whole segment cost
+    assert (range_coder.decode(coded) == ids).all() and len(coded) - 2 * len(range_coder.Prior.of(ids).pack()) < 0.92 * fixed
+    again = np.tile(np.uint16(7), 20_000)  # one id more often than a count holds
+    assert (range_coder.decode(range_coder.encode(again)) == again).all()
+
+
 def test_coded_documents_are_smaller_than_their_order_0_entropy():
     texts = [r[0] or "" for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id LIMIT 400").fetchall()]
     ids = np.frombuffer(b"".join(x + b"\2\0" for x in token_output.WordEncoder(BPE).encode(texts)), dtype="<u2")
@@ -534,6 +565,7 @@ def test_coded_documents_are_smaller_than_their_order_0_entropy():
     coded = range_coder.encode(ids)
     assert (range_coder.decode(coded) == ids).all()
     assert len(coded) < 0.97 * entropy and len(coded) < 0.9 * len(zlib.compress(ids.tobytes(), 9))
+    assert len(coded) * 8 / len(ids) < 7.97  # both copies of the head included
 
 
 def tokenizer():
