@@ -507,7 +507,7 @@ def test_range_coder_compresses_and_notices_damage():
     coded = range_coder.encode(ids)
     assert len(coded) < len(ids) * 2 / 4
     damaged = bytearray(coded)
-    damaged[int.from_bytes(coded[-4:], "little") + 9] ^= 1  # in the first block; two copies of the head stand around the blocks
+    damaged[int.from_bytes(coded[-4:], "little")] ^= 1  # the first block; two copies of the head stand around the blocks
     with pytest.raises(ValueError):
         range_coder.decode(bytes(damaged))
     with pytest.raises(ValueError):
