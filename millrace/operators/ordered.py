@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,22 +16,21 @@ def last_before(rows: DataFrame, keys: list[str], order: list[str], found: dict[
     ascending order of the columns ``order`` (nulls first; rows that tie in all of them are taken in any order).
 
     Rows are dealt out by ranges of (keys, order), so a key with very many rows lies in many ranges and no task gets more than a range of it. Inside a range
-    a window looks back; what a key's earlier ranges end with is carried over from one row per range and key that begins or ends there, which
-    is at most two rows a range. Null keys are a key.
+    a window looks back; what a key's earlier ranges end with is carried over. Only keys that go on from one range to the next carry anything, so there is at
+    most one such row per range, which is broadcast. Null keys are a key.
     """
     ranged = rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
     ranged = keep(ranged, "ranges")
     inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     looked = ranged.withColumns({f"_{name}": F.last(value, ignorenulls=True).over(inside) for value, name in found.items()})
 
+    # What each range ends with for each key, and from that what a key's later ranges begin with: a row per range at most.
     position = F.struct(*order)
-    ends = ranged.groupBy(*keys, "_range").agg(*[F.max_by(value, F.when(F.col(value).isNotNull(), position)).alias(name) for value, name in found.items()])
-    ends = keep(ends, "ends")
-    split = ends.groupBy(*keys).agg(F.count("*").alias("_ranges")).filter("_ranges > 1").drop("_ranges")
-    same = lambda a, b: [a[k].eqNullSafe(b[k]) for k in keys]
-    crossing = ends.join(F.broadcast(split), same(ends, split), "left_semi")  # one row per range at most
+    last = [F.max_by(value, F.when(F.col(value).isNotNull(), position)).alias(name) for value, name in found.items()]
+    ends = ranged.groupBy(*keys, "_range").agg(*last)
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = crossing.select(F.struct(*keys).alias("_key"), F.col("_range").alias("_to"), *[F.last(name, ignorenulls=True).over(earlier).alias(f"_carried_{name}") for name in found.values()])
+    carried = ends.select(F.struct(*keys).alias("_key"), F.col("_range").alias("_to"), *[F.last(name, ignorenulls=True).over(earlier).alias(f"_carried_{name}") for name in found.values()])
+    carried = carried.filter(reduce(or_, [F.col(f"_carried_{name}").isNotNull() for name in found.values()]))
     on = (looked["_range"] == carried["_to"]) & F.struct(*[looked[k] for k in keys]).eqNullSafe(carried["_key"])
-    joined = looked.join(F.broadcast(carried), on, "left")  # at most two rows per range
+    joined = looked.join(F.broadcast(carried), on, "left")
     return joined.select(*rows.columns, *[F.coalesce(f"_{name}", f"_carried_{name}").alias(name) for name in found.values()])

@@ -172,6 +172,28 @@ def test_rows_later_than_the_watermark_are_dropped_and_windows_are_forgotten(spa
     assert {r.id: r.allowed for r in got.collect()} == {1: True, 2: False, 3: True, 5: False, 6: True, 7: True}  # 4 came after its time had passed
 
 
+def test_state_holds_what_the_watermark_has_not_passed_and_nothing_else(spark, tmp_path):
+    second = lambda s: AT + datetime.timedelta(seconds=s)
+    schema = "id long, client string, ts timestamp"
+    for n, piece in enumerate([[(1, "a", second(0)), (2, "a", second(1))], [(3, "b", second(600))], [(4, "c", second(610))]]):
+        spark.createDataFrame(piece, schema).coalesce(1).write.parquet(str(tmp_path / f"in/p{n}"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    writer = streams.rate_limited(feed, 1, 60, "1 minute").writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    keys = lambda name: {r.key.client for r in spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "state")).collect()}
+    assert keys("slots") == {"b", "c"} and keys("window") == set()  # a's rows have been decided, and its window is over
+    assert {r.id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: True, 2: False}
+
+
+def test_no_window_takes_a_whole_key(spark):
+    events = spark.createDataFrame([(1, 1, 1, AT, "login", False)], "id long, user_id long, session long, ts timestamp, kind string, stale boolean")
+    plan = S.session_fold(events)._jdf.queryExecution().executedPlan().toString()
+    windows = [line for line in plan.splitlines() if " Window [" in line and "windowspecdefinition" in line]
+    whole = [w for w in windows if "_range" not in w.split("windowspecdefinition(")[1].split(" ASC")[0]]
+    assert len(windows) > len(whole) and all("_carried_" in w for w in whole)  # over a key alone only what its ranges end with
+
+
 def plain_limit(rows, limit, window):
     state, out = {}, {}
     for us, client, i in sorted(rows, key=lambda r: (r[0], r[2])):
