@@ -170,7 +170,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **o
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents in which no item occurs, with all their columns."""
+    """The documents in which no item occurs, with all their columns.
+
+    The names of contaminated documents are broadcast while they are few (``small``), else all texts are shuffled once to meet them.
+    """
     found = find_phrases(docs, items, id_col, text_col, **options)["exact"]
     text = F.coalesce(docs[text_col], F.lit(""))
     key = F.coalesce(docs[id_col].cast("string"), F.lit(""))

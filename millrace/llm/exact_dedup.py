@@ -15,9 +15,11 @@ def exact_groups(
 
     Returns ``id_col, keep_id, group_size, kept, text_sha256``; every input row comes back once.
 
-    Texts are hashed where they are read and only hashes are shuffled. A hash that occurs once is settled; the texts
+    Texts are hashed where they are read, and hashes are counted. A hash that occurs once is settled; the texts
     behind repeated hashes are then grouped by (hash, text), which compares their bytes after a partial
-    aggregation in each task, so a huge group sends one row per task. ``hash_bits`` below 128 exists to test collisions.
+    aggregation in each task, so a huge group sends one row per task. Repeated hashes are broadcast to the texts while they are few
+    (``small``); where they are more, the texts of all documents are shuffled once to meet them. ``hash_bits`` below 128 exists to test
+    collisions.
 
     Null text counts as empty. ``keep`` is "smallest" or "largest" id. A null id is never kept unless all ids of
     its group are null. Rows that repeat both id and text are one document: they get the same

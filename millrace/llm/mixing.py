@@ -179,8 +179,8 @@ def mix_documents(
 ) -> DataFrame:
     """The mix itself: each document as often as ``mix_counts`` says, with all its columns.
 
-    Texts are not shuffled, but for those of rows that repeat a document in which a source's sample ends; columns must then
-    be of types that can be grouped.
+    Texts are shuffled where rows repeat a document in which a source's sample ends (columns must then be of types that can be
+    grouped), and all of them where the documents in the buckets at the sources' edges are too many to broadcast (``small``).
     """
     columns = marked(docs, id_col, text_col, source_col, seed)
     sized = cut(docs.select(*[c.alias(name) for name, c in columns.items()]), "sized")
