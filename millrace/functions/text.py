@@ -32,8 +32,8 @@ JWT = REDACTIONS[1][0]
 _JWT_START = r"(?<![A-Za-z0-9_-])(?>([A-Za-z0-9_-]*?)eyJ)[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]+"
 #: Patterns that find the same in linear time, with their replacements.
 _LINEAR = {EMAIL: (_EMAIL_START + EMAIL, REDACTIONS[0][1]), JWT: (_JWT_START, "$1" + REDACTIONS[1][1])}
-#: What every match of a pattern holds.
-_NEEDED = {EMAIL: "@", JWT: ".eyJ", REDACTIONS[2][0]: "sk-", REDACTIONS[3][0]: "sk-ant-", REDACTIONS[5][0]: "Bearer"}
+#: What every match of a pattern holds one of.
+_NEEDED = {EMAIL: "@", JWT: (".eyJ",), REDACTIONS[2][0]: ("sk-",), REDACTIONS[3][0]: ("sk-ant-",), REDACTIONS[5][0]: ("Bearer",), REDACTIONS[6][0]: "=:"}
 #: Characters that a URI component keeps although the form encoding escapes them.
 URI_KEEPS = {"%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~", "+": "%20"}
 
@@ -69,7 +69,8 @@ def redact(c: Column) -> Column:
         needed = _NEEDED.get(rule[0])
         if needed is None:
             return replaced(text)
-        return F.transform(F.array(text), lambda x: F.when(x.contains(needed), replaced(x)).otherwise(x))[0]
+        holds = lambda x: reduce(lambda a, b: a | b, [x.contains(part) for part in needed])
+        return F.transform(F.array(text), lambda x: F.when(holds(x), replaced(x)).otherwise(x))[0]
 
     return reduce(step, REDACTIONS, c)
 
