@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 
 from millrace.sources.tables import keep
 
+#: Rows of one key that a task sorts and looks back along by itself.
+HOT_ROWS = 1 << 20
+
 
 def last_before(rows: DataFrame, keys: list[str], order: list[str], found: dict[str, str]) -> DataFrame:
     """``rows`` with a column for each of ``found`` (value column: new name): the last non-null value in the key's rows before this one, in the
     ascending order of the columns ``order`` (nulls first; rows that tie in all of them are taken in any order).
 
-    Rows are dealt out by ranges of (keys, order), so a key with very many rows lies in many ranges and no task gets more than a range of it. Inside a range
+    If no key has more than ``HOT_ROWS`` rows, which is counted first, a window per key looks back; the result does not depend on that. Else rows are dealt out
+    by ranges of (keys, order), so a key with very many rows lies in many ranges and no task gets more than a range of it. Inside a range
     a window looks back; what a key's earlier ranges end with is carried over. Only keys that go on from one range to the next carry anything, so there is at
     most one such row per range, which is broadcast. Null keys are a key.
     """
+    most = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= HOT_ROWS:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({name: F.last(value, ignorenulls=True).over(whole) for value, name in found.items()})
     ranged = rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id())
     ranged = keep(ranged, "ranges")
     inside = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

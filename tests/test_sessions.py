@@ -186,7 +186,8 @@ def test_state_holds_what_the_watermark_has_not_passed_and_nothing_else(spark, t
     assert {r.id: r.allowed for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {1: True, 2: False}
 
 
-def test_no_window_takes_a_whole_key(spark):
+def test_no_window_takes_a_whole_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "HOT_ROWS", 0)
     events = spark.createDataFrame([(1, 1, 1, AT, "login", False)], "id long, user_id long, session long, ts timestamp, kind string, stale boolean")
     plan = S.session_fold(events)._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if " Window [" in line and "windowspecdefinition" in line]
@@ -246,8 +247,9 @@ def test_runs_are_those_of_every_entry():
             assert (start[run], hits[run]) == (times[at], n - at)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_looking_back_along_a_hot_key(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(0, 0), (1, 100), (2, 1000)])
+def test_looking_back_along_a_hot_key(spark, monkeypatch, seed, hot):
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
     rng = random.Random(seed)
     rows = [(i, rng.choice(["hot"] * 9 + ["a", None]), rng.randrange(3), i * 7 % 500, rng.choice([None, None, i])) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, k string, j long, t long, v long")
@@ -262,7 +264,23 @@ def test_looking_back_along_a_hot_key(spark, seed):
         last[k, j] = v if v is not None else last.get((k, j))
 
 
-def test_revocations_at_the_time_of_a_login_count_and_issues_at_the_time_of_a_use_do_not(spark):
+@pytest.mark.parametrize("hot", [0, 1000])
+def test_the_session_fold_of_a_hot_user_equals_the_plain_fold(spark, monkeypatch, hot):
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
+    rng, opened, want = random.Random(6), {}, {}
+    rows = [(i, rng.choice([1] * 9 + [2]), rng.randrange(4), AT + datetime.timedelta(seconds=i), rng.choice(["login", "refresh", "refresh", "logout", "logout_all"]), i % 7 == 0) for i in range(300)]
+    for i, user, session, _, kind, stale in rows:
+        mine = opened.setdefault(user, set())
+        want[i] = S.event_outcome(kind, stale, session in mine)
+        mine.update({session} if kind == "login" else ())
+        mine.difference_update({session} if kind == "logout" else mine.copy() if kind == "logout_all" else ())
+    events = spark.createDataFrame(rows, "id long, user_id long, session long, ts timestamp, kind string, stale boolean")
+    assert {r.id: r.outcome for r in S.session_fold(events).collect()} == want
+
+
+@pytest.mark.parametrize("hot", [0, 1000])
+def test_revocations_at_the_time_of_a_login_count_and_issues_at_the_time_of_a_use_do_not(spark, monkeypatch, hot):
+    monkeypatch.setattr(ordered, "HOT_ROWS", hot)
     logins = spark.createDataFrame([(1, 1, AT), (2, 1, AT + DAY), (3, None, AT), (4, 1, None)], "id long, user_id long, ts timestamp")
     revocations = spark.createDataFrame([(1, AT), (None, AT + DAY), (1, None)], "user_id long, ts timestamp")
     assert {r.id: r.revoked_at for r in S.revoked_at(logins, revocations).collect()} == {1: AT, 2: None, 3: AT + DAY, 4: None}
