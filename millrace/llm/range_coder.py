@@ -5,7 +5,7 @@ share no state that changes, so each can be decoded by itself, given the segment
 a block, or to one copy, leaves all other blocks readable (``decode_blocks``).
 
 * Order 0: how often each id occurs in the segment. The head holds these frequencies; they are every block's first state, and each id
-  that a block codes by them becomes more frequent in that block.
+  that a block codes by them becomes more frequent in that block; what has come is counted every ``LAG`` tokens.
 * Order 1: after each id an id that is expected, and how sure that is. It starts from the head, too, and adapts.
 * Order 2: the same after each pair of ids; it starts empty.
 
@@ -26,7 +26,7 @@ import numpy as np
 
 MAGIC = b"MRC3"
 #: Tokens in a block, which is coded with a fresh model.
-BLOCK_TOKENS = 4096
+BLOCK_TOKENS = 2048
 HEADER = "<4sIIII"  # magic, block length, blocks, tokens, bytes of the head; the end of a segment is the length of its last copy
 
 FIRST_SLOTS, SECOND_SLOTS = 1 << 12, 1 << 12  # predictions kept per block
@@ -36,8 +36,9 @@ WORD = 16
 TOP = 1 << (STATE - WORD)
 LEAST = 1 << 40  # the interval is kept at least this long
 FLAG_BITS, ID_BITS = 15, 18
-BOOST = 256  # by how much (of 1 << ID_BITS) an id becomes more frequent in a block that codes it
+BOOST = 500  # by how much (of 1 << ID_BITS) an id becomes more frequent in a block that codes it
 MOST = 255  # times that one id does
+LAG = 32  # tokens after which a block counts what it has coded
 FAN = 48  # children of an inner node of the tree of frequencies
 PAIRS = 1 << 18  # pairs from which the head's expected successors are taken
 U = np.uint64
@@ -58,14 +59,12 @@ class Prior:
         self.frequency[self.ids] = frequency
         self.place = np.zeros(1 << 16, dtype=np.int64)
         self.place[self.ids] = np.arange(len(self.ids))
-        # Ids stand in a tree of three levels: ``FAN`` nodes, as many in each, and leaves; each level has the sums of the siblings before.
+        # Ids stand in a tree of three levels: ``FAN`` nodes, as many in each, and leaves, which have the sums of the siblings before.
         self.fan = fan = max(1, -(-len(self.ids) // FAN**2))
         self.leaves = np.zeros(FAN * FAN * fan, dtype=np.int32)
         self.leaves[: len(self.ids)] = self.frequency[self.ids]
-        before = lambda sums: (np.cumsum(sums, axis=-1) - sums).astype(np.int32)
-        self.before_1 = before(self.leaves.reshape(FAN, -1).sum(axis=1))
-        self.before_2 = before(self.leaves.reshape(FAN, FAN, fan).sum(axis=2))
-        self.before_3 = before(self.leaves.reshape(FAN * FAN, fan))
+        grouped = self.leaves.reshape(FAN * FAN, fan)
+        self.before_3 = (np.cumsum(grouped, axis=1) - grouped).astype(np.int32)
         rank = np.frexp(np.maximum(self.frequency, 1).astype(float))[1] - 1  # exact: the position of the highest bit
         self.rank = np.minimum(rank, 15).astype(np.int64)
 
@@ -102,65 +101,65 @@ def _rows(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
 class Frequencies:
     """How frequent each id is in each block: what the head says, and ``BOOST`` for each time that the block has coded it.
 
-    The two upper levels of the head's tree hold, for every block, the frequencies of the siblings before each node; leaves hold how often
-    they were counted. So an id's interval, finding the id of a value, and counting one each touch one node of each level.
+    What the blocks have coded is counted every ``LAG`` tokens. The nodes of the head's tree hold, for every block, where their
+    interval starts; leaves hold how often they were counted. So an id's interval, and finding the id of a value, touch one node of each level.
     """
 
     def __init__(self, blocks: int, prior: Prior) -> None:
-        self.prior, self.fan = prior, prior.fan
-        self.before_1 = np.tile(prior.before_1, (blocks, 1))
-        self.before_2 = np.tile(prior.before_2, (blocks, 1))
-        self.count_3 = np.zeros((blocks * FAN * FAN, self.fan), dtype=np.uint8)
-        self.totals = np.full(blocks, 1 << ID_BITS, dtype=np.uint64)
-        self.later = (BOOST * (np.arange(FAN) > np.arange(FAN)[:, None])).astype(np.int32)
+        self.prior, self.fan, self.nodes = prior, prior.fan, FAN * FAN
+        self.node_size = np.tile(prior.leaves.reshape(self.nodes, self.fan).sum(axis=1, dtype=np.int32), (blocks, 1))
+        self.counts = np.zeros((blocks * self.nodes, self.fan), dtype=np.uint8)
         self.leaf_before = np.arange(self.fan) < np.arange(self.fan)[:, None]
+        self.held: list[np.ndarray] = []
+        self._settle()
+
+    def _settle(self) -> None:
+        ends = np.cumsum(self.node_size, axis=1, dtype=np.int32)
+        self.totals = ends[:, -1].astype(np.uint64)
+        self.starts = ends - self.node_size
+        self.first = np.ascontiguousarray(self.starts[:, ::FAN])
 
     def interval(self, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and size of each row's id; ``count`` may follow for the same rows."""
-        node, c = np.divmod(self.prior.place[ids], self.fan)
-        a, b = np.divmod(node, FAN)
-        first, second = rows * FAN + a, rows * (FAN * FAN) + node
-        leaf = _rows(self.count_3, second)
+        """Start and size of each row's id."""
+        place = self.prior.place[ids]
+        node, c = place // self.fan, place % self.fan
+        at = rows * self.nodes + node
+        leaf = _rows(self.counts, at)
         leaf *= _rows(self.leaf_before, c)
-        start = self.before_1.ravel()[rows * FAN + a] + self.before_2.ravel()[first * FAN + b] + self.prior.before_3.ravel()[node * self.fan + c]
-        start += BOOST * leaf.sum(axis=1, dtype=np.int32)
-        return self._at(rows, first, second, node, a, b, c, start)
+        start = self.starts.ravel()[at] + self.prior.before_3.ravel()[place] + BOOST * leaf.sum(axis=1, dtype=np.int32)
+        return start.astype(np.uint64), self._size(at * self.fan + c, place)
 
-    def _at(self, rows, first, second, node, a, b, c, start) -> tuple[np.ndarray, np.ndarray]:
-        counted = self.count_3.ravel()[second * self.fan + c].astype(np.int32)
-        self.at = (rows, first, second, a, b, c, counted < MOST)
-        size = self.prior.leaves[node * self.fan + c] + BOOST * counted
-        return start.astype(np.uint64), size.astype(np.uint64)
+    def _size(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        self.held.append(at)
+        return (self.prior.leaves[place] + BOOST * self.counts.ravel()[at].astype(np.int32)).astype(np.uint64)
 
     def find(self, rows: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id in whose interval each row's value lies, with start and size; ``count`` may follow for the same rows."""
-        prior, one, value = self.prior, np.arange(len(rows)), value.astype(np.int32)
-        upto = _rows(self.before_1, rows)
-        a = np.count_nonzero(upto <= value[:, None], axis=1) - 1
-        start, first = upto[one, a], rows * FAN + a
-        upto = _rows(self.before_2, first)
-        b = np.count_nonzero(upto <= (value - start)[:, None], axis=1) - 1
-        node = a * FAN + b
-        start, second = start + upto[one, b], rows * (FAN * FAN) + node
-        leaf = _rows(self.count_3, second)
+        """The id in whose interval each row's value lies, with start and size."""
+        one, value = np.arange(len(rows)), value.astype(np.int32)
+        a = np.count_nonzero(_rows(self.first, rows) <= value[:, None], axis=1) - 1
+        starts = _rows(self.starts.reshape(-1, FAN), rows * FAN + a)
+        b = np.count_nonzero(starts <= value[:, None], axis=1) - 1
+        node, start = a * FAN + b, starts[one, b]
+        at = rows * self.nodes + node
+        leaf = _rows(self.counts, at)
         upto = np.cumsum(leaf, axis=1, dtype=np.int32)
         upto -= leaf
         upto *= BOOST
-        upto += _rows(prior.before_3, node)
+        upto += _rows(self.prior.before_3, node)
         c = np.count_nonzero(upto <= (value - start)[:, None], axis=1) - 1
-        return prior.ids[node * self.fan + c], *self._at(rows, first, second, node, a, b, c, start + upto[one, c])
+        place = node * self.fan + c
+        return self.prior.ids[place], (start + upto[one, c]).astype(np.uint64), self._size(at * self.fan + c, place)
 
     def count(self) -> None:
-        """Count the ids last asked for."""
-        rows, first, second, a, b, c, free = self.at
-        if not free.all():
-            rows, first, second, a, b, c = (x[free] for x in self.at[:-1])
-        child = np.full(len(self.before_1), FAN - 1)  # of the other blocks the last one, which has none after it
-        child[rows] = a
-        self.before_1 += _rows(self.later, child)
-        self.before_2[first] = _rows(self.before_2, first) + _rows(self.later, b)
-        self.count_3.ravel()[second * self.fan + c] += 1
-        self.totals[rows] += U(BOOST)
+        """Count the ids asked for since this was last called; none more than ``MOST`` times in a block."""
+        leaves, times = np.unique(np.concatenate(self.held), return_counts=True) if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.held.clear()
+        flat = self.counts.ravel()
+        before = flat[leaves].astype(np.int64)
+        after = np.minimum(before + times, MOST)
+        flat[leaves] = after
+        np.add.at(self.node_size.ravel(), leaves // self.fan, (BOOST * (after - before)).astype(np.int32))
+        self._settle()
 
 
 class Model:
@@ -304,7 +303,8 @@ def encode(ids: np.ndarray, block_tokens: int = BLOCK_TOKENS) -> bytes:
         start, size = model.zero.interval(miss, token[miss])
         low[miss] += part * start
         length[miss] = part * size
-        model.zero.count()
+        if t % LAG == LAG - 1:
+            model.zero.count()
         _shift_out(low, length, emit)
         model.update(token, outcome)
         if blocks and t == tail - 1:  # the last block ends here; what follows it is padding
@@ -406,7 +406,8 @@ def decode_blocks(segment: bytes) -> list[np.ndarray | None]:
         token[miss] = missed
         low[miss] += part * begin
         length[miss] = part * many
-        model.zero.count()
+        if t % LAG == LAG - 1:
+            model.zero.count()
         out[t] = token
         _shift_out(low, length, emit)
         model.update(token, outcome)
