@@ -287,3 +287,117 @@ def test_revocations_at_the_time_of_a_login_count_and_issues_at_the_time_of_a_us
     issues = spark.createDataFrame([(1, AT, "a"), (1, AT + DAY, "b")], "session long, ts timestamp, digest string")
     uses = spark.createDataFrame([(1, 1, AT, "a"), (2, 1, AT + DAY, "a"), (3, 1, AT + 2 * DAY, "a")], "id long, session long, ts timestamp, digest string")
     assert {r.id: (r.current, r.stale) for r in S.stale_uses(issues, uses).collect()} == {1: (None, None), 2: ("a", False), 3: ("b", True)}
+
+
+class Handle:
+    """State of one key in memory; counts the calls that a state server would get."""
+
+    def __init__(self):
+        self.calls, self.states, self.timers = 0, {}, set()
+
+    def getValueState(self, name, schema):
+        return self.getMapState(name, None, schema)
+
+    def getMapState(self, name, key, schema):
+        handle, held = self, self.states.setdefault(name, {})
+
+        def called(value=None):
+            handle.calls += 1
+            return value
+
+        class State:
+            get = lambda self: called(held.get(()))
+            update = lambda self, value: called(held.update({(): value}))
+            exists = lambda self: called(() in held)
+            getValue = lambda self, at: called(held.get(at))
+            updateValue = lambda self, at, value: called(held.update({at: value}))
+            containsKey = lambda self, at: called(at in held)
+            removeKey = lambda self, at: called(held.pop(at, None))
+            iterator = lambda self: called(iter(list(held.items())))
+            clear = lambda self: called(held.clear())
+
+        return State()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+def run_key(processor, handle, batches, key=1):
+    """A key's batches of (rows, watermark in milliseconds) through a processor, timers in order."""
+    from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+    processor.init(handle)
+    out = []
+    for rows, watermark in batches:
+        times = TimerValues(0, watermark)
+        if rows:
+            out += list(processor.handleInputRows((key,), iter(rows), times))
+        for at in sorted(t for t in handle.timers if t <= watermark):
+            out += list(processor.handleExpiredTimer((key,), times, ExpiredTimerInfo(at)))
+            handle.timers.discard(at)
+    return out
+
+
+def machine_rows(n, seed, sessions=3):
+    rng, rows, own = random.Random(seed), [], []
+    for i in range(n):
+        kind = rng.choice(["login", "login", "refresh", "refresh", "refresh", "logout"] + ["logout_all"] * (rng.random() < 0.1))
+        new = f"d{i}" if kind in ("login", "refresh") else None
+        rows.append(dict(id=i, us=i * 60_000_000 + rng.randrange(40_000_000), session=rng.randrange(sessions), kind=kind, digest=rng.choice(own[-4:] + [None]) if new is None or kind == "refresh" else None, new_digest=new))
+        own += [new] if new else []
+    return rows
+
+
+def test_state_is_asked_per_key_and_not_per_row():
+    """Twenty times the rows of a key in a trigger take as many calls."""
+    Row = streams.Row
+    made = {
+        "limit": lambda: (streams.Limiter(2, 3600 * 1_000_000), 40),
+        "open": lambda: (streams.OpenSessions(["id", "us", "session", "kind", "stale"]), 40),
+        "machine": lambda: (streams.Machine(["id", "us", "session", "kind", "digest", "new_digest"], 86400 * 1_000_000, 3600 * 1_000_000), 80),
+    }
+    for make in made.values():
+        for n in (40, 800):
+            (processor, most), handle = make(), Handle()
+            rows = [Row(**r, stale=False) for r in machine_rows(n, 1)]
+            out = run_key(processor, handle, [(rows, 0), (None, n * 60_000 - 600_000), (None, 10**12)])
+            assert len(out) == n and handle.calls <= most, (processor, n, handle.calls)
+            assert not any(handle.states.values()) or set(k for k, v in handle.states.items() if v) <= {"index", "open"}
+
+
+@pytest.mark.parametrize(("run", "sort", "whole"), [(1, 7, 0), (4, 1 << 16, 256), (1024, 20, 0), (1024, 1 << 16, 256)])
+def test_held_rows_and_entries_in_pieces_give_the_same(monkeypatch, run, sort, whole):
+    monkeypatch.setattr(streams, "RUN_ROWS", run)
+    monkeypatch.setattr(streams, "SHORT_ROWS", min(run, 2))
+    monkeypatch.setattr(streams, "SORT_ROWS", sort)
+    monkeypatch.setattr(streams, "WHOLE_ENTRIES", whole)
+    rows, rng, columns = machine_rows(400, 2, 9), random.Random(4), ["id", "us", "session", "kind", "digest", "new_digest"]
+    lifetime, retained = 150 * 1_000_000, 1200 * 1_000_000
+    want, sessions, digests = [], {}, {}
+    for r in rows:
+        session, outcome, closed, _ = S.machine_step(sessions, digests, r, lifetime, retained)
+        want.append((r["id"], session, outcome, closed))
+    late, batches, at = [], [], 0
+    while at < len(rows):  # rows come up to some 30 minutes late, in steps of unequal size; the watermark is as far behind
+        step = rng.choice([3, 10, 60])
+        new, at = [*late, *rows[at : at + step]], at + step
+        rng.shuffle(new)
+        late, new = new[:2], new[2:]
+        behind = min(r["us"] for r in [*late, *rows[at : at + 1], {"us": 10**18}])
+        batches.append(([streams.Row(**r) for r in new], min(max(0, behind // 1000 - 1), 10**9)))
+    batches += [([streams.Row(**r) for r in late], batches[-1][1]), (None, 10**12)]
+    handle = Handle()
+    out = run_key(streams.Machine(columns, lifetime, retained), handle, batches)
+    assert [(r.id, r.session, r.outcome, r.closed) for r in out] == want
+    assert {w[2] for w in want} >= {"opened", "rotated", "expired", "closed", "closed_all"}
+    folds = [streams.event_outcome(*x) for x in _opens(rows)]
+    out = run_key(streams.OpenSessions(["id", "us", "session", "kind", "stale"]), Handle(), [([streams.Row(**r.asDict(), stale=r.id % 5 == 0) for r in b or ()], w) for b, w in batches])
+    assert [r.outcome for r in out] == folds
+
+
+def _opens(rows):
+    now = set()
+    for r in rows:
+        yield r["kind"], r["id"] % 5 == 0, r["session"] in now
+        now = now | {r["session"]} if r["kind"] == "login" else set() if r["kind"] == "logout_all" else now - {r["session"]} if r["kind"] == "logout" else now
