@@ -139,6 +139,7 @@ class Unit:
         self.manifest = store.manifest(self.base)
         self.done = self._done_in(self.manifest)
         self.folder = f"data/{uuid.uuid4().hex}"
+        self.waiting: dict[str, tuple[set[str], DataFrame]] = {}
 
     def __enter__(self) -> Unit:
         return self
@@ -151,11 +152,13 @@ class Unit:
         return self.writer is not None and manifest["writers"].get(self.writer, -1) >= self.number
 
     def read(self, table: str) -> DataFrame:
+        self._settle(table)
         return self.store.rows(self.manifest["tables"][table])
 
     def replace(self, table: str, rows: DataFrame, key: str | None = None, buckets: int = 1) -> None:
         """The table's new rows. With ``key`` they are dealt out to ``buckets`` folders by its hash, which ``change`` then goes by."""
         if not self.done:
+            self.waiting.pop(table, None)
             entry = {"schema": rows.schema.jsonValue(), "key": key, "buckets": buckets, "parts": {}}
             self.manifest["tables"][table] = entry | {"parts": self._stage(table, rows, entry)}
 
@@ -168,6 +171,7 @@ class Unit:
     def place(self, table: str, part: str, folder: str, schema: T.StructType) -> None:
         """A staged folder as a named part of a table, instead of the part of that name if there is one."""
         if not self.done:
+            self._settle(table)
             entry = self.manifest["tables"].setdefault(table, {"schema": schema.jsonValue(), "key": None, "buckets": 1, "parts": {}})
             entry["parts"][part] = folder
 
@@ -175,21 +179,33 @@ class Unit:
         """Apply ``rule`` (table to table) to the rows of a bucketed table that share a bucket with ``keys`` (one column, the key's values).
 
         ``rule`` may change, add and drop rows of these keys only. Buckets without such a key are neither read nor written: their folders
-        stay. So the cost of a batch is that of the buckets it touches.
+        stay. So the cost of a batch is that of the buckets it touches. Changes of the same buckets that follow one another are written once, when the
+        unit is published or the table is read: a rule is given the rows that the one before it makes.
         """
         if self.done:
             return
         entry = self.manifest["tables"][table]
         key = F.col(keys.columns[0])
         touched = {str(r[0]) for r in keys.select(_bucket(key, entry["buckets"])).distinct().collect()}  # at most one row per bucket
-        rows = rule(self.store.rows(entry, [p for p in entry["parts"] if p in touched]))
-        staged = self._stage(table, rows.select([f["name"] for f in entry["schema"]["fields"]]), entry)
+        if table in self.waiting and self.waiting[table][0] != touched:
+            self._settle(table)
+        rows = self.waiting[table][1] if table in self.waiting else self.store.rows(entry, [p for p in entry["parts"] if p in touched])
+        self.waiting[table] = touched, rule(rows).select([f["name"] for f in entry["schema"]["fields"]])
+
+    def _settle(self, table: str) -> None:
+        """Stage what ``change`` has left waiting."""
+        if table not in self.waiting:
+            return
+        (touched, rows), entry = self.waiting.pop(table), self.manifest["tables"][table]
+        staged = self._stage(table, rows, entry)
         if not staged.keys() <= touched:
             raise ValueError(f"the rule made rows of {table} whose keys are not among those it was given")
         entry["parts"] = {p: f for p, f in entry["parts"].items() if p not in touched} | staged
 
     def publish(self) -> int:
         """Make the changes visible; ``Conflict`` if another unit has come first (unless it was this one's replay)."""
+        for table in list(self.waiting):
+            self._settle(table)
         if self.writer is not None:
             self.manifest["writers"][self.writer] = self.number
         number = self.base + 1
@@ -204,7 +220,7 @@ class Unit:
             return {"0": self.stage(rows)}
         folder = f"{self.folder}/{table}-{uuid.uuid4().hex}"
         dealt = rows.withColumn(BUCKET, _bucket(F.col(entry["key"]), entry["buckets"]))
-        dealt.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.store.root}/{folder}")
+        dealt.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{self.store.root}/{folder}")
         made = [n for n in self.store.files.names(folder) if n.startswith(f"{BUCKET}=")]
         return {n.removeprefix(f"{BUCKET}="): f"{folder}/{n}" for n in made}
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import changes as M
-from millrace.sources.units import Conflict, Store
+from millrace.sources.units import Conflict, Store, Unit
 
 
 @pytest.fixture
@@ -127,3 +127,32 @@ def test_of_repeats_in_a_seed_the_first_is_inserted(spark):
     batch = spark.createDataFrame([("a", 9), ("b", 3), ("b", 2), (None, 5), (None, 4)], "email string, id long")
     assert sorted(map(tuple, M.insert_if_absent(table, batch, "email", "id").collect()), key=str) == [("a", 1), ("b", 2), (None, 4)]
     assert M.insert_if_absent(table, batch.limit(0), "email").count() == 1
+
+
+def test_changes_of_the_same_buckets_are_written_once(store, monkeypatch):
+    staged, real = [], Unit._stage
+    monkeypatch.setattr(Unit, "_stage", lambda self, table, rows, entry: staged.append(table) or real(self, table, rows, entry))
+    keys = store.spark.range(40).select("id")
+    add = lambda tail: lambda rows: rows.withColumn("hash", F.concat("hash", F.lit(tail)))
+    with store.unit("reset", 1) as unit:
+        for tail in "abc":
+            unit.change("accounts", keys, add(tail))
+        assert staged == []
+    assert staged == ["accounts"] and set(hashes(store).values()) == {"oldabc"}
+    with store.unit("reset", 2) as unit:
+        unit.change("accounts", keys, add("d"))
+        assert {r.hash for r in unit.read("accounts").collect()} == {"oldabcd"}  # a read writes what waits
+        unit.change("accounts", keys, add("e"))
+        unit.change("accounts", keys.filter("id = 3"), lambda rows: rows.withColumn("hash", F.when(F.col("id") == 3, "f").otherwise(F.col("hash"))))
+    assert staged == ["accounts"] * 4 and {i: h for i, h in hashes(store).items() if h != "oldabcde"} == {3: "f"}
+
+
+def test_a_big_bucket_is_written_by_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        made = Store(spark, str(tmp_path / "big"))
+        with made.unit("load", 1) as unit:
+            unit.replace("rows", spark.range(100_000).select("id", F.lit(1).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("h")), "k", 4)
+        assert len(made.read("rows").inputFiles()) > 1 and made.read("rows").count() == 100_000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
