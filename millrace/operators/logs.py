@@ -15,7 +15,17 @@ from millrace.functions.text import REDACTIONS, redact
 
 #: Containers that are entered on the way to a string; those deeper stay as they are.
 DEPTH = 4
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*+"(\s*+:)?|[{}\[\]]', re.DOTALL)
+_TOKEN = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(\s*+:)?|[{}\[\]]', re.DOTALL)
+#: What a text must hold for each of ``REDACTIONS`` to find anything: one of the parts, in any case where the second list says so.
+_PARTS = (
+    (("@",), ()),
+    ((".eyJ",), ()),
+    (("sk-",), ()),
+    (("sk-ant-",), ()),
+    ((), ("token", "key", "secret", "password", "authorization")),
+    (("Bearer",), ()),
+    ((), ("password", "passwd", "pwd", "secret_key", "api_key", "apikey", "auth_token", "access_token", "refresh_token")),
+)
 
 
 def redact_records(records: DataFrame, message: str = "message", args: str = "args", extra: str | None = None, traceback: str = "traceback") -> DataFrame:
@@ -34,9 +44,20 @@ def _plain_rules() -> list[tuple[re.Pattern, str]]:
     return [(re.compile(pattern), replacement.replace("$1", r"\1")) for pattern, replacement in REDACTIONS]
 
 
+def _folded(text: str) -> str:
+    """The text with all forms of a letter that a pattern without regard to case takes for the same as that letter."""
+    return text.replace("\u0130", "i").replace("\u0131", "i").casefold() if not text.isascii() else text.lower()
+
+
 def redact_text_value(text: str, rules: list[tuple[re.Pattern, str]]) -> str:
-    for pattern, replacement in rules:
-        text = pattern.sub(replacement, text)
+    """A pattern is only tried on a text that holds what all its matches hold; looking for that costs little."""
+    folded = None
+    for (pattern, replacement), (exact, any_case) in zip(rules, _PARTS, strict=True):
+        if any_case and folded is None:
+            folded = _folded(text)
+        if any(part in text for part in exact) or (any_case and any(part in folded for part in any_case)):
+            new = pattern.sub(replacement, text)
+            text, folded = new, folded if new == text else None
     return text
 
 

@@ -390,3 +390,31 @@ def test_plans(spark):
     assert any("_range" in w and "_row" in w for w in windows)  # rows are numbered within a range; one row per range in one task
     looked_up = plan_of(spark.read.parquet(f"{SF}/customer.parquet").filter("c_custkey = 5").select("c_name"))
     assert "EqualTo(c_custkey,5)" in looked_up and "struct<c_custkey:bigint,c_name:string>" in looked_up
+
+
+def test_a_pattern_that_cannot_match_is_not_tried():
+    """The outcome is that of trying all patterns; texts without what a pattern needs do not reach it."""
+    rules = logs._plain_rules()
+    tried = []
+
+    class Counted:
+        def __init__(self, pattern):
+            self.pattern = pattern
+
+        def sub(self, replacement, text):
+            tried.append(self.pattern.pattern)
+            return self.pattern.sub(replacement, text)
+
+    counted = [(Counted(p), r) for p, r in rules]
+    plain = "no personal data: nothing = here " * 50
+    assert logs.redact_text_value(plain, counted) == plain and tried == []
+    long = "x" * 44
+    texts = [f"a@b.co paſſword={long}", f"PASSWORD : {long}", f"authorİzation {long}", f"authorızation={long}", f"toKen: {long}", f"ä APİ_key=1", "Pwd:2", "Bearer " + long, "sk-" + long, "sk-ant-" + long, f"eyJ{long}.eyJ{long}.s", "token", "secret_KEY = a@b.co"]
+    for text in texts:
+        want = text
+        for pattern, replacement in rules:
+            want = pattern.sub(replacement, want)
+        assert logs.redact_text_value(text, rules) == want, text
+    for text in ['{"a": "x\\"y", "b": "\\\\", "c": ["\\u0041@b.co"]}', '{"a\\"" : "q\nr"}', '["a@b.co", "open']:
+        slow = re.compile(r'"(?:[^"\\]|\\.)*+"(\s*+:)?|[{}\[\]]', re.DOTALL)
+        assert [(m[0], m[1]) for m in logs._TOKEN.finditer(text)] == [(m[0], m[1]) for m in slow.finditer(text)]
