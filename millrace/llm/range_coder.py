@@ -27,6 +27,9 @@ import numpy as np
 MAGIC = b"MRC3"
 #: Tokens in a block, which is coded with a fresh model.
 BLOCK_TOKENS = 2048
+#: Blocks encoded side by side, whose models take about 110 KB each, so that a worker which also holds a tokenizer and texts stays small. Decoding
+#: has neither and takes all blocks of a segment at once, which is faster.
+GROUP = 512
 HEADER = "<4sIIII"  # magic, block length, blocks, tokens, bytes of the head; the end of a segment is the length of its last copy
 
 FIRST_SLOTS, SECOND_SLOTS = 1 << 12, 1 << 12  # predictions kept per block
@@ -111,12 +114,13 @@ class Frequencies:
         self.counts = np.zeros((blocks * self.nodes, self.fan), dtype=np.uint8)
         self.leaf_before = np.arange(self.fan) < np.arange(self.fan)[:, None]
         self.held: list[np.ndarray] = []
+        self.starts = np.empty_like(self.node_size)
         self._settle()
 
     def _settle(self) -> None:
-        ends = np.cumsum(self.node_size, axis=1, dtype=np.int32)
-        self.totals = ends[:, -1].astype(np.uint64)
-        self.starts = ends - self.node_size
+        np.cumsum(self.node_size, axis=1, dtype=np.int32, out=self.starts)
+        self.totals = self.starts[:, -1].astype(np.uint64)
+        self.starts -= self.node_size
         self.first = np.ascontiguousarray(self.starts[:, ::FAN])
 
     def interval(self, rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,7 +281,19 @@ def encode(ids: np.ndarray, block_tokens: int = BLOCK_TOKENS) -> bytes:
     prior = Prior.of(ids)
     if blocks and tail < block_tokens:  # padding repeats an id that the segment has
         steps[tail:, -1] = ids[0]
-    model, head = Model(blocks, prior), prior.pack()
+    head, pieces = prior.pack(), []
+    for first in range(0, blocks, GROUP):
+        pieces += _encode(steps[:, first : first + GROUP], prior, tail if first + GROUP >= blocks else block_tokens)
+    sizes = np.array([len(p) for p in pieces], dtype="<u4").tobytes()
+    guide = struct.pack(HEADER, MAGIC, block_tokens, blocks, len(ids), len(head)) + head + sizes + np.array(crcs, dtype="<u4").tobytes()
+    guide += struct.pack("<I", zlib.crc32(guide))
+    return guide + b"".join(pieces) + guide + struct.pack("<I", len(guide))
+
+
+def _encode(steps: np.ndarray, prior: Prior, tail: int) -> list[bytes]:
+    """Blocks, a column each, coded side by side; the last one has ``tail`` tokens."""
+    block_tokens, blocks = steps.shape
+    model = Model(blocks, prior)
     low, length = np.zeros(blocks, dtype=np.uint64), np.full(blocks, (1 << STATE) - 1, dtype=np.uint64)
     width = 1024
     out, used = np.zeros((blocks, width), dtype=np.uint16), np.zeros(blocks, dtype=np.int64)
@@ -307,17 +323,14 @@ def encode(ids: np.ndarray, block_tokens: int = BLOCK_TOKENS) -> bytes:
             model.zero.count()
         _shift_out(low, length, emit)
         model.update(token, outcome)
-        if blocks and t == tail - 1:  # the last block ends here; what follows it is padding
+        if t == tail - 1:  # the last block ends here; what follows it is padding
             ending = (int(low[-1]), int(used[-1]))
     pieces = []
     for i in range(blocks):
         at, words = (int(low[i]), int(used[i])) if i < blocks - 1 else ending
         flush = [(at << 2 >> s) & 0xFFFF for s in (48, 32, 16, 0)]
         pieces.append(out[i, :words].astype("<u2").tobytes() + struct.pack("<4H", *flush))
-    sizes = np.array([len(p) for p in pieces], dtype="<u4").tobytes()
-    guide = struct.pack(HEADER, MAGIC, block_tokens, blocks, len(ids), len(head)) + head + sizes + np.array(crcs, dtype="<u4").tobytes()
-    guide += struct.pack("<I", zlib.crc32(guide))
-    return guide + b"".join(pieces) + guide + struct.pack("<I", len(guide))
+    return pieces
 
 
 def checksums(ids: np.ndarray, block_tokens: int) -> list[int]:
@@ -367,8 +380,19 @@ def decode_blocks(segment: bytes) -> list[np.ndarray | None]:
     body = np.frombuffer(raw, dtype="<u2").astype(np.uint64)
     ends = np.cumsum(sizes // 2)
     body = np.r_[body, np.zeros(8, dtype=np.uint64)]
-    cursor, limit = ends - sizes // 2, len(body) - 1
-    model = Model(blocks, prior)
+    tail = total - (blocks - 1) * block_tokens if blocks else 0
+    out = np.zeros((block_tokens, blocks), dtype=np.uint16)
+    if blocks:
+        _decode(out, body, ends - sizes // 2, prior, tail)
+    ids = np.ascontiguousarray(out.T).reshape(-1)[:total]
+    good = [crc == crcs[i] for i, crc in enumerate(checksums(ids, block_tokens))]
+    return [ids[i * block_tokens : (i + 1) * block_tokens] if ok else None for i, ok in enumerate(good)]
+
+
+def _decode(out: np.ndarray, body: np.ndarray, cursor: np.ndarray, prior: Prior, tail: int) -> None:
+    """Blocks decoded side by side into the columns of ``out``, from the words of ``body`` where ``cursor`` says."""
+    block_tokens, blocks = out.shape
+    limit, model = len(body) - 1, Model(blocks, prior)
     low, length = np.zeros(blocks, dtype=np.uint64), np.full(blocks, (1 << STATE) - 1, dtype=np.uint64)
     code = np.zeros(blocks, dtype=np.uint64)
     for k in range(4):
@@ -385,9 +409,6 @@ def decode_blocks(segment: bytes) -> list[np.ndarray | None]:
         behind[rows] = word & U(3)
         cursor[rows] += 1
 
-    out = np.zeros((block_tokens, blocks), dtype=np.uint16)
-    n = total
-    tail = n - (blocks - 1) * block_tokens if blocks else 0
     flag_limit = U((1 << FLAG_BITS) - 1)
     for t in range(block_tokens if blocks > 1 else tail):
         model.predict()
@@ -411,7 +432,3 @@ def decode_blocks(segment: bytes) -> list[np.ndarray | None]:
         out[t] = token
         _shift_out(low, length, emit)
         model.update(token, outcome)
-    del model
-    ids = np.ascontiguousarray(out.T).reshape(-1)[:n]
-    good = [crc == crcs[i] for i, crc in enumerate(checksums(ids, block_tokens))]
-    return [ids[i * block_tokens : (i + 1) * block_tokens] if ok else None for i, ok in enumerate(good)]

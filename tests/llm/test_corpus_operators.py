@@ -774,3 +774,16 @@ def test_pipeline_on_empty_and_odd_tables(spark, tmp_path):
         got = sorted(corpus_pipeline.run(spark, folder).collect(), key=lambda r: r.start)
         assert [r.start for r in got] == [sum(x.n_tokens for x in got[:k]) for k in range(len(got))]
         assert {r.doc_id for r in got} <= {r[0] for r in rows} and (bool(got) == bool(rows))
+
+
+def test_the_coder_holds_the_models_of_a_group_of_blocks_only(monkeypatch):
+    from millrace.llm import range_coder
+
+    ids = np.random.default_rng(3).integers(0, 300, 64 * 23 + 5)
+    whole, asked, real = range_coder.encode(ids, 64), [], range_coder.Model
+    monkeypatch.setattr(range_coder, "GROUP", 5)
+    monkeypatch.setattr(range_coder, "Model", lambda blocks, prior: asked.append(blocks) or real(blocks, prior))
+    assert range_coder.encode(ids, 64) == whole and asked == [5, 5, 5, 5, 4]
+    for n in (0, 1, 64, 320, 321, 325 * 64):
+        part = np.resize(ids, n)
+        assert np.array_equal(range_coder.decode(range_coder.encode(part, 64)), part)
