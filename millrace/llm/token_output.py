@@ -15,13 +15,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, small
+from millrace.llm.common import cut, release, setting, small
 from millrace.llm.range_coder import decode, encode
 
 #: Tokens after which a segment is closed (at a document's end).
 SEGMENT_TOKENS = 1 << 21
-#: Words whose ids a task remembers.
-MEMO_WORDS = 150_000
+#: Words after which a task begins to forget the ones it has not met for as many.
+MEMO_WORDS = 75_000
+#: Rows in a batch that Spark hands to Python: texts of 1,000 rows take 3 MB where documents are short.
+BATCH_ROWS = 1000
 #: Texts that are tokenised together.
 CHUNK = 512
 
@@ -39,15 +41,21 @@ def packed(ids: list[int]) -> bytes:
 
 
 class Memo(dict):
-    """Ids of words (little-endian 16-bit integers), found when first asked for."""
+    """Ids of words (little-endian 16-bit integers), found when first asked for; ``older`` has those of before the last ``age``."""
 
     def __init__(self, find: Callable[[str], bytes]) -> None:
-        self.find = find
+        self.find, self.older = find, {}
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.find(word)
+        ids = self.older.pop(word, None)
+        self[word] = ids = self.find(word) if ids is None else ids
         return ids
 
+    def age(self) -> None:
+        """Forget what was not asked for since this was last called."""
+        self.older = dict(self)
+        self.clear()
+
 
 class WordEncoder:
     """Encodes texts with a byte-level BPE tokenizer, word by word, remembering words.
@@ -99,7 +107,7 @@ class WordEncoder:
         """Ids of each text as little-endian 16-bit integers."""
         for memo in (self.heads, self.words):
             if len(memo) > MEMO_WORDS:
-                memo.clear()
+                memo.age()
         return [self.whole(t) if self.special.search(t) or _SPACE_RUN.search(t) else self.by_words(t.split(" ")) for t in texts]
 
     def by_words(self, words: list[str]) -> bytes:
@@ -153,14 +161,18 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, id_col: str =
                     if total >= SEGMENT_TOKENS:
                         whole = row()
                         ids, counts, held, total, segment = [], [], [], 0, segment + 1
+                        release()
                         yield whole
         if ids:
             yield row()
+        del encoder
+        release()
 
     written = ordered.select("id", "text").mapInArrow(
         run, f"part int, segment int, ids array<{kind}>, counts array<bigint>, n_tokens bigint, data binary"
     )
-    written.write.parquet(path)
+    with setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS):
+        written.write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
@@ -178,6 +190,7 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
                 part, segment, ids, counts, data = (batch.column(k)[at] for k in range(5))
                 counts = np.array(counts.as_py(), dtype=np.int64)
                 raw = decode(data.as_py()).astype("<u4").tobytes()
+                release()
                 edges = np.r_[0, np.cumsum(counts)]
                 pieces = [raw[4 * a : 4 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
                 n = len(pieces)

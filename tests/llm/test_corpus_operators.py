@@ -21,7 +21,7 @@ from support import SF, from_spark, from_sql
 
 import corpus_pipeline
 from millrace.llm import bitslice, chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, quality, range_coder, registry, secrets, simhash, token_output
-from millrace.llm.common import is_small, scratch
+from millrace.llm.common import is_small, scratch, setting
 from millrace.llm.components import components
 from millrace.llm.textcodes import lower_letters
 
@@ -787,3 +787,48 @@ def test_the_coder_holds_the_models_of_a_group_of_blocks_only(monkeypatch):
     for n in (0, 1, 64, 320, 321, 325 * 64):
         part = np.resize(ids, n)
         assert np.array_equal(range_coder.decode(range_coder.encode(part, 64)), part)
+
+
+def test_decoding_holds_the_models_of_two_groups_of_blocks_only(monkeypatch):
+    ids = np.random.default_rng(4).integers(0, 300, 64 * 23 + 5)
+    whole, asked, real = range_coder.encode(ids, 64), [], range_coder.Model
+    monkeypatch.setattr(range_coder, "GROUP", 5)
+    monkeypatch.setattr(range_coder, "Model", lambda blocks, prior: asked.append(blocks) or real(blocks, prior))
+    assert np.array_equal(range_coder.decode(whole), ids) and asked == [10, 10, 4]
+
+
+def test_a_long_block_has_wider_starts():
+    """Where frequencies of all blocks together do not fit 32 bits."""
+    prior = range_coder.Prior.of(np.arange(3000))
+    counted = range_coder.Frequencies(2, prior)
+    counted.node_size[:, 0] += 1 << 30
+    counted.count()
+    place = np.array([7, 2999])
+    start, size = counted.interval(np.array([0, 1]), prior.ids[place])
+    assert counted.starts.dtype == np.int64
+    for row in (0, 1):
+        found, begin, many = counted.find(np.array([row]), start[row : row + 1] + size[row : row + 1] - np.uint64(1))
+        assert (found[0], begin[0], many[0]) == (prior.ids[place[row]], start[row], size[row])
+
+
+def test_words_not_met_for_long_are_forgotten_and_found_again(monkeypatch):
+    monkeypatch.setattr(token_output, "MEMO_WORDS", 3)
+    encoder, asked = token_output.WordEncoder(BPE), []
+    find, plain = encoder.words.find, tokenizer()
+    encoder.words.find = lambda word: asked.append(word) or find(word)
+    for texts in (["a b c d e"], ["x b y"], ["x b z v u w"], ["x b c"], ["x c q"]):
+        assert np.frombuffer(encoder.encode(texts)[0], dtype="<u2").tolist() == plain.encode(texts[0], add_special_tokens=False).ids
+        assert len(encoder.words) + len(encoder.words.older) < 15
+    assert asked.count("b") == 1 and asked.count("c") == 2
+
+
+def test_settings_hold_for_a_while_only(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for held, want in (("10000", "1000"), ("50", "50"), ("-1", "1000")):
+        spark.conf.set(key, held)
+        with pytest.raises(ZeroDivisionError), setting(spark, key, 1000):
+            assert spark.conf.get(key) == want
+            raise ZeroDivisionError
+        assert spark.conf.get(key) == held
+    spark.conf.set(key, before)
