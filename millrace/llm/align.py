@@ -6,6 +6,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -125,7 +126,8 @@ class Generations(dict):
 
 
 class Windows:
-    """Alignments of windows, remembered by both id tuples (as bytes of 16-bit integers): number of groups, groups as text, linked pairs.
+    """Alignments of windows: number of tokens and groups, groups as text, linked pairs. They are remembered by the word that the window is or, in
+    texts that are not cut into words, by both id tuples (as bytes of 16-bit integers).
 
     A group ends where a token of both ends; a pair (``a << 16 | b``) is linked if their byte ranges overlap, once for each such occurrence.
     """
@@ -138,9 +140,9 @@ class Windows:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[tuple[bytes, bytes], int] = {}
+        self.known: dict[str | tuple[bytes, bytes], int | None] = {}
         self.texts: list[str] = []
-        self.groups, self.pairs, self.at = array("q"), array("I"), array("q", [0])
+        self.n_a, self.n_b, self.groups, self.pairs, self.at = array("q"), array("q"), array("q"), array("I"), array("q", [0])
 
     def numbers(self, keys: list[tuple[bytes, bytes]]) -> list[int]:
         """A number for each window; those not yet known are aligned together."""
@@ -149,7 +151,7 @@ class Windows:
             i = found.index(None, i + 1)
             number = known.get(keys[i])
             if number is None:
-                number = known[keys[i]] = len(known)
+                number = known[keys[i]] = len(self.texts) + len(fresh)
                 fresh.append(keys[i])
             found[i] = number
         if fresh:
@@ -159,6 +161,8 @@ class Windows:
     def align(self, keys: list[tuple[bytes, bytes]]) -> None:
         a, b = (np.frombuffer(b"".join(k[side] for k in keys), "<u2").astype(np.int64) for side in (0, 1))
         n_a, n_b = (np.array([len(k[side]) // 2 for k in keys]) for side in (0, 1))
+        self.n_a.extend(n_a.tolist())
+        self.n_b.extend(n_b.tolist())
         # Windows one after another: both sides' tokens tile the same bytes, and every window's end is an end of both.
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         shared = np.intersect1d(a_end, b_end, assume_unique=True)
@@ -218,13 +222,44 @@ class Aligner:
             first = m.start() + 1
         yield text[first:]
 
-    def pieces(self, texts: list[str]) -> list[tuple[int, int, list[int]] | None]:
-        """For each piece (a text, or part of one that begins after a space) its number of A and B tokens and its windows; None if
-        the tokens' bytes are not those of a space and the text.
+    def pieces(self, texts: list[str]) -> list[list[int] | None]:
+        """The windows of each piece (a text, or part of one that begins after a space); None if the tokens' bytes are not those of a
+        space and the text.
+
+        In a text without white space before a space or an edge of the text that is a space, both tokenizers begin a token at every space and
+        nowhere else at one, so its words are its windows.
+        """
+        split = [text.split(" ") for text in texts]
+        whole = [not self.b.by_space or "" in words or bool(_SPACE_RUN.search(text)) for text, words in zip(texts, split, strict=True)]
+        self.learn(set().union(*(words for words, w in zip(split, whole, strict=True) if not w)))
+        known, rest = self.windows.known, iter(self.cut([text for text, w in zip(texts, whole, strict=True) if w]))
+        found = [next(rest) if w else list(map(known.__getitem__, words)) for words, w in zip(split, whole, strict=True)]
+        return [None if numbers is None or None in numbers else numbers for numbers in found]
+
+    def learn(self, words: set[str]) -> None:
+        """Align new words; one whose tokens' bytes are not its own gets None for a number."""
+        new = list(words.difference(self.windows.known))
+        if not new:
+            return
+        self.b.learn(set(new))
+        # Of words, letters alone are remembered by the tokenizers, too: other words may begin with them.
+        a = [self.a.words[w] if w.isalpha() else self.a.find(w, " ") for w in new]
+        b = [self.b.words[w] if w.isalpha() else self.b.find(w) for w in new]
+        want = [b" " + w.encode() for w in new]
+        good = [x and y for x, y in zip(self.same(a, self.a_flat, want), self.same(b, self.b_flat, want), strict=True)]
+        number = count(len(self.windows.texts))
+        self.windows.known.update((w, next(number) if ok else None) for w, ok in zip(new, good, strict=True))
+        if any(good):
+            self.windows.align([k for k, ok in zip(zip(a, b, strict=True), good, strict=True) if ok])
+
+    def cut(self, texts: list[str]) -> list[list[int] | None]:
+        """The windows of texts that are tokenised whole.
 
         All texts are tokenised first. Both token sequences tile the same bytes, so a shared start of two tokens is a shared end of the
         tokens before; where both tokens there begin with a space, a window ends.
         """
+        if not texts:
+            return []
         a, b, want = list(map(self.encode_a, texts)), self.b.encode(texts), [b" " + t.encode() for t in texts]
         good = [x and y for x, y in zip(self.same(a, self.a_flat, want), self.same(b, self.b_flat, want), strict=True)]
         kept, found = [(x, y) if ok else None for x, y, ok in zip(a, b, good, strict=True)], []
@@ -241,7 +276,7 @@ class Aligner:
         numbers = self.windows.numbers(list(zip(cuts(a_all, a_at.tolist()), cuts(b_all, b_at.tolist()), strict=True)))
         edge = np.searchsorted(a_at, np.cumsum([len(k[0]) if k else 0 for k in kept])).tolist()
         for k, i, j in zip(kept, [0, *edge[:-1]], edge, strict=True):
-            found.append((len(k[0]) // 2, len(k[1]) // 2, numbers[i:j]) if k else None)
+            found.append(numbers[i:j] if k else None)
         return found
 
     def documents(self, rows: Iterator[tuple[object, str | None]]) -> Iterator[tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]]:
@@ -268,27 +303,27 @@ class Aligner:
                 for part in self.split(text):
                     owner.append(at)
                     piece.append(part)
-        totals = [[0, 0, 0, hashlib.sha256(), False] for _ in rows]
+        bad, shas = np.zeros(len(rows), dtype=bool), [None] * len(rows)
         doc, window = [], []
         first = 0
         for last in self.batches(piece):
             for at, one in zip(owner[first:last], self.pieces(piece[first:last]), strict=True):
-                total = totals[at]
-                if one is None or total[4]:
-                    total[4] = True
+                if one is None or bad[at]:
+                    bad[at] = True
                     continue
-                if total[0]:
-                    total[3].update(b";")
-                total[0], total[1] = total[0] + one[0], total[1] + one[1]
-                total[3].update(";".join(map(w.texts.__getitem__, one[2])).encode())
-                doc.append(np.full(len(one[2]), at, dtype=np.int64))
-                window.append(np.array(one[2], dtype=np.int64))
+                text = ";".join(map(w.texts.__getitem__, one)).encode()
+                if shas[at]:
+                    shas[at].update(b";" + text)
+                else:
+                    shas[at] = hashlib.sha256(text)
+                doc.append(np.full(len(one), at, dtype=np.int64))
+                window.append(np.array(one, dtype=np.int64))
             first = last
-        bad = np.array([t[4] for t in totals], dtype=bool)
         doc, window = (np.concatenate([*x, np.zeros(0, dtype=np.int64)]) for x in (doc, window))
         good = ~bad[doc]
         doc, window = doc[good], window[good]
-        groups = np.bincount(doc, weights=np.frombuffer(w.groups, np.int64)[window] if len(window) else None, minlength=len(rows))
+        sums = ((np.bincount(doc, weights=np.frombuffer(v, np.int64)[window], minlength=len(rows)) if len(window) else np.zeros(len(rows))) for v in (w.n_a, w.n_b, w.groups))
+        n_a, n_b, groups = (total.astype(np.int64).tolist() for total in sums)
         at, pairs = np.frombuffer(w.at, np.int64), np.frombuffer(w.pairs, np.uint32)
         # Distinct windows of a document, then the pairs of each, then distinct pairs of the document.
         both, times = np.unique(doc << 32 | window, return_counts=True)
@@ -299,14 +334,11 @@ class Aligner:
         order = np.argsort(key, kind="stable")
         key, times = key[order], np.repeat(times, length)[order]
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-        count = np.add.reduceat(times, start) if len(start) else times
+        links = np.add.reduceat(times, start) if len(start) else times
         key = key[start]
         edge = np.searchsorted(key >> np.uint64(32), np.arange(len(rows) + 1, dtype=np.uint64))
-        out = [
-            (row[0], 0, 0, 0, "") if t[4] or not t[0] else (row[0], t[0], t[1], int(g), t[3].hexdigest())
-            for row, t, g in zip(rows, totals, groups.tolist(), strict=True)
-        ]
-        return out, edge, (key & np.uint64(0xFFFFFFFF)).astype(np.int64), count
+        out = [(row[0], n_a[i], n_b[i], groups[i], shas[i].hexdigest()) if shas[i] and not bad[i] else (row[0], 0, 0, 0, "") for i, row in enumerate(rows)]
+        return out, edge, (key & np.uint64(0xFFFFFFFF)).astype(np.int64), links
 
     @staticmethod
     def batches(pieces: list[str]) -> Iterator[int]:

@@ -137,3 +137,16 @@ def test_registered_query_equals_the_plain_version(spark, plain):
     whole = {r[0]: r for r in got}
     for r in brute(small, plain):
         assert whole[r[0]][:5] == r[:5] and whole[r[0]][7] == r[7]
+
+
+def test_words_met_before_are_not_tokenised_or_compared_again(plain, monkeypatch):
+    aligner, compared, real = Aligner(A, B), [], Aligner.same
+    monkeypatch.setattr(Aligner, "same", staticmethod(lambda coded, flat, want: compared.extend(want) or real(coded, flat, want)))
+    rows = [(1, "alpha beta, gamma\ndelta " * 500 + "end"), (2, "end alpha"), (3, "a b alpha"), (4, "½ ﬁ end"), (5, "end ▁"), (6, "▁ 　 alpha")]
+    want = brute(rows, plain)
+    docs, edge, _, counts = aligner.together(rows)
+    assert [d[:4] for d in docs] == [w[:4] for w in want] and [d[4] for d in docs] == [w[7] for w in want]
+    assert [int(counts[i:j].sum()) for i, j in zip(edge[:-1], edge[1:], strict=True)] == [w[4] for w in want]
+    assert sum(map(len, compared)) < 200
+    compared.clear()
+    assert aligner.together(rows[:2])[0] == docs[:2] and not compared
