@@ -24,7 +24,7 @@ from decimal import Decimal
 
 import numpy as np
 
-MAGIC = b"MRC3"
+MAGIC = b"MRC4"
 #: Tokens in a block, which is coded with a fresh model.
 BLOCK_TOKENS = 2048
 #: Blocks encoded side by side, whose models take about 110 KB each, so that a worker which also holds a tokenizer and texts stays small. Decoding
@@ -41,7 +41,7 @@ LEAST = 1 << 40  # the interval is kept at least this long
 FLAG_BITS, ID_BITS = 15, 18
 BOOST = 500  # by how much (of 1 << ID_BITS) an id becomes more frequent in a block that codes it
 MOST = 255  # times that one id does
-LAG = 32  # tokens after which a block counts what it has coded
+LAG = 64  # tokens after which a block counts what it has coded
 FAN = 48  # children of an inner node of the tree of frequencies
 PAIRS = 1 << 18  # pairs from which the head's expected successors are taken
 U = np.uint64
@@ -91,14 +91,17 @@ class Prior:
         return cls(ids, frequency, successor[ids])
 
     def pack(self) -> bytes:
-        parts = (self.ids.astype("<u2"), self.frequency[self.ids].astype("<u4"), self.successor.astype("<u2"))
-        return zlib.compress(b"".join(p.tobytes() for p in parts))
+        # Steps between ids; low bytes stand apart from high ones, which are mostly zero.
+        parts = (np.diff(self.ids, prepend=0).astype("<u2"), self.frequency[self.ids].astype("<u4"), self.successor.astype("<u2"))
+        return zlib.compress(b"".join(p.view(np.uint8).reshape(len(p), p.itemsize).T.tobytes() for p in parts), 9)
 
     @classmethod
     def unpack(cls, head: bytes) -> Prior:
         raw = zlib.decompress(head)
         n = len(raw) // 8
-        return cls(np.frombuffer(raw, "<u2", n), np.frombuffer(raw, "<u4", n, 2 * n), np.frombuffer(raw, "<u2", n, 6 * n))
+        planes = np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n)
+        steps, frequency, successor = (np.ascontiguousarray(planes[a:b].T).view(f"<u{b - a}").reshape(n) for a, b in ((0, 2), (2, 6), (6, 8)))
+        return cls(np.cumsum(steps, dtype=np.int64), frequency, successor)
 
 
 def _rows(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -274,8 +277,8 @@ class Model:
 
 
 def _shift_out(low: np.ndarray, length: np.ndarray, emit) -> None:
-    """Renormalise: while the top word is settled or the interval is too short, ``emit(rows)`` and shift a word."""
-    rows = np.flatnonzero(((low ^ (low + length)) < _TOP) | (length < _LEAST))
+    """Renormalise: while the interval is too short, ``emit(rows)`` and shift a word."""
+    rows = np.flatnonzero(length < _LEAST)
     while len(rows):
         a, b = low[rows], length[rows]
         settled = (a ^ (a + b)) < _TOP
@@ -284,7 +287,7 @@ def _shift_out(low: np.ndarray, length: np.ndarray, emit) -> None:
         a = (a << WORD_SHIFT) & _MASK
         b = np.minimum(b << WORD_SHIFT, _MASK - a)
         low[rows], length[rows] = a, b
-        rows = rows[((a ^ (a + b)) < _TOP) | (b < _LEAST)]
+        rows = rows[b < _LEAST]
 
 
 def encode(ids: np.ndarray, block_tokens: int = BLOCK_TOKENS) -> bytes:

@@ -832,3 +832,21 @@ def test_settings_hold_for_a_while_only(spark):
             raise ZeroDivisionError
         assert spark.conf.get(key) == held
     spark.conf.set(key, before)
+
+
+def test_blocks_count_every_64_ids_and_the_head_makes_up_for_it(monkeypatch):
+    texts = [r[0] or "" for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id LIMIT 400").fetchall()]
+    ids = np.frombuffer(b"".join(x + b"\2\0" for x in token_output.WordEncoder(BPE).encode(texts)), dtype="<u2")
+    counted, real = [], range_coder.Frequencies.count
+    monkeypatch.setattr(range_coder.Frequencies, "count", lambda self: counted.append(1) or real(self))
+    coded = range_coder.encode(ids)
+    assert len(counted) == 32 and len(coded) * 8 / len(ids) < 7.83
+    assert (range_coder.decode(coded) == ids).all() and len(counted) == 64
+
+
+def test_the_head_is_read_back_as_it_was():
+    for ids in (np.zeros(0, np.uint16), np.array([65535], np.uint16), np.random.default_rng(5).integers(0, 65536, 5000).astype(np.uint16)):
+        prior = range_coder.Prior.of(ids)
+        again = range_coder.Prior.unpack(prior.pack())
+        for name in ("ids", "successor", "frequency", "place", "leaves", "rank"):
+            assert np.array_equal(getattr(again, name), getattr(prior, name))
