@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import cut, release, setting, small
 from millrace.llm.range_coder import decode, encode
 
-#: Tokens after which a segment is closed (at a document's end).
+#: Tokens after which a segment is closed (at a document's end). The last two of a task are one if they have less than half as many more.
 SEGMENT_TOKENS = 1 << 21
 #: Words after which a task begins to forget the ones it has not met for as many.
 MEMO_WORDS = 75_000
@@ -92,10 +92,10 @@ class WordEncoder:
             if first and all(rest):
                 return self.newline.join([(self.words if before else self.heads)[first], *map(self.heads.__getitem__, rest)])
             return self.whole(before + word)
-        letters = word.rstrip(_MARKS)
-        if not letters.isalpha():
-            return self.whole(before + word)
-        if len(letters) < len(word):
+        if not word.isalpha():
+            letters = word.rstrip(_MARKS)
+            if not letters.isalpha():
+                return self.whole(before + word)
             return (self.words if before else self.heads)[letters] + self.heads[word[len(letters) :]]
         if word.isascii():
             piece = self.shown[32] + word if before else word
@@ -134,16 +134,18 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, id_col: str =
         ids, counts, held, total = [], [], [], 0
         id_type = None
 
-        def row():
-            tokens = np.frombuffer(b"".join(held), dtype="<u2")
-            held.clear()
+        def row(n):
+            """The first ``n`` documents held as a segment."""
+            tokens = np.frombuffer(b"".join(held[: 2 * n]), dtype="<u2")
+            columns = [ids[:n]], [counts[:n]]
+            del held[: 2 * n], ids[:n], counts[:n]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
                     pa.array([segment], pa.int32()),
-                    pa.array([ids], pa.list_(id_type)),
-                    pa.array([counts], pa.list_(pa.int64())),
-                    pa.array([total], pa.int64()),
+                    pa.array(columns[0], pa.list_(id_type)),
+                    pa.array(columns[1], pa.list_(pa.int64())),
+                    pa.array([len(tokens)], pa.int64()),
                     pa.array([encode(tokens)], pa.binary()),
                 ],
                 names=["part", "segment", "ids", "counts", "n_tokens", "data"],
@@ -158,13 +160,13 @@ def write_tokens(docs: DataFrame, tokenizer_file: str, path: str, id_col: str =
                     counts.append(len(coded) // 2 + 1)
                     held += [coded, end]
                     total += counts[-1]
-                    if total >= SEGMENT_TOKENS:
-                        whole = row()
-                        ids, counts, held, total, segment = [], [], [], 0, segment + 1
+                    if total >= SEGMENT_TOKENS + SEGMENT_TOKENS // 2:
+                        whole = row(1 + int(np.searchsorted(np.cumsum(counts), SEGMENT_TOKENS)))
+                        total, segment = sum(counts), segment + 1
                         release()
                         yield whole
         if ids:
-            yield row()
+            yield row(len(ids))
         del encoder
         release()
 

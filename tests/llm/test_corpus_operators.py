@@ -850,3 +850,35 @@ def test_the_head_is_read_back_as_it_was():
         again = range_coder.Prior.unpack(prior.pack())
         for name in ("ids", "successor", "frequency", "place", "leaves", "rank"):
             assert np.array_equal(getattr(again, name), getattr(prior, name))
+
+
+def test_order_0_is_asked_once_per_window_and_predictions_are_short(monkeypatch):
+    ids = np.random.default_rng(6).integers(0, 3000, 2048 * 5 + 70)
+    asked, real, widths, model = [], range_coder.Frequencies.interval, [], range_coder.Model
+    monkeypatch.setattr(range_coder.Frequencies, "interval", lambda self, rows, ids: asked.append(len(ids)) or real(self, rows, ids))
+    monkeypatch.setattr(range_coder, "Model", lambda blocks, prior: (made := model(blocks, prior), widths.append(made.guesses.itemsize))[0])
+    assert np.array_equal(range_coder.decode(range_coder.encode(ids)), ids)
+    assert asked == [6 * 64] * 32 and widths == [2, 2]
+
+
+@pytest.mark.parametrize("many", [4096, 4097, 8192, 8193, 50_000])
+def test_round_trip_with_many_ids(many):
+    """As nodes of their own, several in a node, and with predictions of 32 bits."""
+    rng = np.random.default_rng(many)
+    ids = np.concatenate([rng.permutation(many), rng.integers(0, many, 9000) ** 2 // many, np.tile([0, many - 1, 7], 700)]) + 15_000
+    for block in (512, 2048):
+        assert np.array_equal(range_coder.decode(range_coder.encode(ids, block)), ids)
+
+
+def test_what_is_left_of_a_task_makes_no_small_segment(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "SEGMENT_TOKENS", 1000)
+    for n in (3, 107, 130, 250):
+        path = scratch(spark, "tokens")
+        token_output.write_tokens(documents(spark, [(i, "a b c d e f g h i", "en", "s", 0) for i in range(n)]).coalesce(1), BPE, path)
+        sizes = collections.defaultdict(list)
+        for r in spark.read.parquet(path).collect():
+            sizes[r.part].append(r.n_tokens)
+        assert sum(map(sum, sizes.values())) == 10 * n
+        assert all(min(500, sum(of_part)) <= x < 1500 for of_part in sizes.values() for x in of_part)
+        rows = sorted(token_output.read_tokens(spark, path).collect(), key=lambda r: r.doc_id)
+        assert [r.start for r in rows] == [10 * i for i in range(n)]
